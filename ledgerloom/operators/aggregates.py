@@ -98,12 +98,18 @@ def top_merchants(tx: DataFrame, merchants: DataFrame, limit: int = 5, seq: str
     )
 
 
-def named_merchants(df: DataFrame, merchants: DataFrame, seq: str) -> DataFrame:
-    """Add ``merchant_name``: last dimension row wins, the id stands in for no match."""
+def named_merchants(
+    df: DataFrame, merchants: DataFrame, seq: str, many: bool = False
+) -> DataFrame:
+    """Add ``merchant_name``: last dimension row wins, the id stands in for no match.
+
+    ``many`` says that ``df`` may hold many rows per merchant.
+    """
     names = last_wins(
         merchants.withColumn("_seq", F.col(seq)), "merchant_id", "merchant_name", "_seq"
     )
-    return lookup_join(df, names, "merchant_id").withColumn(
+    joined = lookup_join(df, names, "merchant_id") if many else df.join(names, "merchant_id", "left")
+    return joined.withColumn(
         "merchant_name", F.coalesce("merchant_name", F.col("merchant_id").cast("string"))
     )
 
@@ -149,7 +155,8 @@ def histogram(df: DataFrame, column: str, bins: int = 5) -> DataFrame:
     """Equal-width (ord, label, value) bins; the last is closed, empty bins count 0.
 
     Blank cells count as 0, unparseable ones are left out. The bounds are scalar
-    subqueries, so the second pass needs no join, and bins merge map-side.
+    subqueries, so placing a value needs no join; bins merge map-side, and what is left
+    to lay out is one row of at most ``bins`` counts.
     """
     if column not in df.columns:
         return _unit(df).filter("false").selectExpr(
@@ -159,29 +166,32 @@ def histogram(df: DataFrame, column: str, bins: int = 5) -> DataFrame:
     values = df.select(as_double(df, column, blank=0.0).alias("v")).filter(F.col("v").isNotNull())
     bounds = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    placed = values.select("v", lo.alias("lo"), ((hi - lo) / bins).alias("step")).select(
-        F.when(
-            F.col("step") > 0,
-            F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / F.col("step"))),
-        ).otherwise(F.lit(0)).cast("int").alias("bin")
+    slot = F.coalesce(F.floor(F.try_divide(F.col("v") - lo, (hi - lo) / bins)), F.lit(0))
+    counted = (
+        values.select("v", F.least(slot, F.lit(bins - 1)).cast("int").alias("bin"))
+        .groupBy("bin")
+        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+            F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("n"),
+        )
     )
-    empty = df.sparkSession.range(0, bins, 1, 1).select(
-        F.col("id").cast("int").alias("bin"), F.lit(0).cast("bigint").alias("n")
+    shown = (
+        F.when(F.col("lo").isNull(), F.array().cast("array<int>"))
+        .when(F.col("lo") == F.col("hi"), F.array(F.lit(0)))
+        .otherwise(F.sequence(F.lit(0), F.lit(bins - 1)))
     )
-    counted = (
-        placed.groupBy("bin").agg(F.count("*").alias("n")).unionByName(empty)
-        .groupBy("bin").agg(F.sum("n").alias("n"))
-        .select("bin", "n", lo.alias("lo"), hi.alias("hi"))
-        .withColumn("step", (F.col("hi") - F.col("lo")) / bins)
-        .filter(F.col("lo").isNotNull() & ((F.col("lo") < F.col("hi")) | (F.col("bin") == 0)))
+    laid_out = counted.select(
+        "lo", "hi", "n", ((F.col("hi") - F.col("lo")) / bins).alias("step"),
+        F.explode(shown).alias("bin"),
     )
     edges = F.concat(
         whole_text(F.col("lo") + F.col("bin") * F.col("step")), F.lit("-"),
         whole_text(F.col("lo") + (F.col("bin") + 1) * F.col("step")),
     )
     single = F.col("lo").cast("bigint").cast("string")
-    return counted.select(
+    return laid_out.select(
         (F.col("bin") + 1).alias("ord"),
         F.when(F.col("lo") == F.col("hi"), single).otherwise(edges).alias("label"),
-        F.col("n").cast("double").alias("value"),
+        F.coalesce(F.try_element_at("n", F.col("bin")), F.lit(0)).cast("double").alias("value"),
     )

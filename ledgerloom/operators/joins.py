@@ -12,7 +12,7 @@ from ledgerloom.operators.skew import lookup_join
 
 def merchant_lookup(tx: DataFrame, merchants: DataFrame, seq: str = "merchant_id") -> DataFrame:
     """Every transaction with its merchant name, or the id where there is none."""
-    return named_merchants(tx, merchants, seq)
+    return named_merchants(tx, merchants, seq, many=True)
 
 
 def alerts_per_transaction(alerts: DataFrame) -> DataFrame:
@@ -45,8 +45,8 @@ def loans_per_customer(loans: DataFrame) -> DataFrame:
 
 
 def preagg_loans(per_customer: DataFrame, loans: DataFrame) -> DataFrame:
-    """Add the loan count of each customer, 0 without loans."""
-    return lookup_join(per_customer, loans_per_customer(loans), "customer_id").withColumn(
+    """Add the loan count to one-row-per-customer rows, 0 without loans."""
+    return per_customer.join(loans_per_customer(loans), "customer_id", "left").withColumn(
         "loan_count", F.coalesce("loan_count", F.lit(0))
     )
 
@@ -77,7 +77,7 @@ def accounts_per_customer(customers: DataFrame, accounts: DataFrame, k: int = 25
     """Customers with their account count, 0 without accounts; most accounts first."""
     counts = _per_key(accounts, "customer_id", "account_id")
     return (
-        lookup_join(customers.select("customer_id", "full_name"), counts, "customer_id")
+        customers.select("customer_id", "full_name").join(counts, "customer_id", "left")
         .groupBy("customer_id", "full_name")
         .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("account_count"))
         .orderBy(F.desc("account_count"), "customer_id", "full_name").limit(k)
@@ -120,7 +120,7 @@ def high_value_customers(
     zero = F.lit(0).cast("decimal(38,2)")
     named = customers.select("customer_id", "full_name", "region")
     return (
-        lookup_join(lookup_join(named, spent, "customer_id"), lent, "customer_id")
+        named.join(spent, "customer_id", "left").join(lent, "customer_id", "left")
         .withColumn("total_tx_ugx", F.coalesce("total_tx_ugx", zero))
         .withColumn("total_loans_ugx", F.coalesce("total_loans_ugx", zero))
         .orderBy(F.desc("total_tx_ugx"), F.desc("total_loans_ugx"), "customer_id").limit(k)

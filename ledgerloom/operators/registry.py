@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.limits import last_days, newest_n
 from ledgerloom.operators.skew import lookup_join
+from ledgerloom.session import literal_rows
 
 KEPT = 500
 SHOWN = 300
@@ -58,7 +59,7 @@ def registry_update(registry: DataFrame, updates: DataFrame) -> DataFrame:
     target = newest.join(
         updates.select(*keys, *[F.col(c).alias(f"new_{c}") for c in values]), keys
     ).drop(*keys)
-    joined = lookup_join(registry, target, "seq")
+    joined = registry.join(target, "seq", "left")
     return joined.select([
         F.coalesce(f"new_{c}", c).alias(c) if c in values else F.col(c) for c in registry.columns
     ])
@@ -69,7 +70,7 @@ def kpi_sources(registry: DataFrame, names: list[str], root: str) -> DataFrame:
     marks = registry.filter(F.col("dataset").isin(names)).groupBy("dataset").agg(
         F.max(F.col("pipeline_status") == "analytics_ready").alias("analytics_ready")
     )
-    listed = registry.sparkSession.createDataFrame([(n,) for n in names], "dataset string")
+    listed = literal_rows(registry.sparkSession, [(n,) for n in names], "dataset")
     return listed.join(F.broadcast(marks), "dataset", "left").select(
         F.col("dataset").alias("name"),
         F.concat(F.lit(root.rstrip("/") + "/"), "dataset").alias("path"),

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import as_money
-from ledgerloom.functions.text import cut, label_or
+from ledgerloom.functions.text import cut, label_or, named
 from ledgerloom.operators.aggregates import (
-    category_counts, entity_counts, histogram, named_merchants,
+    ENTITIES, LABEL_WIDTH, histogram, named_merchants,
 )
-from ledgerloom.operators.registry import pipeline_mix, uploads_by_day
 from ledgerloom.operators.windows import ranked
+from ledgerloom.session import literal_rows
 
 # Series keys and titles, in display order.
 TITLES = {
@@ -30,6 +30,7 @@ TITLES = {
     "loan_status": "Loans by status",
 }
 TOP = 8
+DAYS = 14
 MERCHANT_LABEL_WIDTH = 22
 
 
@@ -55,91 +56,138 @@ def ranked_merchants(tx: DataFrame, merchants: DataFrame, seq: str = "merchant_i
     return named_merchants(best, merchants, seq)
 
 
-def _transaction_series(tx: DataFrame, merchants: DataFrame, seq: str) -> DataFrame:
-    """Merchants, channels and types from a single grouping-sets pass."""
-    amount = F.coalesce(as_money(tx, "amount").cast("bigint"), F.lit(0))
-    blank = F.coalesce(F.col("merchant_id").cast("string"), F.lit("")) == ""
-    base = tx.select(
-        F.when(~blank, F.col("merchant_id")).alias("merchant_id"),
-        label_or(F.col("channel"), "(empty)").alias("channel"),
-        label_or(F.col("transaction_type"), "(empty)").alias("transaction_type"),
-        amount.alias("amount"),
-    )
-    keys = ["merchant_id", "channel", "transaction_type"]
-    kind = (
-        F.when(F.col("channel").isNotNull(), "txn_channel")
-        .when(F.col("transaction_type").isNotNull(), "txn_type").otherwise("merchants")
+def _summary(df: DataFrame, labels: dict[str, Column], amount: Column | None = None) -> DataFrame:
+    """One pass over a table: rows per value of each label column, and the total row count.
+
+    Columns: kind (label name or ``all``), label, n, amt. Labels are never null, so the one
+    column a grouping set keeps is the non-null one.
+    """
+    names = list(labels)
+    base = df.select(
+        *[c.alias(name) for name, c in labels.items()],
+        (F.lit(0).cast("bigint") if amount is None else amount).alias("amount"),
     )
-    counted = (
-        base.groupingSets([[k] for k in keys], *keys)
+    kind = F.coalesce(*[F.when(F.col(n).isNotNull(), n) for n in names], F.lit("all"))
+    return (
+        base.groupingSets([*[[n] for n in names], []], *names)
         .agg(F.count("*").alias("n"), F.sum("amount").alias("amt"))
-        .withColumn("kind", kind)
-        # A blank merchant id leaves all three grouping columns null: not a merchant.
-        .filter((F.col("kind") != "merchants") | F.col("merchant_id").isNotNull())
+        .select(kind.alias("kind"), F.coalesce(*names).alias("label"), "n", "amt")
     )
-    merchant = F.col("kind") == "merchants"
+
+
+def _best(summary: DataFrame, limits: dict[str, int], by_amount: str = "") -> DataFrame:
+    """The top rows of each kind; Spark keeps only these before it shuffles by kind."""
+    limit = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in limits.items()], F.lit(1))
+    amount = F.when(F.col("kind") == by_amount, F.col("amt"))
     best = ranked(
-        counted, TOP, F.col("kind"), F.desc("n"), F.desc(F.when(merchant, F.col("amt"))),
-        F.col("merchant_id"), F.coalesce("channel", "transaction_type"),
+        summary, max(limits.values()), F.col("kind"), F.desc("n"), F.desc(amount), F.col("label")
     )
-    named = named_merchants(best, merchants, seq)
-    label = F.when(merchant, cut(F.col("merchant_name"), MERCHANT_LABEL_WIDTH)).otherwise(
-        cut(F.coalesce("channel", "transaction_type"), 24)
+    return best.filter(F.col("ord") <= limit)
+
+
+def _series(best: DataFrame, keys: dict[str, str], entity: str) -> DataFrame:
+    """Chart rows of ranked rows; the ``all`` row becomes a bar of the entity chart."""
+    place = next(i for i, (label, _) in enumerate(ENTITIES, 1) if label == entity)
+    everything = F.col("kind") == "all"
+    key = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in keys.items()])
+    return best.select(
+        F.when(everything, "entity_counts").otherwise(key).alias("key"),
+        F.when(everything, place).otherwise(F.col("ord")).alias("ord"),
+        F.when(everything, entity).otherwise(cut(F.col("label"), LABEL_WIDTH)).alias("label"),
+        F.col("n").cast("double").alias("value"),
     )
 
-    def point(key: Column, value: Column) -> Column:
-        return F.struct(key.alias("key"), value.cast("double").alias("value"))
 
-    points = F.when(merchant, F.array(
-        point(F.lit("merchants_txn"), F.col("n")), point(F.lit("merchants_amt"), F.col("amt"))
-    )).otherwise(F.array(point(F.col("kind"), F.col("n"))))
-    return named.select("ord", label.alias("label"), F.inline(points)).select(
-        "key", "ord", "label", "value"
+def _category(df: DataFrame, column: str) -> Column:
+    return label_or(named(column), "(empty)")
+
+
+def _transaction_series(tx: DataFrame, merchants: DataFrame, seq: str) -> DataFrame:
+    """Merchants, channels, types and the row count from a single pass."""
+    id_type = tx.schema["merchant_id"].dataType
+    # A blank id is no merchant; the empty label keeps it apart from the total row.
+    merchant = F.coalesce(F.col("merchant_id").cast("string"), F.lit(""))
+    summary = _summary(
+        tx,
+        {"merchant": merchant, "channel": _category(tx, "channel"),
+         "type": _category(tx, "transaction_type")},
+        F.coalesce(as_money(tx, "amount").cast("bigint"), F.lit(0)),
+    ).filter((F.col("kind") != "merchant") | (F.col("label") != ""))
+    best = _best(summary, {"merchant": TOP, "channel": TOP, "type": TOP}, "merchant")
+    ids = F.when(F.col("kind") == "merchant", F.col("label").cast(id_type))
+    rows = named_merchants(best.withColumn("merchant_id", ids), merchants, seq)
+    others = _series(
+        rows.filter(F.col("kind") != "merchant"),
+        {"channel": "txn_channel", "type": "txn_type"}, "Txns",
     )
+    return merchant_series(rows.filter(F.col("kind") == "merchant")).unionByName(others)
 
 
-def _numbered(df: DataFrame, *order: Column) -> DataFrame:
-    """Number the rows of an already small series."""
-    return df.withColumn("ord", F.row_number().over(Window.orderBy(*order)))
+def _registry_series(registry: DataFrame) -> DataFrame:
+    """Upload days and the status mix from one pass over the registry."""
+    day = F.substring(F.coalesce(F.col("uploaded_at").cast("string"), F.lit("")), 1, 10)
+    status = F.coalesce(F.nullif(F.col("pipeline_status"), F.lit("")), F.lit("unknown"))
+    summary = _summary(registry, {"uploads_by_day": day, "pipeline_status": status}).filter(
+        (F.col("kind") != "all") & (F.col("label") != "")
+    )
+    # Newest days and all statuses (a handful); both are then shown in ascending order.
+    days = F.col("kind") == "uploads_by_day"
+    newest = Window.partitionBy("kind").orderBy(F.desc("label"))
+    shown = summary.withColumn("back", F.row_number().over(newest)).filter(
+        ~days | (F.col("back") <= DAYS)
+    )
+    order = Window.partitionBy("kind").orderBy("label")
+    return shown.select(
+        F.col("kind").alias("key"), F.row_number().over(order).alias("ord"), "label",
+        F.col("n").cast("double").alias("value"),
+    )
 
 
 def dashboard_charts(
     frames: dict[str, DataFrame], registry: DataFrame, seq: str = "merchant_id"
 ) -> DataFrame:
-    """(key, title, ord, label, value); a series without rows shows one ``—`` of 0."""
+    """(key, title, ord, label, value); a series without rows shows one ``—`` of 0.
 
-    def keyed(df: DataFrame, key: Column) -> DataFrame:
-        return df.select(key.alias("key"), "ord", "label", "value")
+    Each table is scanned once for all its counts. The two histograms add a min/max pass
+    and a binning pass over a single column.
+    """
+    tx, loans = frames["fact_transactions"], frames["fact_loans"]
+    customers, alerts = frames["dim_customers"], frames["fact_fraud_alerts"]
 
-    def categories(df: DataFrame, limits: dict[str, int], keys: dict[str, str]) -> DataFrame:
-        key = F.coalesce(*[F.when(F.col("column") == c, k) for c, k in keys.items()])
-        return keyed(category_counts(df, limits), key)
+    def counts(df: DataFrame, entity: str, limits: dict[str, int], keys: dict[str, str]) -> DataFrame:
+        labels = {c: _category(df, c) for c in limits if c in df.columns}
+        if not labels:
+            total = df.agg(F.count("*").alias("n")).select(
+                F.lit("all").alias("kind"), F.lit("").alias("label"), "n", F.lit(1).alias("ord"))
+            return _series(total, {"": ""}, entity)
+        return _series(_best(_summary(df, labels), limits), keys, entity)
+
+    def bins(df: DataFrame, column: str, key: str) -> DataFrame:
+        return histogram(df, column, 5).withColumn("key", F.lit(key))
 
-    tx, loans = frames["fact_transactions"], frames["fact_loans"]
     parts = [
         _transaction_series(tx, frames["dim_merchants"], seq),
-        keyed(histogram(tx, "amount", 5), F.lit("txn_amount_bins")),
-        keyed(histogram(loans, "principal_amount", 5), F.lit("loan_principal_bins")),
-        categories(frames["fact_fraud_alerts"], {"customer_id": 8}, {"customer_id": "fraud_by_customer"}),
-        keyed(entity_counts(frames), F.lit("entity_counts")),
-        keyed(_numbered(uploads_by_day(registry), F.col("label")), F.lit("uploads_by_day")),
-        keyed(_numbered(pipeline_mix(registry), F.col("label")), F.lit("pipeline_status")),
-        categories(
-            frames["dim_customers"], {"region": 10, "customer_segment": 8},
+        bins(tx, "amount", "txn_amount_bins"),
+        bins(loans, "principal_amount", "loan_principal_bins"),
+        counts(loans, "Loans", {"loan_status": 8}, {"loan_status": "loan_status"}),
+        counts(alerts, "Fraud", {"customer_id": 8}, {"customer_id": "fraud_by_customer"}),
+        counts(
+            customers, "Customers", {"region": 10, "customer_segment": 8},
             {"region": "customers_region", "customer_segment": "customers_segment"},
         ),
-        categories(loans, {"loan_status": 8}, {"loan_status": "loan_status"}),
+        counts(frames["dim_accounts"], "Accounts", {}, {}),
+        _registry_series(registry),
     ]
-    fallback = [k for k in TITLES if not k.startswith("merchants_")]
-    rows = registry.sparkSession.createDataFrame(
-        [(k, 0, "—", 0.0) for k in fallback], "key string, ord int, label string, value double"
-    )
+    blanks = [(k, 0, "—", 0.0) for k in TITLES if not k.startswith("merchants_")]
+    blanks += [("entity_counts", i, label, 0.0) for i, (label, _) in enumerate(ENTITIES, 1)]
+    rows = literal_rows(registry.sparkSession, blanks, "key, ord, label, value")
     for part in parts:
         rows = rows.unionByName(part.withColumn("ord", F.col("ord").cast("int")))
-    # At most a few dozen rows per key by now; placeholders go where real rows exist.
-    real = F.max("ord").over(Window.partitionBy("key"))
+    # A few dozen rows per key from here on. A table without rows keeps its blank bar.
+    merged = rows.groupBy("key", "ord", "label").agg(F.max("value").alias("value"))
+    last = F.max("ord").over(Window.partitionBy("key"))
     title = F.coalesce(*[F.when(F.col("key") == k, t) for k, t in TITLES.items()])
     return (
-        rows.withColumn("_real", real).filter((F.col("ord") > 0) | (F.col("_real") == 0))
+        merged.withColumn("_last", last).filter((F.col("ord") > 0) | (F.col("_last") == 0))
         .select("key", title.alias("title"), F.greatest("ord", F.lit(1)).alias("ord"), "label", "value")
     )

@@ -80,18 +80,27 @@ def process_all(zones: Zones, mode: str = "single", dataset: str | None = None,
         return {"error": "invalid_mode", "message": "Use mode single or all."}
     if mode == "single" and not dataset:
         return {"error": "dataset_required", "message": "Pass dataset filename for single mode."}
-    registry = zones.registry()
-    pending = registry.filter(F.coalesce("landing_file", F.lit("")) != "")
-    targets = latest_landed(pending).select("dataset", "landing_file", "uploaded_at")
+    pending = zones.registry()
     if mode == "single":
         name = base_name(dataset)
-        targets = targets.filter(F.col("dataset") == name)
-    # One short row per dataset with a pending landing; each is a Spark job of its own.
-    entries = list(targets.orderBy("dataset").toLocalIterator())
-    if not entries:
+        pending = pending.filter(F.col("dataset") == name)
+    results = process_entries(zones, pending, at_once)
+    if not results:
         if mode == "single":
             return {"error": "not_found", "message": f"No landed upload pending for {name}."}
         return {"error": "nothing_pending", "message": "No landed datasets awaiting processing."}
+    return {
+        "mode": mode, "processed": results,
+        "errors": [f"{r['dataset']}: {r['error']}" for r in results if not r["ok"]],
+    }
+
+
+def process_entries(zones: Zones, registry: DataFrame, at_once: int = 4) -> list[dict]:
+    """Process the newest pending landing of each dataset among the given registry rows."""
+    pending = registry.filter(F.coalesce("landing_file", F.lit("")) != "")
+    targets = latest_landed(pending).select("dataset", "landing_file", "uploaded_at")
+    # One short row per dataset with a pending landing; each is a Spark job of its own.
+    entries = list(targets.orderBy("dataset").toLocalIterator())
 
     def run(entry: Row) -> dict:
         about = {"dataset": entry.dataset, "uploaded_at": entry.uploaded_at}
@@ -115,10 +124,7 @@ def process_all(zones: Zones, mode: str = "single", dataset: str | None = None,
                 zones.record(**result["payload"])
             results.append(result)
     _supersede_older(zones, [r for r in results if r["ok"]])
-    return {
-        "mode": mode, "processed": results,
-        "errors": [f"{r['dataset']}: {r['error']}" for r in results if not r["ok"]],
-    }
+    return results
 
 
 def _supersede_older(zones: Zones, done: list[dict]) -> None:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "ledgerloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,3 +38,14 @@ def shared_folder(spark: SparkSession, label: str) -> str:
         base = os.environ.get("LEDGERLOOM_LOCAL_DIR") or tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/ledgerloom/{label}-{uuid.uuid4().hex}"
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A few constant rows as a local relation (no Python workers); ``columns`` like ``a, b``."""
+    def sql(value) -> str:
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{value!r}D" if isinstance(value, float) else str(value)
+
+    values = ", ".join("(" + ", ".join(sql(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")

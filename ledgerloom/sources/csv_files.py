@@ -41,7 +41,9 @@ def _field_count(width: int) -> Column:
     """Fields in a record; Spark keeps the text only of records that do not fit the header."""
     unquoted = F.regexp_replace(F.col(RAW), r'"(?:[^"]|"")*"', "")
     commas = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit("")))
-    return F.when(F.col(RAW).isNull(), F.lit(width)).otherwise(commas + 1)
+    # Spark refuses plans that read nothing but the bad-record column, so name another.
+    fits = F.col(RAW).isNull() & (F.length(F.coalesce("c0", F.lit(""))) >= 0)
+    return F.when(fits, F.lit(width)).otherwise(commas + 1)
 
 
 def scan_csv_raw(

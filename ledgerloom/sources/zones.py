@@ -201,7 +201,9 @@ def registry_read(spark: SparkSession, path: str) -> DataFrame:
         spark.read.schema(schema).options(multiLine=is_array, columnNameOfCorruptRecord="_bad")
         .json(path)
     )
-    return rows.filter(F.col("_bad").isNull()).drop("_bad")
+    # Spark refuses plans that read nothing but the bad-record column, so name another.
+    parsed = F.col("_bad").isNull() & (F.length(F.coalesce("dataset", F.lit(""))) >= 0)
+    return rows.filter(parsed).drop("_bad")
 
 
 def require_inputs(spark: SparkSession, folder: str, names: list[str]) -> dict[str, str]:
