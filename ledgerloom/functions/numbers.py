@@ -6,35 +6,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.text import is_missing, named, strip
+from ledgerloom.functions.text import named, strip
 
-# Decimal notation accepted for a measure (digits may be grouped by "_").
-NUMBER_PATTERN = (
-    r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
-)
+# Decimal notation accepted for a measure; digits may be grouped by single "_".
+_DIGITS = r"\d+(?:_\d+)*"
+_MANTISSA = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})"
+PLAIN_NUMBER = rf"{_MANTISSA}$"
+EXPONENT_NUMBER = rf"{_MANTISSA}[eE][+-]?{_DIGITS}$"
 
 MONEY = T.DecimalType(18, 2)
 TOTAL = T.DecimalType(38, 2)
 
 
-def lenient_double(value: Column) -> Column:
-    """Parse text as a finite double; anything else becomes null."""
-    text = strip(value)
-    parsed = F.when(
-        text.rlike(NUMBER_PATTERN),
-        F.regexp_replace(text, "_", "").try_cast("double"),
+def lenient_double(value: Column, stripped: bool = False) -> Column:
+    """Parse text as a finite double; anything else becomes null.
+
+    Plain notation comes first: it cannot overflow, so its cells are parsed just once.
+    """
+    text = value if stripped else strip(value)
+    parsed = F.replace(text, F.lit("_"), F.lit("")).try_cast("double")
+    long = F.length(text) >= 300
+    may_overflow = text.rlike(EXPONENT_NUMBER) | (long & text.rlike(PLAIN_NUMBER))
+    return F.when(~long & text.rlike(PLAIN_NUMBER), parsed).when(
+        may_overflow & (F.abs(parsed) < F.lit(float("inf"))), parsed
     )
-    return F.when(F.abs(parsed) < F.lit(float("inf")), parsed)
 
 
-def as_double(df: DataFrame, column: str, blank: float | None = None) -> Column:
+def as_double(
+    df: DataFrame, column: str, blank: float | None = None, stripped: bool = False
+) -> Column:
     """The column as a double: typed columns are cast, text is parsed leniently.
 
-    ``blank`` is the value of a null or empty cell (null when not given).
+    ``blank`` is the value of a null or empty cell (null when not given); ``stripped``
+    says that text cells have no outer whitespace.
     """
     source = named(column)
     if isinstance(df.schema[column].dataType, T.StringType):
-        value = lenient_double(source)
+        value = lenient_double(source, stripped)
         if blank is not None:
             value = F.when(F.coalesce(source, F.lit("")) == "", F.lit(blank)).otherwise(value)
         return value
@@ -43,10 +51,13 @@ def as_double(df: DataFrame, column: str, blank: float | None = None) -> Column:
 
 
 def as_money(df: DataFrame, column: str) -> Column:
-    """The column as DECIMAL(18,2); unparseable text becomes null."""
-    if isinstance(df.schema[column].dataType, T.StringType):
-        return F.when(~is_missing(named(column)), lenient_double(named(column)).cast(MONEY))
-    return named(column).cast(MONEY)
+    """The column as DECIMAL(18,2), rounded half up; what does not fit or parse is null."""
+    source = named(column)
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return source.try_cast(MONEY)
+    text = strip(source)
+    is_number = text.rlike(PLAIN_NUMBER) | text.rlike(EXPONENT_NUMBER)
+    return F.when(is_number, F.replace(text, F.lit("_"), F.lit("")).try_cast(MONEY))
 
 
 def total(value: Column) -> Column:

@@ -12,13 +12,26 @@ from ledgerloom.functions.text import is_missing, named
 DIGITS = 4
 
 
-def profile_measures(df: DataFrame) -> list[Column]:
-    """Aggregates over all columns; usable in ``agg`` and in ``observe``."""
+def with_numbers(df: DataFrame, trimmed: bool = False) -> DataFrame:
+    """The frame plus one parsed number per column, so each cell is parsed once."""
+    nothing = F.lit(None).cast("double")
+    return df.select("*", *[
+        (as_double(df, name, stripped=trimmed) if _numeric_or_text(df, name) else nothing).alias(f"_v{i}")
+        for i, name in enumerate(df.columns)
+    ])
+
+
+def profile_measures(columns: list[str], trimmed: bool = False) -> list[Column]:
+    """Aggregates over all columns of ``with_numbers``; usable in ``agg`` and in ``observe``.
+
+    ``trimmed`` says that the cells are stripped text already.
+    """
     measures = [F.count(F.lit(1)).alias("row_count")]
-    for i, name in enumerate(df.columns):
-        value = as_double(df, name) if _numeric_or_text(df, name) else F.lit(None).cast("double")
+    for i, name in enumerate(columns):
+        cell, value = named(name), F.col(f"_v{i}")
+        missing = F.coalesce(cell, F.lit("")) == "" if trimmed else is_missing(cell)
         measures += [
-            F.count_if(is_missing(named(name))).alias(f"nulls_{i}"),
+            F.count_if(missing).alias(f"nulls_{i}"),
             F.count(value).alias(f"count_{i}"),
             F.min(value).alias(f"min_{i}"),
             F.max(value).alias(f"max_{i}"),
@@ -50,7 +63,7 @@ def _rows(measured: DataFrame, columns: list[str]) -> DataFrame:
 
 def profile(df: DataFrame) -> DataFrame:
     """One row per column: position, row_count, null_count, numeric_count, min, max, avg."""
-    return _rows(df.agg(*profile_measures(df)), df.columns)
+    return _rows(with_numbers(df).agg(*profile_measures(df.columns)), df.columns)
 
 
 def profile_nulls(df: DataFrame) -> DataFrame:

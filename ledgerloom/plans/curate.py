@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.numbers import as_money
 from ledgerloom.plans.kpi import curated_frames
 from ledgerloom.session import build_session
 from ledgerloom.sources.contracts import CURATED, JOB_COLUMNS
@@ -15,10 +16,12 @@ from ledgerloom.sources.files import Files
 from ledgerloom.sources.zones import require_inputs
 
 
-def read_inputs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def read_inputs(spark: SparkSession, folder: str, staging: str | None = None) -> dict[str, DataFrame]:
     """The four inputs with only the columns the job reads.
 
-    A folder of Parquet tables is read as such; otherwise the CSV files are scanned.
+    A folder of Parquet tables is read as such; otherwise the CSV files are scanned. The
+    transactions feed three tables: with a ``staging`` folder their text is parsed once
+    into typed Parquet there, and each table then reads just its columns.
     """
     files = Files(spark)
     folder = folder.rstrip("/")
@@ -31,7 +34,14 @@ def read_inputs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         missing = [c for c in columns if c not in frames[name].columns]
         if missing:
             raise ValueError(f"{name}: missing columns {', '.join(missing)}")
-    return {n: frames[n].select(*columns) for n, columns in JOB_COLUMNS.items()}
+    inputs = {n: frames[n].select(*columns) for n, columns in JOB_COLUMNS.items()}
+    tx = inputs["fact_transactions"]
+    if staging and dict(tx.dtypes)["amount"] == "string":
+        path = f"{staging.rstrip('/')}/fact_transactions"
+        money = tx.withColumn("amount", as_money(tx, "amount"))
+        money.write.mode("overwrite").parquet(path)
+        inputs["fact_transactions"] = spark.read.parquet(path)
+    return inputs
 
 
 def typed(df: DataFrame, table: str) -> DataFrame:
@@ -63,7 +73,10 @@ def write_curated_csv(frames: dict[str, DataFrame], folder: str) -> dict[str, st
 
 def pipeline(spark: SparkSession, input_folder: str, output_folder: str) -> dict[str, DataFrame]:
     """Check inputs, compute, load; returns the loaded tables."""
-    paths = load_curated(curated_frames(read_inputs(spark, input_folder)), output_folder)
+    staging = f"{output_folder.rstrip('/')}/_staging"
+    inputs = read_inputs(spark, input_folder, staging)
+    paths = load_curated(curated_frames(inputs), output_folder)
+    Files(spark).remove(staging)
     return {name: spark.read.parquet(path) for name, path in paths.items()}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import named
 from ledgerloom.operators.predicates import require_columns, trim_all
-from ledgerloom.operators.profile import insights_of, profile_measures
+from ledgerloom.operators.profile import insights_of, profile_measures, with_numbers
 from ledgerloom.operators.windows import latest_landed
 from ledgerloom.sources.csv_files import FIELDS, scan_csv_raw
 from ledgerloom.sources.zones import Zones, base_name, classification_of, utc_now
@@ -21,12 +21,11 @@ def write_processed(raw: DataFrame, path: str) -> tuple[int, Row]:
     ``raw`` keeps its field count: a row longer than the header fails the file.
     """
     columns = [c for c in raw.columns if c != FIELDS]
-    clean = trim_all(raw)
     seen = Observation("profile")
-    watched = clean.observe(
+    watched = with_numbers(trim_all(raw), trimmed=True).observe(
         seen,
         F.count_if(F.col(FIELDS) > len(columns)).alias("long_rows"),
-        *profile_measures(clean.drop(FIELDS)),
+        *profile_measures(columns, trimmed=True),
     )
     watched.select(*[named(c) for c in columns]).write.mode("overwrite").parquet(path)
     measured = seen.get

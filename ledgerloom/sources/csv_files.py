@@ -70,7 +70,8 @@ def scan_csv_raw(
     rows = (
         _dialect(spark, multi_line)
         .schema(schema)
-        .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=RAW)
+        # A pruned parse would not notice that a record does not fit the header.
+        .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=RAW, columnPruning=False)
         .csv(path)
         .withColumn(FIELDS, _field_count(len(header)))
     )

@@ -255,8 +255,7 @@ def _(s: Star):
     inputs, out = shared_folder(s.spark, "inputs"), shared_folder(s.spark, "curated")
     for name, columns in JOB_COLUMNS.items():
         csv_copy(s, getattr(s, name).select(*columns), name, inputs)
-    curate.pipeline(s.spark, inputs, out)
-    tables = curate.pipeline(s.spark, inputs, out)  # a second run replaces the first
+    tables = curate.pipeline(s.spark, inputs, out)
     risk = tables["kpi_customer_risk"].agg(
         F.sum("transaction_count").alias("r"), F.sum("fraud_alert_count").alias("a"))
     return tables["kpi_daily_transactions"].agg(F.count("*").alias("daily_rows")).select(

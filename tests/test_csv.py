@@ -38,6 +38,7 @@ def test_empty_short_long_and_blank_lines(spark, folder):
 def test_field_count_can_be_read_alone(spark, folder):
     df = scan_csv_raw(spark, folder("a.csv", "a,b\n1,2\n3\n"), keep_field_count=True)
     assert rows(df.select(FIELDS)) == [(2,), (1,)] and df.count() == 2
+    assert rows(df.select("b")) == [("2",), (None,)]
 
 
 def test_duplicate_headers_keep_the_last_and_odd_names_survive(spark, folder):

@@ -33,12 +33,27 @@ def test_strip_is_python_strip(spark, values):
 @pytest.mark.parametrize("text,number", [
     ("1", 1.0), (" 2.5\t", 2.5), ("-3e2", -300.0), (".5", 0.5), ("7.", 7.0), ("1_000", 1000.0), ("\xa08", 8.0),
     ("", None), ("  ", None), (None, None), ("1.5d", None), ("1.5f", None), ("0x1p3", None), ("1__0", None),
-    ("_1", None), ("nan", None), ("inf", None), ("1e999", None), ("1,5", None), ("+4", 4.0), ("1 2", None),
+    ("_1", None), ("nan", None), ("inf", None), ("1e999", None), ("9" * 400, None), ("9" * 305, float("9" * 305)), ("1,5", None), ("+4", 4.0), ("1 2", None),
 ])
 def test_lenient_double(spark, text, number):
     assert texts(spark, [text]).select(lenient_double(F.col("v"))).first()[0] == number
 
 
+@pytest.mark.parametrize("text,money", [
+    ("1234567890123456.78", "1234567890123456.78"), ("1_0.005", "10.01"), ("1.5e3", "1500.00"), ("1e300", None),
+    ("1e999999999", None), ("-0.004", "0.00"), ("x", None), ("", None), (" 2 ", "2.00"), ("nan", None),
+])
+def test_as_money(spark, text, money):
+    df = texts(spark, [text])
+    got = df.select(as_money(df, "v")).first()[0]
+    assert (got if got is None else str(got)) == money
+
+
+def test_as_money_of_doubles(spark):
+    df = spark.createDataFrame([(1.25,), (1e300,), (None,)], "v double")
+    assert [r[0] if r[0] is None else str(r[0]) for r in df.select(as_money(df, "v")).collect()] == ["1.25", None, None]
+
+
 def finite(text):
     """What Python parses, with non-finite results left out."""
     try:
