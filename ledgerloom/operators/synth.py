@@ -32,10 +32,17 @@ def synth_accounts(index: DataFrame) -> DataFrame:
     )
 
 
-def range_smoke(spark: SparkSession, n: int = 1000, tasks: int = 8) -> tuple[int, int]:
-    """Cluster smoke check: counts 0..n-1 over several tasks and sums 0..9."""
-    count = spark.range(0, n, 1, tasks).count()
-    total = spark.range(0, 10, 1, 4).agg(F.sum("id").alias("s")).first().s
+def range_totals(spark: SparkSession, n: int, tasks: int = 8) -> DataFrame:
+    """Count and sum of 0..n-1, spread over several tasks."""
+    return spark.range(0, n, 1, tasks).agg(
+        F.count("*").alias("range_count"), F.coalesce(F.sum("id"), F.lit(0)).alias("range_sum")
+    )
+
+
+def range_smoke(spark: SparkSession, n: int = 1000) -> tuple[int, int]:
+    """Cluster smoke check: counts 0..n-1 and sums 0..9."""
+    count = range_totals(spark, n).first().range_count
+    total = range_totals(spark, 10, 4).first().range_sum
     if count != n or total != sum(range(10)):
         raise RuntimeError(f"smoke check failed: {count}, {total}")
     return count, total

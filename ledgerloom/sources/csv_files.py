@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.text import named
+from ledgerloom.sources.csv_records import quote_parity, split_records
+from ledgerloom.sources.files import Files
 
 RAW = "_raw_record"
 FIELDS = "_field_count"
@@ -18,11 +20,15 @@ def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
     Spark cannot split a file it reads with ``multiLine``. One splittable pass over
     the lines settles whether that is needed; stray quotes only make it cautious.
     """
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    found = spark.read.text(path).agg(F.max(quotes % 2).alias("odd")).first()
+    found = spark.read.text(path).agg(F.max(quote_parity(F.col("value"))).alias("odd")).first()
     return bool(found and found.odd)
 
 
+def _one_task_bytes(spark: SparkSession) -> int:
+    """Largest file one task may take whole: Spark's own split size."""
+    return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+
+
 def _dialect(spark: SparkSession, multi_line: bool):
     return spark.read.options(
         quote='"', escape='"', multiLine=multi_line, encoding="UTF-8", maxCharsPerColumn=-1
@@ -56,7 +62,8 @@ def scan_csv_raw(
 
     Empty fields read as ``''``; fields a short row does not have are null; fields
     beyond the header are ignored unless the caller checks the kept field count. Of
-    duplicate header names the last column wins. ``multi_line=None`` finds out first.
+    duplicate header names the last column wins. ``multi_line=None`` finds out whether
+    records span lines; files larger than a split are then read in pieces.
     """
     header = csv_header(spark, path)
     if not header:
@@ -67,14 +74,17 @@ def scan_csv_raw(
     schema = T.StructType(
         [T.StructField(s, T.StringType()) for s in slots] + [T.StructField(RAW, T.StringType())]
     )
-    rows = (
-        _dialect(spark, multi_line)
-        .schema(schema)
-        # A pruned parse would not notice that a record does not fit the header.
-        .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=RAW, columnPruning=False)
-        .csv(path)
-        .withColumn(FIELDS, _field_count(len(header)))
-    )
+    # A pruned parse would not notice that a record does not fit the header.
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": RAW, "columnPruning": False}
+    if multi_line and Files(spark).largest(path) > _one_task_bytes(spark):
+        text = {"quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
+        options = {**text, **{k: str(v).lower() if k == "columnPruning" else v for k, v in how.items()}}
+        rows = split_records(spark, path).select(
+            F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), options).alias("r")
+        ).select("r.*")
+    else:
+        rows = _dialect(spark, multi_line).schema(schema).options(header=True, **how).csv(path)
+    rows = rows.withColumn(FIELDS, _field_count(len(header)))
     last = {name: i for i, name in enumerate(header)}
     columns = [
         F.when(F.col(FIELDS) > i, F.coalesce(F.col(slots[i]), F.lit(""))).alias(name or f"_c{i}")

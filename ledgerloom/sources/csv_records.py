@@ -1,0 +1,74 @@
+"""Records of CSV files whose quoted fields span lines, read with splits.
+
+Spark's ``multiLine`` reader takes a file in one task. Here the lines are read split by
+split; whether a line begins inside quotes follows from the number of quotes before it,
+which needs one parity bit per split. Work stays within a split, except for the one record
+that may cross each split boundary.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def quote_parity(line: Column) -> Column:
+    """1 when the line holds an odd number of double quotes."""
+    return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2
+
+
+def _joined(parts: Column) -> Column:
+    """Lines of sorted (place, value) structs, joined again."""
+    return F.array_join(F.transform(F.sort_array(parts), lambda p: p["value"]), "\n")
+
+
+def split_records(spark: SparkSession, path: str) -> DataFrame:
+    """(record) of every data record; the first record of each file, its header, is left out."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+        quote_parity(F.col("value")).alias("odd"),
+    )
+    # One small row per split.
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (
+        lines.groupBy("file", "split").agg(F.sum("odd").alias("quotes"))
+        .withColumn("open_before", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+        .withColumn("open_after", (F.col("open_before") + F.col("quotes")) % 2)
+        .drop("quotes")
+    )
+    # A window partition is one split, so it is never larger than the split size.
+    here = Window.partitionBy("file", "split").orderBy("at")
+    above = here.rowsBetween(Window.unboundedPreceding, -1)
+    begins_outside = (F.col("open_before") + F.coalesce(F.sum("odd").over(above), F.lit(0))) % 2 == 0
+    numbered = (
+        lines.join(splits, ["file", "split"])
+        .withColumn("starts", begins_outside.cast("int"))
+        .withColumn("nth", F.sum("starts").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    pieces = numbered.groupBy("file", "split", "nth").agg(
+        _joined(F.collect_list(F.struct("at", "value"))).alias("text"),
+        F.max("open_after").alias("open_after"),
+    )
+    last = F.max("nth").over(Window.partitionBy("file", "split"))
+    pieces = pieces.withColumn(
+        "cut", (F.col("nth") == 0) | ((F.col("open_after") == 1) & (F.col("nth") == last))
+    )
+    whole = pieces.filter(~F.col("cut")).select("file", "split", "nth", "text")
+    # At most two pieces per split are cut; they are put together in file order.
+    order = Window.partitionBy("file").orderBy("split", "nth")
+    crossing = (
+        pieces.filter("cut")
+        .withColumn("group", F.sum((F.col("nth") > 0).cast("int")).over(order))
+        .groupBy("file", "group")
+        .agg(
+            F.min(F.struct("split", "nth")).alias("first"),
+            _joined(F.collect_list(F.struct("split", "nth", F.col("text").alias("value")))).alias("text"),
+        )
+        .select("file", "first.split", "first.nth", "text")
+    )
+    records = whole.unionByName(crossing).withColumn("record", F.regexp_replace("text", "\r$", ""))
+    header = (F.col("split") == 0) & (F.col("nth") == 1)
+    return records.filter(~header & (F.col("record") != "")).select("record")

@@ -23,6 +23,11 @@ class Files:
         fs, target = self._open(path)
         return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
 
+    def largest(self, path: str) -> int:
+        """Bytes of the largest file in a folder (or of the file itself)."""
+        fs, target = self._open(path)
+        return max((s.getLen() for s in fs.listStatus(target) if s.isFile()), default=0)
+
     def names(self, folder: str) -> list[str]:
         fs, target = self._open(folder)
         if not fs.exists(target):

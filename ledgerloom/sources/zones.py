@@ -148,6 +148,12 @@ class Zones:
         """The newest registry rows, as listed to users."""
         return newest_n(self.registry(), KEPT, F.desc("uploaded_at"), F.desc("seq"))
 
+    def compact(self) -> None:
+        """Replace the log by its folded rows; each append leaves a small file behind."""
+        fresh = f"{self.registry_log}.next"
+        self.registry().write.mode("overwrite").json(fresh)
+        self.files.move(fresh, self.registry_log)
+
     def retire(self, dataset: str) -> dict:
         """Drop a dataset's registry rows and stored copies; the log is rewritten without it."""
         name = base_name(dataset)

@@ -370,3 +370,10 @@ def _(s: Star):
     FROM (SELECT c_custkey + 1 AS i FROM customer)""")
 def _(s: Star):
     return synth.synth_accounts(s.table("customer").select((F.col("c_custkey") + 1).alias("i")))
+
+
+@query("range_smoke", sql="""
+    SELECT count(*) AS range_count, CAST(coalesce(sum(i - 1), 0) AS BIGINT) AS range_sum
+    FROM (SELECT row_number() OVER () AS i FROM lineitem)""")
+def _(s: Star):
+    return synth.range_totals(s.spark, s.table("lineitem").count())

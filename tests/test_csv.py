@@ -93,3 +93,43 @@ def test_reads_what_it_writes(spark, tmp_path, table):
     path = str(tmp_path / uuid.uuid4().hex)
     write_csv(spark.createDataFrame(table, "left string, right string").coalesce(1), path)
     assert rows(scan_csv_raw(spark, path)) == table
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    """Splits of a few hundred bytes, so records cross them."""
+    name = "spark.sql.files.maxPartitionBytes"
+    old = {n: spark.conf.get(n) for n in (name, "spark.sql.files.openCostInBytes")}
+    spark.conf.set(name, "200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    for n, value in old.items():
+        spark.conf.set(n, value)
+
+
+def test_spanning_records_are_read_in_splits(spark, folder, tiny_splits):
+    import random
+
+    rnd = random.Random(3)
+    parts = ["x", "a,b", 'q"q', "two\nlines", "", "\n\n", "plain text", "l\n" * 60, '"', " pad ", "é" * 30]
+    want = []
+    for f in range(3):
+        table = [(str(f * 100 + i), rnd.choice(parts), rnd.choice(parts)) for i in range(60)]
+        text = io.StringIO()
+        writer = csv.writer(text, lineterminator="\n" if f else "\r\n")
+        writer.writerows([("id", "left", "right"), *table])
+        folder(f"many/part{f}.csv", text.getvalue() + "\n")
+        want += table
+    path = f"{folder.root}/many"
+    assert spark.read.text(path).rdd.getNumPartitions() > 20
+    got = scan_csv_raw(spark, path, keep_field_count=True)
+    assert "FileScan text" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(rows(got)) == sorted((*r, 3) for r in want)
+
+
+def test_ragged_rows_in_splits(spark, folder, tiny_splits):
+    body = '1,"a\nb"\n2\n\n3,x,y\n4,\n' + "".join(f'{i},"{"z" * 50}"\n' for i in range(5, 30))
+    df = scan_csv_raw(spark, folder("a.csv", "id,t\n" + body), keep_field_count=True)
+    got = sorted(rows(df), key=lambda r: int(r[0]))
+    assert got[:4] == [("1", "a\nb", 2), ("2", None, 1), ("3", "x", 3), ("4", "", 2)] and len(got) == 29
+    assert df.select("t").count() == 29 and df.count() == 29

@@ -137,6 +137,16 @@ def test_retire(zones, folder):
     assert not zones.files.exists(zones.published("a.csv")) and not zones.is_ready("a.csv")
 
 
+def test_compact_keeps_the_registry(zones, folder):
+    land(zones, folder, "a.csv", "k\n1\n")
+    process_all(zones, "all")
+    before = rows(zones.registry())
+    zones.compact()
+    assert rows(zones.registry()) == before
+    land(zones, folder, "b.csv", "k\n1\n")
+    assert statuses(zones) == [("a.csv", "analytics_ready", "success"), ("b.csv", "landed", "landed")]
+
+
 def test_registry_read_forms(spark, folder):
     array = folder("a.json", '[{"dataset": "x", "row_count": 3, "stages": [{"stage": "s"}]}, {"dataset": "y"}]')
     lines = folder("l.json", '{"dataset": "x"}\n{"dataset": "y", "unknown": 1}\n')
