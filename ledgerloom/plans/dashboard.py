@@ -10,6 +10,7 @@ from ledgerloom.functions.text import cut, label_or, named
 from ledgerloom.operators.aggregates import (
     ENTITIES, LABEL_WIDTH, histogram, named_merchants,
 )
+from ledgerloom.operators.registry import pipeline_mix, uploads_by_day
 from ledgerloom.operators.windows import ranked
 from ledgerloom.session import literal_rows
 
@@ -123,23 +124,11 @@ def _transaction_series(tx: DataFrame, merchants: DataFrame, seq: str) -> DataFr
     return merchant_series(rows.filter(F.col("kind") == "merchant")).unionByName(others)
 
 
-def _registry_series(registry: DataFrame) -> DataFrame:
-    """Upload days and the status mix from one pass over the registry."""
-    day = F.substring(F.coalesce(F.col("uploaded_at").cast("string"), F.lit("")), 1, 10)
-    status = F.coalesce(F.nullif(F.col("pipeline_status"), F.lit("")), F.lit("unknown"))
-    summary = _summary(registry, {"uploads_by_day": day, "pipeline_status": status}).filter(
-        (F.col("kind") != "all") & (F.col("label") != "")
-    )
-    # Newest days and all statuses (a handful); both are then shown in ascending order.
-    days = F.col("kind") == "uploads_by_day"
-    newest = Window.partitionBy("kind").orderBy(F.desc("label"))
-    shown = summary.withColumn("back", F.row_number().over(newest)).filter(
-        ~days | (F.col("back") <= DAYS)
-    )
-    order = Window.partitionBy("kind").orderBy("label")
-    return shown.select(
-        F.col("kind").alias("key"), F.row_number().over(order).alias("ord"), "label",
-        F.col("n").cast("double").alias("value"),
+def _numbered(df: DataFrame, key: str) -> DataFrame:
+    """Chart rows of an already small (label, value) frame, in label order."""
+    return df.select(
+        F.lit(key).alias("key"), F.row_number().over(Window.orderBy("label")).alias("ord"),
+        "label", "value",
     )
 
 
@@ -148,7 +137,7 @@ def dashboard_charts(
 ) -> DataFrame:
     """(key, title, ord, label, value); a series without rows shows one ``—`` of 0.
 
-    Each table is scanned once for all its counts. The two histograms add a min/max pass
+    Each star table is scanned once for all its counts. The two histograms add a min/max pass
     and a binning pass over a single column.
     """
     tx, loans = frames["fact_transactions"], frames["fact_loans"]
@@ -176,7 +165,8 @@ def dashboard_charts(
             {"region": "customers_region", "customer_segment": "customers_segment"},
         ),
         counts(frames["dim_accounts"], "Accounts", {}, {}),
-        _registry_series(registry),
+        _numbered(uploads_by_day(registry, DAYS), "uploads_by_day"),
+        _numbered(pipeline_mix(registry), "pipeline_status"),
     ]
     blanks = [(k, 0, "—", 0.0) for k in TITLES if not k.startswith("merchants_")]
     blanks += [("entity_counts", i, label, 0.0) for i, (label, _) in enumerate(ENTITIES, 1)]

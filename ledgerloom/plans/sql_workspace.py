@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import clamp
+from ledgerloom.session import literal_rows
 from ledgerloom.sources.contracts import GATED
 from ledgerloom.sources.zones import Zones
 
@@ -115,11 +116,21 @@ class SqlWorkspace:
         return out
 
     def catalog_list(self, database: str | None = None) -> DataFrame:
-        """Tables by name, with a preview query each; and permanent ones of a database."""
-        listed = self.spark.catalog.listTables(database) if database else self.spark.catalog.listTables()
+        """This workspace's tables, or a database's, by name, each with a preview query."""
+        if database is None:
+            listed = [t for t in self.spark.catalog.listTables() if t.isTemporary]
+        else:
+            listed = [t for t in self.spark.catalog.listTables(database) if not t.isTemporary]
+        prefix = f"{database}." if database else ""
         rows = sorted(
-            (t.name, t.tableType, f"SELECT * FROM {t.name} LIMIT 100") for t in listed
-        )
-        return self.spark.createDataFrame(
-            rows, "table_id string, table_type string, select_preview_sql string"
+            (t.name, t.tableType, f"SELECT * FROM {prefix}{t.name} LIMIT 100") for t in listed
         )
+        if not rows:
+            return self.spark.createDataFrame(
+                [], "table_id string, table_type string, select_preview_sql string"
+            )
+        return literal_rows(self.spark, rows, "table_id, table_type, select_preview_sql")
+
+    def database_list(self) -> DataFrame:
+        names = sorted(d.name for d in self.spark.catalog.listDatabases())
+        return literal_rows(self.spark, [(n,) for n in names], "dataset_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.text import named
+from ledgerloom.functions.text import named, strip
 from ledgerloom.sources.csv_records import quote_parity, split_records
 from ledgerloom.sources.files import Files
 
@@ -129,12 +129,38 @@ def export_csv(df: DataFrame, path: str) -> None:
     )
 
 
+# What a column may be typed as, in order of preference: type and accepted notation.
+DETECTED = [
+    ("bigint", r"^[+-]?\d{1,18}$"),
+    ("double", r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,3})?$"),
+    ("boolean", r"^(?i:true|false)$"),
+    ("date", r"^\d{4}-\d{2}-\d{2}$"),
+    ("timestamp", r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"),
+]
+
+
+def detect_types(raw: DataFrame) -> dict[str, str]:
+    """Type of each text column: the first that every non-empty cell fits, else string."""
+    measures = []
+    for i, name in enumerate(raw.columns):
+        cell = F.nullif(strip(named(name)), F.lit(""))
+        measures.append(F.count(cell).alias(f"n{i}"))
+        for kind, notation in DETECTED:
+            fits = cell.rlike(notation) & cell.try_cast(kind).isNotNull()
+            measures.append(F.count_if(fits).alias(f"{kind}{i}"))
+    seen = raw.agg(*measures).first()
+    return {
+        name: next((k for k, _ in DETECTED if seen[f"n{i}"] and seen[f"{k}{i}"] == seen[f"n{i}"]), "string")
+        for i, name in enumerate(raw.columns)
+    }
+
+
 def load_warehouse_infer(spark: SparkSession, path: str, table: str, location: str) -> DataFrame:
     """Replace a table by a CSV whose column types are detected from all its rows."""
-    frame = (
-        _dialect(spark, has_quoted_newlines(spark, path))
-        .options(header=True, inferSchema=True, preferDate=True)
-        .csv(path)
-    )
-    frame.write.mode("overwrite").option("path", location).saveAsTable(table)
+    raw = scan_csv_raw(spark, path)
+    typed = raw.select([
+        (named(c) if kind == "string" else strip(named(c)).try_cast(kind)).alias(c)
+        for c, kind in detect_types(raw).items()
+    ])
+    typed.write.mode("overwrite").option("path", location).saveAsTable(table)
     return spark.table(table)

@@ -67,3 +67,17 @@ def test_examples_all_run(space):
 def test_catalog_and_private_views(spark, space):
     assert [r.table_id for r in space.catalog_list().collect()] == sorted(TABLES)
     assert not spark.catalog.tableExists("dim_customers")
+
+
+def test_warehouse_tables_are_replaced_and_listed(spark, space, folder):
+    from ledgerloom.session import shared_folder
+    from ledgerloom.sources.csv_files import load_warehouse_infer
+
+    for text, kinds in [("a,b\n1,x\n2,\"y\nz\"\n", ["bigint", "string"]), ("a,c,d,e,f,g\n1.5,2024-01-02,,TRUE,2024-01-02T03:04:05Z,0x1\n 2 ,,,false,,1\n",
+         ["double", "date", "string", "boolean", "timestamp", "string"])]:
+        df = load_warehouse_infer(spark, folder("w.csv", text), "wh_test", shared_folder(spark, "warehouse"))
+        assert [k for _, k in df.dtypes] == kinds
+    assert df.count() == 2
+    assert "default" in [r.dataset_id for r in space.database_list().collect()]
+    listed = {r.table_id: r.select_preview_sql for r in space.catalog_list("default").collect()}
+    assert listed["wh_test"] == "SELECT * FROM default.wh_test LIMIT 100"
