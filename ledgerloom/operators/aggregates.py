@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import as_double, as_money, clamp, total, whole_text
@@ -122,6 +122,48 @@ def value_counts(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     return category_counts(df, {column: k}).select("ord", "label", "value")
 
 
+def label_counts(
+    df: DataFrame, columns: dict[str, str], amount: Column | None = None, total: bool = False
+) -> DataFrame:
+    """Rows (and an amount sum) per value of several columns, in one pass.
+
+    ``columns`` maps a kind to a column. Returns kind, label, n, amt; with ``total`` also one
+    row of kind ``all``. Raw values are grouped first, so each distinct value, not each row,
+    is stripped to its label; blank values share the label ``(empty)``.
+    """
+    kinds = list(columns)
+    base = df.select(
+        *[named(c).alias(f"k{i}") for i, c in enumerate(columns.values())],
+        *([] if amount is None else [amount.alias("amount")]),
+    )
+    keys = [f"k{i}" for i in range(len(kinds))]
+    sets = [[k] for k in keys] + ([[]] if total else [])
+    measures = [
+        F.count("*").alias("n"),
+        (F.lit(None).cast("bigint") if amount is None else F.sum("amount")).alias("amt"),
+    ]
+    if len(sets) == 1:
+        raw = base.groupBy(*keys).agg(*measures).withColumn("kept", F.lit(0))
+    else:
+        # Bit i of the id, from the left, says that column i was rolled up.
+        everything = (1 << len(keys)) - 1
+        kept = F.coalesce(*[
+            F.when(F.col("id") == everything - (1 << (len(keys) - 1 - i)), i) for i in range(len(keys))
+        ], F.lit(-1))
+        raw = (
+            base.groupingSets(sets, *keys).agg(*measures, F.grouping_id().alias("id"))
+            .withColumn("kept", kept)
+        )
+    label = F.coalesce(*[
+        F.when(F.col("kept") == i, label_or(F.col(k), "(empty)")) for i, k in enumerate(keys)
+    ], F.lit(""))
+    kind = F.coalesce(*[F.when(F.col("kept") == i, k) for i, k in enumerate(kinds)], F.lit("all"))
+    return (
+        raw.select(kind.alias("kind"), label.alias("label"), "n", "amt")
+        .groupBy("kind", "label").agg(F.sum("n").alias("n"), F.sum("amt").alias("amt"))
+    )
+
+
 def category_counts(df: DataFrame, limits: dict[str, int]) -> DataFrame:
     """Top values of several columns in one pass: (column, ord, label, value)."""
     wanted = {c: k for c, k in limits.items() if c in df.columns}
@@ -129,24 +171,11 @@ def category_counts(df: DataFrame, limits: dict[str, int]) -> DataFrame:
         return _unit(df).filter("false").selectExpr(
             "'' AS `column`", "0 AS ord", "'' AS label", "CAST(0 AS DOUBLE) AS value"
         )
-    names = list(wanted)
-    labels = df.select([label_or(named(c), "(empty)").alias(c) for c in names])
-    if len(names) == 1:
-        counted = labels.groupBy(names[0]).agg(F.count("*").alias("n")).select(
-            F.lit(names[0]).alias("column"), F.col(names[0]).alias("label"), "n"
-        )
-    else:
-        # Each grouping set leaves one column non-null: the one it counts.
-        which = F.coalesce(*[F.when(F.col(c).isNotNull(), c) for c in names])
-        counted = (
-            labels.groupingSets([[c] for c in names], *names)
-            .agg(F.count("*").alias("n"))
-            .select(which.alias("column"), F.coalesce(*names).alias("label"), "n")
-        )
-    limit = F.coalesce(*[F.when(F.col("column") == c, k) for c, k in wanted.items()])
-    best = ranked(counted, max(wanted.values()), F.col("column"), F.desc("n"), F.col("label"))
+    counted = label_counts(df, {c: c for c in wanted})
+    limit = F.coalesce(*[F.when(F.col("kind") == c, k) for c, k in wanted.items()])
+    best = ranked(counted, max(wanted.values()), F.col("kind"), F.desc("n"), F.col("label"))
     return best.filter(F.col("ord") <= limit).select(
-        "column", "ord", cut(F.col("label"), LABEL_WIDTH).alias("label"),
+        F.col("kind").alias("column"), "ord", cut(F.col("label"), LABEL_WIDTH).alias("label"),
         F.col("n").cast("double").alias("value"),
     )
 

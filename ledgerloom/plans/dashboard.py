@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import as_money
-from ledgerloom.functions.text import cut, label_or, named
+from ledgerloom.functions.text import cut
 from ledgerloom.operators.aggregates import (
-    ENTITIES, LABEL_WIDTH, histogram, named_merchants,
+    ENTITIES, LABEL_WIDTH, histogram, label_counts, named_merchants,
 )
 from ledgerloom.operators.registry import pipeline_mix, uploads_by_day
 from ledgerloom.operators.windows import ranked
@@ -57,25 +57,6 @@ def ranked_merchants(tx: DataFrame, merchants: DataFrame, seq: str = "merchant_i
     return named_merchants(best, merchants, seq)
 
 
-def _summary(df: DataFrame, labels: dict[str, Column], amount: Column | None = None) -> DataFrame:
-    """One pass over a table: rows per value of each label column, and the total row count.
-
-    Columns: kind (label name or ``all``), label, n, amt. Labels are never null, so the one
-    column a grouping set keeps is the non-null one.
-    """
-    names = list(labels)
-    base = df.select(
-        *[c.alias(name) for name, c in labels.items()],
-        (F.lit(0).cast("bigint") if amount is None else amount).alias("amount"),
-    )
-    kind = F.coalesce(*[F.when(F.col(n).isNotNull(), n) for n in names], F.lit("all"))
-    return (
-        base.groupingSets([*[[n] for n in names], []], *names)
-        .agg(F.count("*").alias("n"), F.sum("amount").alias("amt"))
-        .select(kind.alias("kind"), F.coalesce(*names).alias("label"), "n", "amt")
-    )
-
-
 def _best(summary: DataFrame, limits: dict[str, int], by_amount: str = "") -> DataFrame:
     """The top rows of each kind; Spark keeps only these before it shuffles by kind."""
     limit = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in limits.items()], F.lit(1))
@@ -99,21 +80,14 @@ def _series(best: DataFrame, keys: dict[str, str], entity: str) -> DataFrame:
     )
 
 
-def _category(df: DataFrame, column: str) -> Column:
-    return label_or(named(column), "(empty)")
-
-
 def _transaction_series(tx: DataFrame, merchants: DataFrame, seq: str) -> DataFrame:
     """Merchants, channels, types and the row count from a single pass."""
     id_type = tx.schema["merchant_id"].dataType
-    # A blank id is no merchant; the empty label keeps it apart from the total row.
-    merchant = F.coalesce(F.col("merchant_id").cast("string"), F.lit(""))
-    summary = _summary(
+    summary = label_counts(
         tx,
-        {"merchant": merchant, "channel": _category(tx, "channel"),
-         "type": _category(tx, "transaction_type")},
-        F.coalesce(as_money(tx, "amount").cast("bigint"), F.lit(0)),
-    ).filter((F.col("kind") != "merchant") | (F.col("label") != ""))
+        {"merchant": "merchant_id", "channel": "channel", "type": "transaction_type"},
+        F.coalesce(as_money(tx, "amount").cast("bigint"), F.lit(0)), total=True,
+    ).filter((F.col("kind") != "merchant") | (F.col("label") != "(empty)"))
     best = _best(summary, {"merchant": TOP, "channel": TOP, "type": TOP}, "merchant")
     ids = F.when(F.col("kind") == "merchant", F.col("label").cast(id_type))
     rows = named_merchants(best.withColumn("merchant_id", ids), merchants, seq)
@@ -144,12 +118,12 @@ def dashboard_charts(
     customers, alerts = frames["dim_customers"], frames["fact_fraud_alerts"]
 
     def counts(df: DataFrame, entity: str, limits: dict[str, int], keys: dict[str, str]) -> DataFrame:
-        labels = {c: _category(df, c) for c in limits if c in df.columns}
-        if not labels:
+        columns = {c: c for c in limits if c in df.columns}
+        if not columns:
             total = df.agg(F.count("*").alias("n")).select(
                 F.lit("all").alias("kind"), F.lit("").alias("label"), "n", F.lit(1).alias("ord"))
             return _series(total, {"": ""}, entity)
-        return _series(_best(_summary(df, labels), limits), keys, entity)
+        return _series(_best(label_counts(df, columns, total=True), limits), keys, entity)
 
     def bins(df: DataFrame, column: str, key: str) -> DataFrame:
         return histogram(df, column, 5).withColumn("key", F.lit(key))

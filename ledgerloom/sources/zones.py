@@ -7,6 +7,7 @@ published copy and the finance or external copy. All paths are Hadoop URIs.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import time
 from functools import reduce
 
@@ -126,10 +127,18 @@ class Zones:
 
     # Registry: an append-only log; the newest non-null value of each field wins.
     def record(self, **fields) -> dict:
+        """Append one entry, as a file of its own, and return it."""
         row = {f.name: fields.get(f.name) for f in REGISTRY.fields}
         row["seq"] = time.time_ns()
-        frame = self.spark.createDataFrame([row], REGISTRY)
-        frame.coalesce(1).write.mode("append").json(self.registry_log)
+        entry = {k: v for k, v in row.items() if v is not None}
+        if "stages" in entry:
+            names = ("stage", "status", "message")
+            entry["stages"] = [dict(zip(names, stage)) for stage in entry["stages"]]
+        if "insights" in entry:
+            entry["insights"] = entry["insights"].asDict(recursive=True)
+        hidden = f"{self.root}/metadata/_entry-{row['seq']}"
+        self.files.write_marker(hidden, json.dumps(entry) + "\n")
+        self.files.move(hidden, f"{self.registry_log}/entry-{row['seq']}.json")
         return row
 
     def registry(self) -> DataFrame:
