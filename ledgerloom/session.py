@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -25,6 +24,10 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+# Temporary folders of local sessions, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder every executor can reach, under ``spark.checkpoint.dir``.
 
@@ -35,8 +38,9 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = os.environ.get("LEDGERLOOM_LOCAL_DIR") or tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _LOCAL_FOLDERS.setdefault(
+            spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="ledgerloom-")
+        )
     return f"{base.rstrip('/')}/ledgerloom/{label}-{uuid.uuid4().hex}"
 
 

@@ -85,3 +85,28 @@ REGISTRY = T.StructType([
     T.StructField("stages", T.ArrayType(STAGE)),
     T.StructField("insights", INSIGHTS),
 ])
+AUDIT = T.StructType([
+    T.StructField("seq", T.LongType()),
+    T.StructField("timestamp", T.StringType()),
+    T.StructField("username", T.StringType()),
+    T.StructField("action", T.StringType()),
+    T.StructField("outcome", T.StringType()),
+    T.StructField("details", T.StringType()),
+])
+JOB_SUMMARY = T.StructType([
+    T.StructField(name, T.LongType()) for name in (
+        "successful_datasets", "finance_datasets", "external_datasets", "total_rows_processed")
+])
+ETL_JOB = T.StructType([
+    T.StructField("seq", T.LongType()),
+    T.StructField("job_id", T.StringType()),
+    T.StructField("job_name", T.StringType()),
+    T.StructField("triggered_by", T.StringType()),
+    T.StructField("triggered_at", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("run_id", T.StringType()),
+    T.StructField("state", T.StringType()),
+    T.StructField("message", T.StringType()),
+    T.StructField("stages", T.ArrayType(T.StringType())),
+    T.StructField("summary", JOB_SUMMARY),
+])

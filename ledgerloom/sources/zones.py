@@ -7,8 +7,6 @@ published copy and the finance or external copy. All paths are Hadoop URIs.
 from __future__ import annotations
 
 import datetime as dt
-import json
-import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +16,12 @@ from pyspark.sql import types as T
 from ledgerloom.functions.numbers import clamp
 from ledgerloom.operators.limits import newest_n
 from ledgerloom.operators.registry import KEPT
-from ledgerloom.sources.contracts import GATED, REGISTRY, REQUIRED_COLUMNS
+from ledgerloom.sources.contracts import (
+    AUDIT, ETL_JOB, GATED, REGISTRY, REQUIRED_COLUMNS, STAGE,
+)
 from ledgerloom.sources.csv_files import scan_csv_raw
 from ledgerloom.sources.files import Files
+from ledgerloom.sources.logs import JsonLog, read_json_log
 
 
 def utc_now() -> dt.datetime:
@@ -40,6 +41,9 @@ class Zones:
         self.spark = spark
         self.root = root.rstrip("/")
         self.files = Files(spark)
+        self.log = JsonLog(spark, f"{self.root}/metadata/dataset_registry", REGISTRY)
+        self.audit = JsonLog(spark, f"{self.root}/metadata/audit_logs", AUDIT)
+        self.jobs = JsonLog(spark, f"{self.root}/metadata/etl_jobs", ETL_JOB)
 
     # Paths
     def landing(self, file: str) -> str:
@@ -57,10 +61,6 @@ class Zones:
     def marker(self, dataset: str, kind: str = "analytics_ready") -> str:
         return f"{self.root}/activated/{dataset}.{kind}"
 
-    @property
-    def registry_log(self) -> str:
-        return f"{self.root}/metadata/dataset_registry"
-
     # Markers
     def is_ready(self, dataset: str) -> bool:
         return self.files.exists(self.marker(dataset))
@@ -127,25 +127,14 @@ class Zones:
 
     # Registry: an append-only log; the newest non-null value of each field wins.
     def record(self, **fields) -> dict:
-        """Append one entry, as a file of its own, and return it."""
-        row = {f.name: fields.get(f.name) for f in REGISTRY.fields}
-        row["seq"] = time.time_ns()
-        entry = {k: v for k, v in row.items() if v is not None}
-        if "stages" in entry:
-            names = ("stage", "status", "message")
-            entry["stages"] = [dict(zip(names, stage)) for stage in entry["stages"]]
-        if "insights" in entry:
-            entry["insights"] = entry["insights"].asDict(recursive=True)
-        hidden = f"{self.root}/metadata/_entry-{row['seq']}"
-        self.files.write_marker(hidden, json.dumps(entry) + "\n")
-        self.files.move(hidden, f"{self.registry_log}/entry-{row['seq']}.json")
-        return row
+        stages = fields.get("stages")
+        if stages:
+            fields["stages"] = [dict(zip(STAGE.names, stage)) for stage in stages]
+        return self.log.append(**fields)
 
     def registry(self) -> DataFrame:
         """One row per landing: (uploaded_at, dataset), with later entries folded in."""
-        if not self.files.exists(self.registry_log):
-            return self.spark.createDataFrame([], REGISTRY)
-        log = registry_read(self.spark, self.registry_log)
+        log = self.log.frame()
         keys = ["uploaded_at", "dataset"]
         rest = [c for c in REGISTRY.names if c not in keys and c != "seq"]
         latest = [
@@ -159,9 +148,7 @@ class Zones:
 
     def compact(self) -> None:
         """Replace the log by its folded rows; each append leaves a small file behind."""
-        fresh = f"{self.registry_log}.next"
-        self.registry().write.mode("overwrite").json(fresh)
-        self.files.move(fresh, self.registry_log)
+        self.log.replace(self.registry())
 
     def retire(self, dataset: str) -> dict:
         """Drop a dataset's registry rows and stored copies; the log is rewritten without it."""
@@ -171,10 +158,7 @@ class Zones:
         if not landings:
             return {"deleted": False, "error": "not_found",
                     "message": f"No catalog entries for {name}."}
-        fresh = f"{self.registry_log}.next"
-        kept = registry_read(self.spark, self.registry_log).filter(F.col("dataset") != name)
-        kept.write.mode("overwrite").json(fresh)
-        self.files.move(fresh, self.registry_log)
+        self.log.replace(self.log.frame().filter(F.col("dataset") != name))
         for file in filter(None, landings):
             self.files.remove(self.landing(file))
             self.files.remove(self.processing(file))
@@ -208,17 +192,7 @@ class Zones:
 
 
 def registry_read(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON registry: one object per line, or one array; unreadable text gives no rows."""
-    schema = T.StructType([*REGISTRY.fields, T.StructField("_bad", T.StringType())])
-    first = spark.read.text(path).filter("trim(value) <> ''").head(1)
-    is_array = bool(first) and first[0].value.lstrip().startswith("[")
-    rows = (
-        spark.read.schema(schema).options(multiLine=is_array, columnNameOfCorruptRecord="_bad")
-        .json(path)
-    )
-    # Spark refuses plans that read nothing but the bad-record column, so name another.
-    parsed = F.col("_bad").isNull() & (F.length(F.coalesce("dataset", F.lit(""))) >= 0)
-    return rows.filter(parsed).drop("_bad")
+    return read_json_log(spark, path, REGISTRY)
 
 
 def require_inputs(spark: SparkSession, folder: str, names: list[str]) -> dict[str, str]:

@@ -18,7 +18,7 @@ def process_new_landings(zones: Zones, checkpoint: str) -> StreamingQuery:
     repeats only the batch it had not finished. Repeating a batch is harmless, because
     publishing replaces and the registry keeps the newest value of each field.
     """
-    log = zones.spark.readStream.schema(REGISTRY).json(zones.registry_log)
+    log = zones.spark.readStream.schema(REGISTRY).json(zones.log.path)
     landed = log.filter(
         (F.col("pipeline_status") == "landed") & (F.coalesce("landing_file", F.lit("")) != "")
     )

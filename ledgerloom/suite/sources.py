@@ -14,10 +14,11 @@ from ledgerloom.plans import curate, ingest, kpi
 from ledgerloom.plans.sql_workspace import SqlWorkspace
 from ledgerloom.session import shared_folder
 from ledgerloom.sources import zones as z
-from ledgerloom.sources.contracts import JOB_COLUMNS, KPI_TABLES, REGISTRY
+from ledgerloom.sources.contracts import AUDIT, JOB_COLUMNS, KPI_TABLES, REGISTRY
 from ledgerloom.sources.csv_files import (
     FIELDS, export_csv, load_warehouse_infer, scan_csv_job, scan_csv_raw, write_csv,
 )
+from ledgerloom.sources.logs import JsonLog
 from ledgerloom.suite.core import SQL_WHITESPACE, Star, csv_copy, query
 from ledgerloom.suite.predicates import NAME_LIST_SQL, NAMES, dealt_names
 
@@ -319,14 +320,15 @@ def _(s: Star):
     ORDER BY seq DESC LIMIT 500""")
 def _(s: Star):
     audit = s.table("events").select(
-        F.col("event_id").alias("seq"), F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"),
+        F.col("event_id").alias("seq"), F.col("ts").cast("string").alias("timestamp"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("username"),
         F.col("event_type").alias("action"),
         F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("outcome"),
         F.col("props").alias("details"))
-    path = f"{shared_folder(s.spark, 'audit')}/log"
+    log = JsonLog(s.spark, f"{shared_folder(s.spark, 'audit')}/log", AUDIT)
     for part in (audit.filter("seq % 2 = 0"), audit.filter("seq % 2 = 1")):
-        part.write.mode("append").json(path)
-    return z.newest_n(s.spark.read.schema(audit.schema).json(path), reg.KEPT, F.desc("seq"))
+        log.append_rows(part)
+    return log.newest(reg.KEPT).drop("timestamp")
 
 
 @query("kpi_sources", sql=f"""
