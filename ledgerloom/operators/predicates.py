@@ -48,7 +48,7 @@ def missing_columns(dataset: str, present: list[str]) -> list[str]:
 def require_columns(dataset: str, present: list[str]) -> None:
     missing = missing_columns(dataset, present)
     if missing:
-        raise ValueError(f"Missing required columns: {', '.join(missing)}")
+        raise ValueError(f"Required columns are missing: {', '.join(missing)}")
 
 
 def required_columns(landings: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def required_columns(landings: DataFrame) -> DataFrame:
 
 def reject_empty(df: DataFrame) -> DataFrame:
     if df.isEmpty():
-        raise ValueError("CSV contains no data rows.")
+        raise ValueError("The file has a header but no rows.")
     return df
 
 

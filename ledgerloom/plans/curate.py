@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import as_money
 from ledgerloom.plans.kpi import curated_frames
-from ledgerloom.session import build_session
+from ledgerloom.session import build_session, sized_shuffles
 from ledgerloom.sources.contracts import CURATED, JOB_COLUMNS
 from ledgerloom.sources.csv_files import scan_csv_raw, write_csv
 from ledgerloom.sources.files import Files
@@ -73,10 +73,12 @@ def write_curated_csv(frames: dict[str, DataFrame], folder: str) -> dict[str, st
 
 def pipeline(spark: SparkSession, input_folder: str, output_folder: str) -> dict[str, DataFrame]:
     """Check inputs, compute, load; returns the loaded tables."""
+    files = Files(spark)
     staging = f"{output_folder.rstrip('/')}/_staging"
-    inputs = read_inputs(spark, input_folder, staging)
-    paths = load_curated(curated_frames(inputs), output_folder)
-    Files(spark).remove(staging)
+    with sized_shuffles(spark, files.size(input_folder)):
+        inputs = read_inputs(spark, input_folder, staging)
+        paths = load_curated(curated_frames(inputs), output_folder)
+    files.remove(staging)
     return {name: spark.read.parquet(path) for name, path in paths.items()}
 
 

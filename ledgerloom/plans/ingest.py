@@ -32,7 +32,7 @@ def write_processed(raw: DataFrame, path: str) -> tuple[int, Row]:
     if measured["long_rows"]:
         raise ValueError(f"{measured['long_rows']} rows have more fields than the header.")
     if measured["row_count"] == 0:
-        raise ValueError("CSV contains no data rows.")
+        raise ValueError("The file has a header but no rows.")
     return measured["row_count"], insights_of(measured, columns)
 
 
@@ -56,11 +56,11 @@ def process_landing(zones: Zones, dataset: str, landing_file: str, uploaded_at:
     except Exception:
         zones.files.remove(processed)
         raise
-    stages = [("processing_stage", "passed", f"Validated and normalized {row_count} records.")]
-    target = publish(zones, processed, name)
-    stages.append(("result_stage", "passed", f"Published dataset to {kind} zone: {base_name(target)}"))
+    stages = [("processing_stage", "passed", f"{row_count} rows checked and trimmed.")]
+    publish(zones, processed, name)
+    stages.append(("result_stage", "passed", f"Published in the {kind} zone."))
     zones.mark_ready(name)
-    stages.append(("analytics_ready_stage", "passed", "Marked ready for dashboard and SQL."))
+    stages.append(("analytics_ready_stage", "passed", "Ready for dashboards and SQL."))
     return {
         "dataset": name, "classification": kind, "uploaded_at": uploaded_at,
         "processed_at": utc_now().isoformat(), "pipeline_status": "analytics_ready",
@@ -76,9 +76,9 @@ def process_all(zones: Zones, mode: str = "single", dataset: str | None = None,
     """
     mode = (mode or "single").lower().strip()
     if mode not in ("single", "all"):
-        return {"error": "invalid_mode", "message": "Use mode single or all."}
+        return {"error": "invalid_mode", "message": "The mode is single or all."}
     if mode == "single" and not dataset:
-        return {"error": "dataset_required", "message": "Pass dataset filename for single mode."}
+        return {"error": "dataset_required", "message": "Mode single needs a dataset."}
     pending = zones.registry()
     if mode == "single":
         name = base_name(dataset)
@@ -86,8 +86,8 @@ def process_all(zones: Zones, mode: str = "single", dataset: str | None = None,
     results = process_entries(zones, pending, at_once)
     if not results:
         if mode == "single":
-            return {"error": "not_found", "message": f"No landed upload pending for {name}."}
-        return {"error": "nothing_pending", "message": "No landed datasets awaiting processing."}
+            return {"error": "not_found", "message": f"Nothing has landed for {name}."}
+        return {"error": "nothing_pending", "message": "Nothing is waiting to be processed."}
     return {
         "mode": mode, "processed": results,
         "errors": [f"{r['dataset']}: {r['error']}" for r in results if not r["ok"]],
@@ -105,7 +105,7 @@ def process_entries(zones: Zones, registry: DataFrame, at_once: int = 4) -> list
         about = {"dataset": entry.dataset, "uploaded_at": entry.uploaded_at}
         if not zones.files.exists(zones.landing(entry.landing_file)):
             return {**about, "ok": False,
-                    "error": f"landing file missing on disk: {entry.landing_file}"}
+                    "error": f"landed file is gone: {entry.landing_file}"}
         try:
             payload = process_landing(zones, entry.dataset, entry.landing_file, entry.uploaded_at)
         except Exception as error:

@@ -80,10 +80,10 @@ class SqlWorkspace:
         """
         text = (query or "").strip()
         if not text:
-            raise ValueError("SQL query is required.")
+            raise ValueError("There is no query text.")
         text = bridge_dialect(text.rstrip(";").rstrip())
         if not text.lower().startswith(("select", "with")):
-            raise ValueError("Only read-only SELECT/WITH statements are allowed.")
+            raise ValueError("Only a SELECT or WITH query can be run.")
         if _JVM_CALL.search(_SKIPPED.sub(" ", text)):
             raise ValueError("Functions that call into the JVM are not allowed.")
         try:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+PARTITION_BYTES = 128 * 1024 * 1024
+
 
 def build_session(app: str = "ledgerloom", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings every plan in this package assumes (UTC, AQE)."""
@@ -24,6 +28,23 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+@contextmanager
+def sized_shuffles(spark: SparkSession, input_bytes: int) -> Iterator[int]:
+    """Run a job whose shuffles start with partitions of about 128 MB of input.
+
+    The session default of a few hundred would make them gigabytes wide on a large input.
+    Starting high is safe: adaptive execution merges what turns out to be small.
+    """
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // PARTITION_BYTES))
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, str(wanted))
+    try:
+        yield wanted
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
 # Temporary folders of local sessions, by application.
 _LOCAL_FOLDERS: dict[str, str] = {}
 

@@ -67,7 +67,7 @@ def scan_csv_raw(
     """
     header = csv_header(spark, path)
     if not header:
-        raise ValueError("CSV header is missing.")
+        raise ValueError("The file has no header.")
     if multi_line is None:
         multi_line = has_quoted_newlines(spark, path)
     slots = [f"c{i}" for i in range(len(header))]

@@ -121,7 +121,7 @@ class Zones:
             if landed and landed.landing_file and self.files.exists(self.landing(landed.landing_file)):
                 path = self.landing(landed.landing_file)
         if path is None:
-            raise ValueError(f"Dataset not found: {name}")
+            raise ValueError(f"No stored copy of {name}.")
         rows = self.read_stored(path)
         return (rows if order_by is None else rows.orderBy(order_by)).limit(clamp(n, 1, 200))
 
@@ -157,7 +157,7 @@ class Zones:
         landings = [r.landing_file for r in mine.select("landing_file").toLocalIterator()]
         if not landings:
             return {"deleted": False, "error": "not_found",
-                    "message": f"No catalog entries for {name}."}
+                    "message": f"{name} is not in the registry."}
         self.log.replace(self.log.frame().filter(F.col("dataset") != name))
         for file in filter(None, landings):
             self.files.remove(self.landing(file))
@@ -178,7 +178,7 @@ class Zones:
                  "uploaded_at": now.isoformat()}
         try:
             if self.files.size(incoming) == 0:
-                raise ValueError("Uploaded file is empty.")
+                raise ValueError("The uploaded file has no content.")
             self.files.move(incoming, self.landing(file))
         except Exception as error:
             if self.files.exists(incoming):
@@ -187,7 +187,7 @@ class Zones:
                                stages=[("input_stage", "failed", str(error))])
         return self.record(
             **about, landing_file=file, pipeline_status="landed", status="landed",
-            stages=[("input_stage", "passed", f"Stored file in landing zone: {file}")],
+            stages=[("input_stage", "passed", f"Landed as {file}.")],
         )
 
 
@@ -201,7 +201,7 @@ def require_inputs(spark: SparkSession, folder: str, names: list[str]) -> dict[s
     paths = {n: f"{folder.rstrip('/')}/{n}.csv" for n in names}
     missing = [f"{n}.csv" for n, p in paths.items() if not files.exists(p)]
     if missing:
-        raise FileNotFoundError(f"Missing input files: {missing}")
+        raise FileNotFoundError(f"Inputs not found: {missing}")
     return paths
 
 

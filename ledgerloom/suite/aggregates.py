@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import aggregates as agg
 from ledgerloom.operators import profile as prof
 from ledgerloom.operators import registry as reg
-from ledgerloom.operators.joins import alerts_per_transaction
 from ledgerloom.plans import dashboard, kpi, validation, warehouse
 from ledgerloom.sources.csv_files import scan_csv_raw
 from ledgerloom.suite.core import Star, csv_copy, query

@@ -12,7 +12,7 @@ from ledgerloom.sources.contracts import REQUIRED_COLUMNS
 from ledgerloom.sources.csv_files import FIELDS, ragged_kind, scan_csv_raw
 from ledgerloom.session import shared_folder
 from ledgerloom.suite.aggregates import TODAY, daily, risk
-from ledgerloom.suite.core import SQL_WHITESPACE, Star, csv_copy, query
+from ledgerloom.suite.core import SQL_WHITESPACE, Star, query
 
 # Dirty text made from every event: nulls, blanks, padded, broken and grouped numbers.
 DIRTY_SQL = """

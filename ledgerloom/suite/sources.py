@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import table_name
 from ledgerloom.operators import registry as reg
 from ledgerloom.operators import synth
+from ledgerloom.operators.limits import newest_n
 from ledgerloom.operators.predicates import trim_all
 from ledgerloom.plans import curate, ingest, kpi
 from ledgerloom.plans.sql_workspace import SqlWorkspace
@@ -16,7 +17,7 @@ from ledgerloom.session import shared_folder
 from ledgerloom.sources import zones as z
 from ledgerloom.sources.contracts import AUDIT, JOB_COLUMNS, KPI_TABLES, REGISTRY
 from ledgerloom.sources.csv_files import (
-    FIELDS, export_csv, load_warehouse_infer, scan_csv_job, scan_csv_raw, write_csv,
+    export_csv, load_warehouse_infer, scan_csv_job, scan_csv_raw, write_csv,
 )
 from ledgerloom.sources.logs import JsonLog
 from ledgerloom.suite.core import SQL_WHITESPACE, Star, csv_copy, query
@@ -304,7 +305,7 @@ SHOWN = ["seq", "dataset", "classification", "pipeline_status", "status", "row_c
 def _(s: Star):
     path = f"{shared_folder(s.spark, 'registry')}/dataset_registry"
     _as_registry(s).write.json(path)
-    return z.newest_n(z.registry_read(s.spark, path), reg.KEPT, F.desc("seq")).select(*SHOWN)
+    return newest_n(z.registry_read(s.spark, path), reg.KEPT, F.desc("seq")).select(*SHOWN)
 
 
 @query("registry_append", sql=NEWEST_SQL)

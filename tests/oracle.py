@@ -6,7 +6,6 @@
 from __future__ import annotations
 
 import math
-import os
 import sys
 import time
 from collections import Counter

@@ -50,7 +50,7 @@ def test_duplicate_headers_keep_the_last_and_odd_names_survive(spark, folder):
 
 def test_no_header(spark, folder):
     assert csv_header(spark, folder("e.csv", "")) == []
-    with pytest.raises(ValueError, match="header is missing"):
+    with pytest.raises(ValueError, match="has no header"):
         scan_csv_raw(spark, folder("f.csv", ""))
 
 

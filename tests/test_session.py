@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from ledgerloom.session import literal_rows, shared_folder
+from ledgerloom.session import literal_rows, shared_folder, sized_shuffles
 
 
 def fake(master, folder=None):
@@ -32,3 +32,12 @@ def test_local_sessions_get_a_folder_of_their_own():
 def test_literal_rows(spark):
     df = literal_rows(spark, [("it's \\ —", 1, 0.5), ("b", 2, 1e300)], "a, b, c")
     assert [tuple(r) for r in df.collect()] == [("it's \\ —", 1, 0.5), ("b", 2, 1e300)]
+
+
+def test_shuffles_grow_with_the_input(spark):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    with sized_shuffles(spark, 10 * 2**40) as n:
+        assert n == 81920 and spark.conf.get(name) == "81920"
+    with sized_shuffles(spark, 1) as n:
+        assert n == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.conf.get(name, None) is None

@@ -48,9 +48,9 @@ def test_land_process_publish(zones, folder):
 
 
 @pytest.mark.parametrize("name,text,error", [
-    ("fact_loans.csv", "loan_id,customer_id\n1,2\n", "Missing required columns: principal_amount"),
-    ("dim_cards.csv", "x\n1\n", "Missing required columns: card_id, account_id, customer_id"),
-    ("other.csv", "a,b\n", "no data rows"),
+    ("fact_loans.csv", "loan_id,customer_id\n1,2\n", "Required columns are missing: principal_amount"),
+    ("dim_cards.csv", "x\n1\n", "Required columns are missing: card_id, account_id, customer_id"),
+    ("other.csv", "a,b\n", "no rows"),
     ("other.csv", "a,b\n1,2\n1,2,3\n", "more fields than the header"),
 ])
 def test_bad_files_are_recorded_and_not_published(zones, folder, name, text, error):
@@ -64,7 +64,7 @@ def test_bad_files_are_recorded_and_not_published(zones, folder, name, text, err
 
 def test_empty_upload_fails_on_landing(zones, folder):
     entry = land(zones, folder, "x.csv", "")
-    assert (entry["status"], entry["error"]) == ("failed", "Uploaded file is empty.")
+    assert (entry["status"], entry["error"]) == ("failed", "The uploaded file has no content.")
     assert zones.files.names(f"{zones.root}/failed") == ["20240501T120000Z_x.csv"]
 
 
@@ -90,11 +90,11 @@ def test_error_codes(zones):
 def test_missing_landing_file(zones, folder):
     entry = land(zones, folder, "a.csv", "k\n1\n")
     zones.files.remove(zones.landing(entry["landing_file"]))
-    assert "missing on disk" in process_all(zones, "all")["errors"][0]
+    assert "landed file is gone" in process_all(zones, "all")["errors"][0]
 
 
 def test_preview_order_and_bounds(zones, folder):
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="No stored copy"):
         zones.preview("a.csv")
     land(zones, folder, "a.csv", "k\n" + "\n".join(map(str, range(300))) + "\n")
     assert zones.preview("x/a.csv", 9999).count() == 200
