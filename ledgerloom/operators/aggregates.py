@@ -81,7 +81,9 @@ def table_counts(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def top_merchants(tx: DataFrame, merchants: DataFrame, limit: int = 5, seq: str = "merchant_id") -> DataFrame:
+def top_merchants(
+    tx: DataFrame, merchants: DataFrame, limit: int = 5, seq: str | None = None
+) -> DataFrame:
     """Merchants by transaction count, then by the sum of truncated amounts.
 
     Only the ``limit`` winners are looked up in the merchant dimension.
@@ -99,15 +101,15 @@ def top_merchants(tx: DataFrame, merchants: DataFrame, limit: int = 5, seq: str
 
 
 def named_merchants(
-    df: DataFrame, merchants: DataFrame, seq: str, many: bool = False
+    df: DataFrame, merchants: DataFrame, seq: str | None, many: bool = False
 ) -> DataFrame:
     """Add ``merchant_name``: last dimension row wins, the id stands in for no match.
 
+    ``seq`` orders the dimension's rows (their order in its file when not given);
     ``many`` says that ``df`` may hold many rows per merchant.
     """
-    names = last_wins(
-        merchants.withColumn("_seq", F.col(seq)), "merchant_id", "merchant_name", "_seq"
-    )
+    order = F.monotonically_increasing_id() if seq is None else F.col(seq)
+    names = last_wins(merchants.withColumn("_seq", order), "merchant_id", "merchant_name", "_seq")
     joined = lookup_join(df, names, "merchant_id") if many else df.join(names, "merchant_id", "left")
     return joined.withColumn(
         "merchant_name", F.coalesce("merchant_name", F.col("merchant_id").cast("string"))

@@ -10,7 +10,7 @@ from ledgerloom.operators.aggregates import named_merchants
 from ledgerloom.operators.skew import lookup_join
 
 
-def merchant_lookup(tx: DataFrame, merchants: DataFrame, seq: str = "merchant_id") -> DataFrame:
+def merchant_lookup(tx: DataFrame, merchants: DataFrame, seq: str | None = None) -> DataFrame:
     """Every transaction with its merchant name, or the id where there is none."""
     return named_merchants(tx, merchants, seq, many=True)
 

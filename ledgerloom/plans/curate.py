@@ -11,15 +11,16 @@ from ledgerloom.functions.numbers import as_money
 from ledgerloom.plans.kpi import curated_frames
 from ledgerloom.session import build_session, sized_shuffles
 from ledgerloom.sources.contracts import CURATED, JOB_COLUMNS
-from ledgerloom.sources.csv_files import scan_csv_raw, write_csv
+from ledgerloom.sources.csv_files import write_csv
 from ledgerloom.sources.files import Files
-from ledgerloom.sources.zones import require_inputs
+from ledgerloom.sources.zones import read_stored, require_inputs
 
 
 def read_inputs(spark: SparkSession, folder: str, staging: str | None = None) -> dict[str, DataFrame]:
     """The four inputs with only the columns the job reads.
 
-    A folder of Parquet tables is read as such; otherwise the CSV files are scanned. The
+    The folder holds ``NAME.parquet`` tables, or ``NAME.csv`` datasets: CSV files, or the
+    published form of them. The
     transactions feed three tables: with a ``staging`` folder their text is parsed once
     into typed Parquet there, and each table then reads just its columns.
     """
@@ -29,7 +30,7 @@ def read_inputs(spark: SparkSession, folder: str, staging: str | None = None) ->
         frames = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in JOB_COLUMNS}
     else:
         paths = require_inputs(spark, folder, list(JOB_COLUMNS))
-        frames = {n: scan_csv_raw(spark, p) for n, p in paths.items()}
+        frames = {n: read_stored(spark, p) for n, p in paths.items()}
     for name, columns in JOB_COLUMNS.items():
         missing = [c for c in columns if c not in frames[name].columns]
         if missing:

@@ -46,7 +46,7 @@ def merchant_series(best: DataFrame) -> DataFrame:
     ).select("key", "ord", "label", "value")
 
 
-def ranked_merchants(tx: DataFrame, merchants: DataFrame, seq: str = "merchant_id") -> DataFrame:
+def ranked_merchants(tx: DataFrame, merchants: DataFrame, seq: str | None = None) -> DataFrame:
     """The top merchants with ord, n, amt and name."""
     amount = F.coalesce(as_money(tx, "amount").cast("bigint"), F.lit(0))
     per_merchant = (
@@ -80,12 +80,12 @@ def _series(best: DataFrame, keys: dict[str, str], entity: str) -> DataFrame:
     )
 
 
-def _transaction_series(tx: DataFrame, merchants: DataFrame, seq: str) -> DataFrame:
+def _transaction_series(tx: DataFrame, merchants: DataFrame, seq: str | None) -> DataFrame:
     """Merchants, channels, types and the row count from a single pass."""
     id_type = tx.schema["merchant_id"].dataType
+    kinds = {"merchant": "merchant_id", "channel": "channel", "type": "transaction_type"}
     summary = label_counts(
-        tx,
-        {"merchant": "merchant_id", "channel": "channel", "type": "transaction_type"},
+        tx, {k: c for k, c in kinds.items() if c in tx.columns},
         F.coalesce(as_money(tx, "amount").cast("bigint"), F.lit(0)), total=True,
     ).filter((F.col("kind") != "merchant") | (F.col("label") != "(empty)"))
     best = _best(summary, {"merchant": TOP, "channel": TOP, "type": TOP}, "merchant")
@@ -107,7 +107,7 @@ def _numbered(df: DataFrame, key: str) -> DataFrame:
 
 
 def dashboard_charts(
-    frames: dict[str, DataFrame], registry: DataFrame, seq: str = "merchant_id"
+    frames: dict[str, DataFrame], registry: DataFrame, seq: str | None = None
 ) -> DataFrame:
     """(key, title, ord, label, value); a series without rows shows one ``—`` of 0.
 

@@ -56,8 +56,13 @@ def split_records(spark: SparkSession, path: str) -> DataFrame:
     pieces = pieces.withColumn(
         "cut", (F.col("nth") == 0) | ((F.col("open_after") == 1) & (F.col("nth") == last))
     )
+    # A split without a single record start means a field of that size: a stray quote.
+    runaway = F.raise_error(F.concat(F.lit("a quoted field runs through a whole split of "), "file"))
+    pieces = pieces.withColumn(
+        "text", F.when((last == 0) & (F.col("open_after") == 1), runaway).otherwise(F.col("text"))
+    )
     whole = pieces.filter(~F.col("cut")).select("file", "split", "nth", "text")
-    # At most two pieces per split are cut; they are put together in file order.
+    # At most two pieces per split are cut, and a record has at most two of them.
     order = Window.partitionBy("file").orderBy("split", "nth")
     crossing = (
         pieces.filter("cut")

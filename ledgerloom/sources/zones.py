@@ -80,11 +80,11 @@ class Zones:
 
     # Reading
     def read_stored(self, path: str) -> DataFrame:
-        """A stored dataset: Parquet written by this package, or a CSV put there by hand."""
-        names = self.files.names(path)
-        if any(n.endswith(".parquet") for n in names):
-            return self.spark.read.parquet(path)
-        return scan_csv_raw(self.spark, path)
+        return read_stored(self.spark, path)
+
+    def star_frames(self, strict: bool = False) -> dict[str, DataFrame]:
+        """The gated datasets by table name, as the dashboard reads them."""
+        return {name.removesuffix(".csv"): self.scan_gated(name, strict=strict) for name in GATED}
 
     def resolve(self, dataset: str, strict: bool = False) -> str | None:
         """Path behind the readiness gate, or None when the dataset must read as empty.
@@ -191,6 +191,13 @@ class Zones:
         )
 
 
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """A stored dataset: Parquet written by this package, or a CSV put there by hand."""
+    if any(name.endswith(".parquet") for name in Files(spark).names(path)):
+        return spark.read.parquet(path)
+    return scan_csv_raw(spark, path)
+
+
 def registry_read(spark: SparkSession, path: str) -> DataFrame:
     return read_json_log(spark, path, REGISTRY)
 

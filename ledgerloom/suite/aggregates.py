@@ -122,7 +122,7 @@ def _(s: Star):
     FROM fact_transactions t LEFT JOIN dim_merchants m ON m.merchant_id = t.merchant_id
     GROUP BY t.merchant_id ORDER BY 3 DESC, 4 DESC, 1 LIMIT 5""")
 def _(s: Star):
-    return agg.top_merchants(s.fact_transactions, s.dim_merchants, 5)
+    return agg.top_merchants(s.fact_transactions, s.dim_merchants, 5, "merchant_id")
 
 
 RANKED_MERCHANTS_SQL = """
@@ -135,7 +135,7 @@ RANKED_MERCHANTS_SQL = """
 
 
 def _merchant_series(s: Star, key: str):
-    best = dashboard.ranked_merchants(s.fact_transactions, s.dim_merchants)
+    best = dashboard.ranked_merchants(s.fact_transactions, s.dim_merchants, "merchant_id")
     return dashboard.merchant_series(best).filter(F.col("key") == key).drop("key")
 
 
@@ -418,4 +418,4 @@ def _charts_sql() -> str:
 
 @query("dashboard_charts", sql=_charts_sql())
 def _(s: Star):
-    return dashboard.dashboard_charts(s.frames(), s.registry).drop("title")
+    return dashboard.dashboard_charts(s.frames(), s.registry, "merchant_id").drop("title")

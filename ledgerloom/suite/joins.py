@@ -17,7 +17,7 @@ from ledgerloom.suite.core import Star, query
     FROM fact_transactions t LEFT JOIN dim_merchants m ON m.merchant_id = t.merchant_id""")
 def _(s: Star):
     tx = s.fact_transactions.select("transaction_id", "merchant_id", "amount")
-    return joins.merchant_lookup(tx, s.dim_merchants)
+    return joins.merchant_lookup(tx, s.dim_merchants, "merchant_id")
 
 
 @query("join_merchant_left", sql="SELECT * FROM kpi_top_merchants")

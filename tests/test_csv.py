@@ -97,10 +97,10 @@ def test_reads_what_it_writes(spark, tmp_path, table):
 
 @pytest.fixture
 def tiny_splits(spark):
-    """Splits of a few hundred bytes, so records cross them."""
+    """Splits of some hundred bytes, so records cross them."""
     name = "spark.sql.files.maxPartitionBytes"
     old = {n: spark.conf.get(n) for n in (name, "spark.sql.files.openCostInBytes")}
-    spark.conf.set(name, "200")
+    spark.conf.set(name, "600")
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     yield
     for n, value in old.items():
@@ -114,7 +114,7 @@ def test_spanning_records_are_read_in_splits(spark, folder, tiny_splits):
     parts = ["x", "a,b", 'q"q', "two\nlines", "", "\n\n", "plain text", "l\n" * 60, '"', " pad ", "é" * 30]
     want = []
     for f in range(3):
-        table = [(str(f * 100 + i), rnd.choice(parts), rnd.choice(parts)) for i in range(60)]
+        table = [(str(f * 1000 + i), rnd.choice(parts), rnd.choice(parts)) for i in range(150)]
         text = io.StringIO()
         writer = csv.writer(text, lineterminator="\n" if f else "\r\n")
         writer.writerows([("id", "left", "right"), *table])
@@ -133,3 +133,9 @@ def test_ragged_rows_in_splits(spark, folder, tiny_splits):
     got = sorted(rows(df), key=lambda r: int(r[0]))
     assert got[:4] == [("1", "a\nb", 2), ("2", None, 1), ("3", "x", 3), ("4", "", 2)] and len(got) == 29
     assert df.select("t").count() == 29 and df.count() == 29
+
+
+def test_a_stray_quote_is_reported(spark, folder, tiny_splits):
+    path = folder("a.csv", 'id,t\n1,"open\n' + "plain line without quotes\n" * 200)
+    with pytest.raises(Exception, match="runs through a whole split"):
+        scan_csv_raw(spark, path).collect()

@@ -208,3 +208,34 @@ def test_smoke_and_synthetic_rows(spark):
     assert rows(synth_customers(index_range(spark, 5)).orderBy("customer_id"))[-1] == ("CUST00005", "Customer 5", "Central")
     balances = [str(r.current_balance) for r in synth_accounts(index_range(spark, 1001)).orderBy("account_id").collect()]
     assert balances[0] == "501000.50" and balances[999] == "500000.00" and balances[1000] == "501000.50"
+
+
+def test_uploads_feed_dashboard_and_job(spark, zones, folder):
+    """Raw text datasets through landing, publishing, overview, charts and the job."""
+    from ledgerloom.operators.aggregates import overview_kpis, top_merchants
+    from ledgerloom.plans.dashboard import dashboard_charts
+
+    land(zones, folder, "fact_transactions.csv", TX + 't4,a,c2, ,2024-01-03,ok,7.9\n')
+    land(zones, folder, "fact_fraud_alerts.csv", "alert_id,transaction_id,account_id,alert_status\n1,t1,a,open\n")
+    land(zones, folder, "fact_loans.csv", "loan_id,customer_id,principal_amount\nl1,c1,5\nl2,c2,\n")
+    land(zones, folder, "dim_merchants.csv", "merchant_id,merchant_name\nm1,Old\nm2,Two\nm1,New\n")
+    land(zones, folder, "dim_customers.csv", "customer_id,full_name,region\nc1,A,North\nc2,B, North \nc3,C,\n")
+    assert process_all(zones, "all")["errors"] == []
+    frames = zones.star_frames(strict=True)
+    assert tuple(overview_kpis(frames).first()) == (3, 0, 4, 2, 1, 19, 5)
+    assert rows(top_merchants(frames["fact_transactions"], frames["dim_merchants"])) == [
+        ("m1", "New", 2, 10), ("m2", "Two", 1, 1)]
+    charts = {}
+    for r in dashboard_charts(frames, zones.registry()).orderBy("key", "ord").collect():
+        charts.setdefault(r.key, []).append((r.label, r.value))
+    assert charts["merchants_txn"] == [("New", 2.0), ("Two", 1.0)]
+    assert charts["merchants_amt"] == [("New", 10.0), ("Two", 1.0)]
+    assert charts["customers_region"] == [("North", 2.0), ("(empty)", 1.0)]
+    assert charts["loan_principal_bins"] == [("0-1", 1.0), ("1-2", 0.0), ("2-3", 0.0), ("3-4", 0.0), ("4-5", 1.0)]
+    assert charts["txn_channel"] == charts["loan_status"] == [("—", 0.0)]
+    assert charts["entity_counts"] == [
+        ("Customers", 3.0), ("Accounts", 0.0), ("Txns", 4.0), ("Loans", 2.0), ("Fraud", 1.0)]
+    assert charts["pipeline_status"] == [("analytics_ready", 5.0)]
+    tables = curate.pipeline(spark, f"{zones.root}/published/finance", f"{folder.root}/out")
+    assert sorted(rows(tables["kpi_top_merchants"].select("merchant_id", "merchant_name")), key=str) == [
+        ("", None), ("m1", "New"), ("m1", "Old"), ("m2", "Two")]
