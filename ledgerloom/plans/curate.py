@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +58,13 @@ def load_curated(frames: dict[str, DataFrame], folder: str) -> dict[str, str]:
     """
     folder = folder.rstrip("/")
     files = Files(next(iter(frames.values())).sparkSession)
-    for name, df in frames.items():
-        typed(df, name).write.mode("overwrite").parquet(f"{folder}/_next/{name}")
+
+    def write(name: str) -> None:
+        typed(frames[name], name).write.mode("overwrite").parquet(f"{folder}/_next/{name}")
+
+    # Independent jobs: one fills the executors another leaves idle.
+    with ThreadPoolExecutor(len(frames)) as pool:
+        list(pool.map(write, frames))
     for name in frames:
         files.move(f"{folder}/_next/{name}", f"{folder}/{name}")
     return {name: f"{folder}/{name}" for name in frames}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,10 +39,15 @@ def _dialect(spark: SparkSession, multi_line: bool):
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names as written in the first record; empty list when there is none."""
-    reader = _dialect(spark, True).option("header", False)
-    frame = reader.csv(path)
-    first = frame.head(1) if frame.columns else []
-    return [name if name is not None else "" for name in first[0]] if first else []
+    lines = spark.read.text(path).filter("trim(value) <> ''").head(1)
+    if not lines:
+        return []
+    line = lines[0].value.removeprefix("\ufeff")
+    if line.count('"') % 2 == 0:
+        return next(csv.reader([line]))
+    # A name with a line break in it: let the multi-line reader find the record's end.
+    first = _dialect(spark, True).option("header", False).csv(path).head(1)
+    return [name if name is not None else "" for name in first[0]]
 
 
 def _field_count(width: int) -> Column:

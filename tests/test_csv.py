@@ -54,6 +54,12 @@ def test_no_header(spark, folder):
         scan_csv_raw(spark, folder("f.csv", ""))
 
 
+def test_header_with_quotes_and_line_breaks(spark, folder):
+    path = folder("a.csv", '"a, b","c\nd","e ""f"""\n1,2,3\n')
+    assert csv_header(spark, path) == ["a, b", "c\nd", 'e "f"']
+    assert scan_csv_raw(spark, path).first().asDict() == {"a, b": "1", "c\nd": "2", 'e "f"': "3"}
+
+
 def test_job_scan_is_a_plain_header_scan(spark, folder):
     assert rows(scan_csv_job(spark, folder("a.csv", "a,b\n1,\n"))) == [("1", None)]
 

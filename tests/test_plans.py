@@ -26,6 +26,7 @@ def test_no_python_workers_and_no_cross_joins(spark, name):
     ("prefix_like", "ReadSchema: struct<p_partkey:bigint,p_name:string>"),
     ("eq_range_filter", "GreaterThan(n_chars,1000)"),
     ("topk_accounts_balance", "EqualTo(o_orderstatus,O)"),
+    ("daily_volume", "GreaterThanOrEqual(l_shipdate,2001-10-05"),
     ("txn_type", "ReadSchema: struct<l_orderkey:bigint,l_returnflag:string>"),
 ])
 def test_filters_and_columns_reach_the_scan(spark, name, pushed):
