@@ -44,11 +44,17 @@ def loans_per_customer(loans: DataFrame) -> DataFrame:
     )
 
 
-def preagg_loans(per_customer: DataFrame, loans: DataFrame) -> DataFrame:
-    """Add the loan count to one-row-per-customer rows, 0 without loans."""
-    return per_customer.join(loans_per_customer(loans), "customer_id", "left").withColumn(
-        "loan_count", F.coalesce("loan_count", F.lit(0))
+def preagg_loans(customers: DataFrame, loans: DataFrame, many: bool = True) -> DataFrame:
+    """Add the loan count of each customer, 0 without loans.
+
+    ``many`` says that ``customers`` may hold many rows per customer.
+    """
+    counts = loans_per_customer(loans)
+    joined = (
+        lookup_join(customers, counts, "customer_id") if many
+        else customers.join(counts, "customer_id", "left")
     )
+    return joined.withColumn("loan_count", F.coalesce("loan_count", F.lit(0)))
 
 
 def _per_key(children: DataFrame, key: str, counted: str) -> DataFrame:
@@ -64,9 +70,9 @@ def inner_merchant_totals(tx: DataFrame, merchants: DataFrame, k: int = 15) -> D
         tx.filter(F.col("merchant_id").isNotNull()).groupBy("merchant_id")
         .agg(F.count("transaction_id").alias("n"), total(as_money(tx, "amount")).alias("s"))
     )
+    named = lookup_join(merchants.select("merchant_id", "merchant_name"), per_id, "merchant_id")
     return (
-        merchants.select("merchant_id", "merchant_name").join(per_id, "merchant_id")
-        .groupBy("merchant_id", "merchant_name")
+        named.filter("n IS NOT NULL").groupBy("merchant_id", "merchant_name")
         .agg(F.sum("n").alias("txn_count"), F.sum("s").cast("decimal(38,2)").alias("total_amount_ugx"))
         .orderBy(F.desc("txn_count"), "merchant_id", "merchant_name").limit(k)
         .select("merchant_name", "txn_count", "total_amount_ugx")
@@ -77,7 +83,7 @@ def accounts_per_customer(customers: DataFrame, accounts: DataFrame, k: int = 25
     """Customers with their account count, 0 without accounts; most accounts first."""
     counts = _per_key(accounts, "customer_id", "account_id")
     return (
-        customers.select("customer_id", "full_name").join(counts, "customer_id", "left")
+        lookup_join(customers.select("customer_id", "full_name"), counts, "customer_id")
         .groupBy("customer_id", "full_name")
         .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("account_count"))
         .orderBy(F.desc("account_count"), "customer_id", "full_name").limit(k)
@@ -87,8 +93,9 @@ def accounts_per_customer(customers: DataFrame, accounts: DataFrame, k: int = 25
 def alerted_customers(customers: DataFrame, alerts: DataFrame, k: int = 20) -> DataFrame:
     """Customers with at least one alert; ``HAVING count > 0`` makes this an inner join."""
     counts = _per_key(alerts, "customer_id", "alert_id").filter("_n > 0")
+    alerted = lookup_join(customers.select("customer_id", "full_name"), counts, "customer_id")
     return (
-        customers.select("customer_id", "full_name").join(counts, "customer_id")
+        alerted.filter("_n > 0")
         .groupBy("customer_id", "full_name").agg(F.sum("_n").alias("alert_count"))
         .orderBy(F.desc("alert_count"), "customer_id", "full_name").limit(k)
     )
@@ -100,8 +107,9 @@ def account_holders(customers: DataFrame, accounts: DataFrame, k: int = 15) -> D
         accounts.filter(F.col("customer_id").isNotNull())
         .groupBy("customer_id").agg(F.count("*").alias("account_count"))
     )
+    held = lookup_join(customers.select("customer_id", "full_name"), counts, "customer_id")
     return (
-        counts.join(customers.select("customer_id", "full_name"), "customer_id")
+        held.filter("account_count IS NOT NULL")
         .orderBy(F.desc("account_count"), "customer_id", "full_name").limit(k)
         .select("full_name", "account_count")
     )
@@ -120,7 +128,7 @@ def high_value_customers(
     zero = F.lit(0).cast("decimal(38,2)")
     named = customers.select("customer_id", "full_name", "region")
     return (
-        named.join(spent, "customer_id", "left").join(lent, "customer_id", "left")
+        lookup_join(lookup_join(named, spent, "customer_id"), lent, "customer_id")
         .withColumn("total_tx_ugx", F.coalesce("total_tx_ugx", zero))
         .withColumn("total_loans_ugx", F.coalesce("total_loans_ugx", zero))
         .orderBy(F.desc("total_tx_ugx"), F.desc("total_loans_ugx"), "customer_id").limit(k)

@@ -48,7 +48,7 @@ def kpi_customer_risk(tx: DataFrame, alerts: DataFrame, loans: DataFrame) -> Dat
         total(F.col("amount") * F.col("row_weight").cast("decimal(18,0)")).alias("total_amount_ugx"),
         F.sum("alert_count").alias("fraud_alert_count"),
     )
-    return preagg_loans(per_customer, loans)
+    return preagg_loans(per_customer, loans, many=False)
 
 
 def kpi_customer_risk_dedup(tx: DataFrame, alerts: DataFrame, loans: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def kpi_customer_risk_dedup(tx: DataFrame, alerts: DataFrame, loans: DataFrame)
         total(F.col("amount")).alias("total_amount_ugx"),
         F.count("is_fraud").alias("fraud_alert_count"),
     )
-    return preagg_loans(per_customer, loans)
+    return preagg_loans(per_customer, loans, many=False)
 
 
 def kpi_top_merchants(tx: DataFrame, merchants: DataFrame) -> DataFrame:
