@@ -22,7 +22,7 @@ HEADLINE = [
     "txn_amount_bins", "txn_channel", "dashboard_charts", "join_merchant_lookup", "join_tx_fraud_left",
     "join_multi_left_using", "join_left_count_accounts", "fraud_rate_by_channel", "top_merchants_by_amount",
     "daily_volume", "latest_landed", "registry_update", "search_any_cell", "profile_numeric", "scan_csv_raw",
-    "process_landing", "curate", "pipeline", "readonly_sql",
+    "process_landing", "curate", "curate_and_load", "readonly_sql",
 ]
 
 

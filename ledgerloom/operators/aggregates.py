@@ -124,28 +124,28 @@ def value_counts(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     return category_counts(df, {column: k}).select("ord", "label", "value")
 
 
-def label_counts(
-    df: DataFrame, columns: dict[str, str], amount: Column | None = None, total: bool = False
+def label_parts(
+    df: DataFrame, columns: dict[str, str], amount: Column | None = None, total: tuple[str, str] | None = None
 ) -> DataFrame:
-    """Rows (and an amount sum) per value of several columns, in one pass.
+    """Rows (and an amount sum) per raw value of several columns, in one pass.
 
-    ``columns`` maps a kind to a column. Returns kind, label, n, amt; with ``total`` also one
-    row of kind ``all``. Raw values are grouped first, so each distinct value, not each row,
-    is stripped to its label; blank values share the label ``(empty)``.
+    ``columns`` maps a kind to a column; ``total`` is the kind and label of one more row for
+    the whole table. Returns kind, label, n, amt. Only distinct raw values are stripped to
+    labels, so a label may come in several rows, to be summed by the caller; blank values
+    are labelled ``(empty)``.
     """
     kinds = list(columns)
+    keys = [f"k{i}" for i in range(len(kinds))]
     base = df.select(
-        *[named(c).alias(f"k{i}") for i, c in enumerate(columns.values())],
+        *[named(c).alias(k) for c, k in zip(columns.values(), keys)],
         *([] if amount is None else [amount.alias("amount")]),
     )
-    keys = [f"k{i}" for i in range(len(kinds))]
-    sets = [[k] for k in keys] + ([[]] if total else [])
     measures = [
         F.count("*").alias("n"),
         (F.lit(None).cast("bigint") if amount is None else F.sum("amount")).alias("amt"),
     ]
-    if len(sets) == 1:
-        raw = base.groupBy(*keys).agg(*measures).withColumn("kept", F.lit(0))
+    if len(keys) + bool(total) == 1:
+        raw = base.groupBy(*keys).agg(*measures).withColumn("kept", F.lit(0 if keys else -1))
     else:
         # Bit i of the id, from the left, says that column i was rolled up.
         everything = (1 << len(keys)) - 1
@@ -153,19 +153,27 @@ def label_counts(
             F.when(F.col("id") == everything - (1 << (len(keys) - 1 - i)), i) for i in range(len(keys))
         ], F.lit(-1))
         raw = (
-            base.groupingSets(sets, *keys).agg(*measures, F.grouping_id().alias("id"))
-            .withColumn("kept", kept)
+            base.groupingSets([[k] for k in keys] + ([[]] if total else []), *keys)
+            .agg(*measures, F.grouping_id().alias("id")).withColumn("kept", kept)
         )
-    label = F.coalesce(*[
-        F.when(F.col("kept") == i, label_or(F.col(k), "(empty)")) for i, k in enumerate(keys)
-    ], F.lit(""))
-    kind = F.coalesce(*[F.when(F.col("kept") == i, k) for i, k in enumerate(kinds)], F.lit("all"))
-    return (
-        raw.select(kind.alias("kind"), label.alias("label"), "n", "amt")
-        .groupBy("kind", "label").agg(F.sum("n").alias("n"), F.sum("amt").alias("amt"))
+    all_kind, all_label = total or ("", "")
+    labels = [F.when(F.col("kept") == i, label_or(F.col(k), "(empty)")) for i, k in enumerate(keys)]
+    names = [F.when(F.col("kept") == i, k) for i, k in enumerate(kinds)]
+    return raw.select(
+        F.coalesce(*names, F.lit(all_kind)).alias("kind"),
+        F.coalesce(*labels, F.lit(all_label)).alias("label"), "n", "amt",
     )
 
 
+def best_labels(parts: DataFrame, limits: dict[str, int], by_amount: str = "") -> DataFrame:
+    """The top labels of each kind as ord 1..limit; ties of ``by_amount`` go to the amount."""
+    counted = parts.groupBy("kind", "label").agg(F.sum("n").alias("n"), F.sum("amt").alias("amt"))
+    limit = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in limits.items()])
+    amount = F.when(F.col("kind") == by_amount, F.col("amt"))
+    order = [F.desc("n"), *([F.desc(amount)] if by_amount else []), F.col("label")]
+    return ranked(counted, max(limits.values()), F.col("kind"), *order).filter(F.col("ord") <= limit)
+
+
 def category_counts(df: DataFrame, limits: dict[str, int]) -> DataFrame:
     """Top values of several columns in one pass: (column, ord, label, value)."""
     wanted = {c: k for c, k in limits.items() if c in df.columns}
@@ -173,10 +181,7 @@ def category_counts(df: DataFrame, limits: dict[str, int]) -> DataFrame:
         return _unit(df).filter("false").selectExpr(
             "'' AS `column`", "0 AS ord", "'' AS label", "CAST(0 AS DOUBLE) AS value"
         )
-    counted = label_counts(df, {c: c for c in wanted})
-    limit = F.coalesce(*[F.when(F.col("kind") == c, k) for c, k in wanted.items()])
-    best = ranked(counted, max(wanted.values()), F.col("kind"), F.desc("n"), F.col("label"))
-    return best.filter(F.col("ord") <= limit).select(
+    return best_labels(label_parts(df, {c: c for c in wanted}), wanted).select(
         F.col("kind").alias("column"), "ord", cut(F.col("label"), LABEL_WIDTH).alias("label"),
         F.col("n").cast("double").alias("value"),
     )

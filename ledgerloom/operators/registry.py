@@ -23,7 +23,7 @@ def uploads_by_day(registry: DataFrame, days: int = 14) -> DataFrame:
     return last_days(counts, "label", days)
 
 
-def pipeline_mix(registry: DataFrame) -> DataFrame:
+def status_mix(registry: DataFrame) -> DataFrame:
     """Registry rows per pipeline status, blank shown as ``unknown``."""
     status = F.coalesce(F.nullif(F.col("pipeline_status"), F.lit("")), F.lit("unknown"))
     return (

@@ -78,7 +78,7 @@ def write_curated_csv(frames: dict[str, DataFrame], folder: str) -> dict[str, st
     return paths
 
 
-def pipeline(spark: SparkSession, input_folder: str, output_folder: str) -> dict[str, DataFrame]:
+def curate_and_load(spark: SparkSession, input_folder: str, output_folder: str) -> dict[str, DataFrame]:
     """Check inputs, compute, load; returns the loaded tables."""
     files = Files(spark)
     staging = f"{output_folder.rstrip('/')}/_staging"
@@ -94,7 +94,7 @@ def main() -> None:
     parser.add_argument("--input-dir", required=True)
     parser.add_argument("--output-dir", required=True)
     args = parser.parse_args()
-    pipeline(build_session("curation"), args.input_dir, args.output_dir)
+    curate_and_load(build_session("curation"), args.input_dir, args.output_dir)
 
 
 if __name__ == "__main__":

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.numbers import as_money
 from ledgerloom.functions.text import cut
 from ledgerloom.operators.aggregates import (
-    ENTITIES, LABEL_WIDTH, histogram, label_counts, named_merchants,
+    ENTITIES, LABEL_WIDTH, best_labels, histogram, label_parts, named_merchants,
 )
-from ledgerloom.operators.registry import pipeline_mix, uploads_by_day
+from ledgerloom.operators.registry import status_mix, uploads_by_day
 from ledgerloom.operators.windows import ranked
 from ledgerloom.session import literal_rows
 
@@ -57,52 +57,57 @@ def ranked_merchants(tx: DataFrame, merchants: DataFrame, seq: str | None = None
     return named_merchants(best, merchants, seq)
 
 
-def _best(summary: DataFrame, limits: dict[str, int], by_amount: str = "") -> DataFrame:
-    """The top rows of each kind; Spark keeps only these before it shuffles by kind."""
-    limit = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in limits.items()], F.lit(1))
-    amount = F.when(F.col("kind") == by_amount, F.col("amt"))
-    best = ranked(
-        summary, max(limits.values()), F.col("kind"), F.desc("n"), F.desc(amount), F.col("label")
+def _numbered(df: DataFrame, key: str) -> DataFrame:
+    """Chart rows of an already small (label, value) frame, in label order."""
+    return df.select(
+        F.lit(key).alias("key"), F.row_number().over(Window.orderBy("label")).alias("ord"),
+        "label", "value",
     )
-    return best.filter(F.col("ord") <= limit)
 
 
-def _series(best: DataFrame, keys: dict[str, str], entity: str) -> DataFrame:
-    """Chart rows of ranked rows; the ``all`` row becomes a bar of the entity chart."""
-    place = next(i for i, (label, _) in enumerate(ENTITIES, 1) if label == entity)
-    everything = F.col("kind") == "all"
-    key = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in keys.items()])
-    return best.select(
-        F.when(everything, "entity_counts").otherwise(key).alias("key"),
-        F.when(everything, place).otherwise(F.col("ord")).alias("ord"),
-        F.when(everything, entity).otherwise(cut(F.col("label"), LABEL_WIDTH)).alias("label"),
-        F.col("n").cast("double").alias("value"),
-    )
+# How many labels each counted series shows.
+LIMITS = {
+    "merchants": TOP, "txn_channel": 8, "txn_type": 8, "loan_status": 8, "fraud_by_customer": 8,
+    "customers_region": 10, "customers_segment": 8, "entity_counts": len(ENTITIES),
+}
 
 
-def _transaction_series(tx: DataFrame, merchants: DataFrame, seq: str | None) -> DataFrame:
-    """Merchants, channels, types and the row count from a single pass."""
-    id_type = tx.schema["merchant_id"].dataType
-    kinds = {"merchant": "merchant_id", "channel": "channel", "type": "transaction_type"}
-    summary = label_counts(
-        tx, {k: c for k, c in kinds.items() if c in tx.columns},
-        F.coalesce(as_money(tx, "amount").cast("bigint"), F.lit(0)), total=True,
-    ).filter((F.col("kind") != "merchant") | (F.col("label") != "(empty)"))
-    best = _best(summary, {"merchant": TOP, "channel": TOP, "type": TOP}, "merchant")
-    ids = F.when(F.col("kind") == "merchant", F.col("label").cast(id_type))
-    rows = named_merchants(best.withColumn("merchant_id", ids), merchants, seq)
-    others = _series(
-        rows.filter(F.col("kind") != "merchant"),
-        {"channel": "txn_channel", "type": "txn_type"}, "Txns",
+def _counted_series(frames: dict[str, DataFrame], seq: str | None) -> DataFrame:
+    """All counted series: one pass per table, one ranking over their few distinct labels."""
+    tx = frames["fact_transactions"]
+    columns = {
+        "fact_transactions": {"merchants": "merchant_id", "txn_channel": "channel", "txn_type": "transaction_type"},
+        "fact_loans": {"loan_status": "loan_status"},
+        "fact_fraud_alerts": {"fraud_by_customer": "customer_id"},
+        "dim_customers": {"customers_region": "region", "customers_segment": "customer_segment"},
+        "dim_accounts": {},
+    }
+    amount = F.coalesce(as_money(tx, "amount").cast("bigint"), F.lit(0))
+    parts = None
+    for entity, table in ENTITIES:
+        df = frames[table]
+        present = {kind: c for kind, c in columns[table].items() if c in df.columns}
+        part = label_parts(df, present, amount if df is tx else None, ("entity_counts", entity))
+        parts = part if parts is None else parts.unionByName(part)
+    merchant = F.col("kind") == "merchants"
+    best = best_labels(
+        parts.filter(~merchant | (F.col("label") != "(empty)")), LIMITS, by_amount="merchants"
     )
-    return merchant_series(rows.filter(F.col("kind") == "merchant")).unionByName(others)
-
-
-def _numbered(df: DataFrame, key: str) -> DataFrame:
-    """Chart rows of an already small (label, value) frame, in label order."""
-    return df.select(
-        F.lit(key).alias("key"), F.row_number().over(Window.orderBy("label")).alias("ord"),
-        "label", "value",
+    id_type = tx.schema["merchant_id"].dataType
+    ids = F.when(merchant, F.col("label").try_cast(id_type))
+    rows = named_merchants(best.withColumn("merchant_id", ids), frames["dim_merchants"], seq)
+    place = F.coalesce(*[F.when(F.col("label") == e, i) for i, (e, _) in enumerate(ENTITIES, 1)])
+    points = F.when(merchant, F.array(
+        F.struct(F.lit("merchants_txn").alias("key"), F.col("n").cast("double").alias("value")),
+        F.struct(F.lit("merchants_amt").alias("key"), F.col("amt").cast("double").alias("value")),
+    )).otherwise(F.array(
+        F.struct(F.col("kind").alias("key"), F.col("n").cast("double").alias("value")),
+    ))
+    return rows.select(
+        F.when(F.col("kind") == "entity_counts", place).otherwise(F.col("ord")).alias("ord"),
+        F.when(merchant, cut(F.col("merchant_name"), MERCHANT_LABEL_WIDTH))
+        .otherwise(cut(F.col("label"), LABEL_WIDTH)).alias("label"),
+        F.inline(points),
     )
 
 
@@ -111,41 +116,22 @@ def dashboard_charts(
 ) -> DataFrame:
     """(key, title, ord, label, value); a series without rows shows one ``—`` of 0.
 
-    Each star table is scanned once for all its counts. The two histograms add a min/max pass
-    and a binning pass over a single column.
+    Each star table is scanned once for all its counts. The two histograms add a min/max
+    pass and a binning pass over a single column.
     """
-    tx, loans = frames["fact_transactions"], frames["fact_loans"]
-    customers, alerts = frames["dim_customers"], frames["fact_fraud_alerts"]
-
-    def counts(df: DataFrame, entity: str, limits: dict[str, int], keys: dict[str, str]) -> DataFrame:
-        columns = {c: c for c in limits if c in df.columns}
-        if not columns:
-            total = df.agg(F.count("*").alias("n")).select(
-                F.lit("all").alias("kind"), F.lit("").alias("label"), "n", F.lit(1).alias("ord"))
-            return _series(total, {"": ""}, entity)
-        return _series(_best(label_counts(df, columns, total=True), limits), keys, entity)
-
-    def bins(df: DataFrame, column: str, key: str) -> DataFrame:
-        return histogram(df, column, 5).withColumn("key", F.lit(key))
-
-    parts = [
-        _transaction_series(tx, frames["dim_merchants"], seq),
-        bins(tx, "amount", "txn_amount_bins"),
-        bins(loans, "principal_amount", "loan_principal_bins"),
-        counts(loans, "Loans", {"loan_status": 8}, {"loan_status": "loan_status"}),
-        counts(alerts, "Fraud", {"customer_id": 8}, {"customer_id": "fraud_by_customer"}),
-        counts(
-            customers, "Customers", {"region": 10, "customer_segment": 8},
-            {"region": "customers_region", "customer_segment": "customers_segment"},
-        ),
-        counts(frames["dim_accounts"], "Accounts", {}, {}),
-        _numbered(uploads_by_day(registry, DAYS), "uploads_by_day"),
-        _numbered(pipeline_mix(registry), "pipeline_status"),
-    ]
+    def bins(table: str, column: str, key: str) -> DataFrame:
+        return histogram(frames[table], column, 5).withColumn("key", F.lit(key))
+
     blanks = [(k, 0, "—", 0.0) for k in TITLES if not k.startswith("merchants_")]
     blanks += [("entity_counts", i, label, 0.0) for i, (label, _) in enumerate(ENTITIES, 1)]
     rows = literal_rows(registry.sparkSession, blanks, "key, ord, label, value")
-    for part in parts:
+    for part in (
+        _counted_series(frames, seq),
+        bins("fact_transactions", "amount", "txn_amount_bins"),
+        bins("fact_loans", "principal_amount", "loan_principal_bins"),
+        _numbered(uploads_by_day(registry, DAYS), "uploads_by_day"),
+        _numbered(status_mix(registry), "pipeline_status"),
+    ):
         rows = rows.unionByName(part.withColumn("ord", F.col("ord").cast("int")))
     # A few dozen rows per key from here on. A table without rows keeps its blank bar.
     merged = rows.groupBy("key", "ord", "label").agg(F.max("value").alias("value"))

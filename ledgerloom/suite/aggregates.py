@@ -224,9 +224,9 @@ def _(s: Star):
     return reg.uploads_by_day(s.registry, 14)
 
 
-@query("pipeline_mix", sql=MIX_SQL)
+@query("status_mix", sql=MIX_SQL)
 def _(s: Star):
-    return reg.pipeline_mix(s.registry)
+    return reg.status_mix(s.registry)
 
 
 @query("delegate_summary", sql="""

@@ -248,7 +248,7 @@ def _(s: Star):
     return s.spark.read.parquet(paths["kpi_customer_risk"])
 
 
-@query("pipeline", sql="""
+@query("curate_and_load", sql="""
     SELECT (SELECT count(*) FROM kpi_daily_transactions) AS daily_rows,
            (SELECT CAST(sum(transaction_count) AS BIGINT) FROM kpi_customer_risk) AS risk_rows,
            (SELECT CAST(sum(fraud_alert_count) AS BIGINT) FROM kpi_customer_risk) AS alerts,
@@ -257,7 +257,7 @@ def _(s: Star):
     inputs, out = shared_folder(s.spark, "inputs"), shared_folder(s.spark, "curated")
     for name, columns in JOB_COLUMNS.items():
         csv_copy(s, getattr(s, name).select(*columns), name, inputs)
-    tables = curate.pipeline(s.spark, inputs, out)
+    tables = curate.curate_and_load(s.spark, inputs, out)
     risk = tables["kpi_customer_risk"].agg(
         F.sum("transaction_count").alias("r"), F.sum("fraud_alert_count").alias("a"))
     return tables["kpi_daily_transactions"].agg(F.count("*").alias("daily_rows")).select(

@@ -202,7 +202,7 @@ def test_uploads_by_day_and_mix_on_text(spark):
          ("", "landed"), (None, "failed")], "uploaded_at string, pipeline_status string")
     assert rows(reg.uploads_by_day(registry, 14)) == [("2024-01-02", 2.0), ("2024-02-01", 1.0)]
     assert rows(reg.uploads_by_day(registry, 1)) == [("2024-02-01", 1.0)]
-    assert dict(rows(reg.pipeline_mix(registry))) == {"landed": 2.0, "unknown": 2.0, "failed": 1.0}
+    assert dict(rows(reg.status_mix(registry))) == {"landed": 2.0, "unknown": 2.0, "failed": 1.0}
 
 
 def test_ready_times_prefer_the_newer_marker(spark):

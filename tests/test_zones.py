@@ -180,13 +180,13 @@ def job_inputs(folder):
     return f"{folder.root}/job"
 
 
-def test_pipeline_end_to_end_twice(spark, folder):
+def test_job_end_to_end_twice(spark, folder):
     job_inputs(folder)
     with pytest.raises(FileNotFoundError, match="dim_merchants.csv"):
         require_inputs(spark, f"{folder.root}/job", list(curate.JOB_COLUMNS))
     folder("job/dim_merchants.csv", "merchant_id,merchant_name\nm1,One\n")
     for _ in range(2):
-        tables = curate.pipeline(spark, f"{folder.root}/job", f"{folder.root}/out")
+        tables = curate.curate_and_load(spark, f"{folder.root}/job", f"{folder.root}/out")
     text = {n: sorted(tuple(map(str, r)) for r in t.collect()) for n, t in tables.items()}
     assert text["kpi_daily_transactions"] == [("2024-01-01", "2", "11.50", "1"), ("2024-01-02", "1", "None", "0")]
     assert text["kpi_customer_risk"] == [("c1", "3", "21.00", "2", "1"), ("c2", "1", "1.00", "0", "0")]
@@ -196,11 +196,11 @@ def test_pipeline_end_to_end_twice(spark, folder):
         ("failed_count", "bigint")]
 
 
-def test_pipeline_names_missing_columns(spark, folder):
+def test_job_names_missing_columns(spark, folder):
     job_inputs(folder)
     folder("job/dim_merchants.csv", "merchant_id\nm1\n")
     with pytest.raises(ValueError, match="dim_merchants: missing columns merchant_name"):
-        curate.pipeline(spark, f"{folder.root}/job", f"{folder.root}/out")
+        curate.curate_and_load(spark, f"{folder.root}/job", f"{folder.root}/out")
 
 
 def test_smoke_and_synthetic_rows(spark):
@@ -236,6 +236,6 @@ def test_uploads_feed_dashboard_and_job(spark, zones, folder):
     assert charts["entity_counts"] == [
         ("Customers", 3.0), ("Accounts", 0.0), ("Txns", 4.0), ("Loans", 2.0), ("Fraud", 1.0)]
     assert charts["pipeline_status"] == [("analytics_ready", 5.0)]
-    tables = curate.pipeline(spark, f"{zones.root}/published/finance", f"{folder.root}/out")
+    tables = curate.curate_and_load(spark, f"{zones.root}/published/finance", f"{folder.root}/out")
     assert sorted(rows(tables["kpi_top_merchants"].select("merchant_id", "merchant_name")), key=str) == [
         ("", None), ("m1", "New"), ("m1", "Old"), ("m2", "Two")]
