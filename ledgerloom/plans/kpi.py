@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.numbers import as_money, total
+from ledgerloom.functions.numbers import TOTAL, as_money, total
 from ledgerloom.operators.joins import preagg_loans, tx_alert_weights
 
 
@@ -43,9 +43,12 @@ def kpi_customer_risk(tx: DataFrame, alerts: DataFrame, loans: DataFrame) -> Dat
     """
     narrow = tx.select("transaction_id", "customer_id", as_money(tx, "amount").alias("amount"))
     weighted = tx_alert_weights(narrow, alerts)
+    # Only rows with several alerts pay for a decimal product.
+    again = F.col("alert_count") - 1
+    repeated = F.sum(F.when(again > 0, F.col("amount") * again.cast("decimal(18,0)")))
     per_customer = weighted.groupBy("customer_id").agg(
         F.sum("row_weight").alias("transaction_count"),
-        total(F.col("amount") * F.col("row_weight").cast("decimal(18,0)")).alias("total_amount_ugx"),
+        (F.sum("amount") + F.coalesce(repeated, F.lit(0))).cast(TOTAL).alias("total_amount_ugx"),
         F.sum("alert_count").alias("fraud_alert_count"),
     )
     return preagg_loans(per_customer, loans, many=False)
