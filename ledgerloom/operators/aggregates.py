@@ -82,12 +82,19 @@ def table_counts(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def top_merchants(
-    tx: DataFrame, merchants: DataFrame, limit: int = 5, seq: str | None = None
+    tx: DataFrame, merchants: DataFrame | None, limit: int = 5, seq: str | None = None
 ) -> DataFrame:
     """Merchants by transaction count, then by the sum of truncated amounts.
 
-    Only the ``limit`` winners are looked up in the merchant dimension.
+    Only the ``limit`` winners are looked up in the merchant dimension. Without a merchant
+    dataset (None) there is no list.
     """
+    if merchants is None:
+        return _unit(tx).filter("false").select(
+            F.lit("").alias("merchant_id"), F.lit("").alias("merchant_name"),
+            F.lit(0).cast("bigint").alias("transaction_count"),
+            F.lit(0).cast("bigint").alias("total_amount_ugx"),
+        )
     amount = F.coalesce(as_money(tx, "amount").cast("bigint"), F.lit(0))
     best = (
         nonempty_key(tx, "merchant_id").groupBy("merchant_id")
@@ -109,6 +116,8 @@ def named_merchants(
     ``many`` says that ``df`` may hold many rows per merchant.
     """
     order = F.monotonically_increasing_id() if seq is None else F.col(seq)
+    if "merchant_name" not in merchants.columns:
+        merchants = merchants.withColumn("merchant_name", F.col("merchant_id").cast("string"))
     names = last_wins(merchants.withColumn("_seq", order), "merchant_id", "merchant_name", "_seq")
     joined = lookup_join(df, names, "merchant_id") if many else df.join(names, "merchant_id", "left")
     return joined.withColumn(

@@ -82,6 +82,10 @@ def _counted_series(frames: dict[str, DataFrame], seq: str | None) -> DataFrame:
         "dim_customers": {"customers_region": "region", "customers_segment": "customer_segment"},
         "dim_accounts": {},
     }
+    merchants = frames.get("dim_merchants")
+    if merchants is None:
+        merchants = literal_rows(tx.sparkSession, [("", "")], "merchant_id, merchant_name")
+        del columns["fact_transactions"]["merchants"]
     amount = F.coalesce(as_money(tx, "amount").cast("bigint"), F.lit(0))
     parts = None
     for entity, table in ENTITIES:
@@ -95,7 +99,7 @@ def _counted_series(frames: dict[str, DataFrame], seq: str | None) -> DataFrame:
     )
     id_type = tx.schema["merchant_id"].dataType
     ids = F.when(merchant, F.col("label").try_cast(id_type))
-    rows = named_merchants(best.withColumn("merchant_id", ids), frames["dim_merchants"], seq)
+    rows = named_merchants(best.withColumn("merchant_id", ids), merchants, seq)
     place = F.coalesce(*[F.when(F.col("label") == e, i) for i, (e, _) in enumerate(ENTITIES, 1)])
     points = F.when(merchant, F.array(
         F.struct(F.lit("merchants_txn").alias("key"), F.col("n").cast("double").alias("value")),
@@ -112,7 +116,7 @@ def _counted_series(frames: dict[str, DataFrame], seq: str | None) -> DataFrame:
 
 
 def dashboard_charts(
-    frames: dict[str, DataFrame], registry: DataFrame, seq: str | None = None
+    frames: dict[str, DataFrame | None], registry: DataFrame, seq: str | None = None
 ) -> DataFrame:
     """(key, title, ord, label, value); a series without rows shows one ``—`` of 0.
 

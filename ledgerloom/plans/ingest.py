@@ -11,7 +11,8 @@ from ledgerloom.functions.text import named
 from ledgerloom.operators.predicates import require_columns, trim_all
 from ledgerloom.operators.profile import insights_of, profile_measures, with_numbers
 from ledgerloom.operators.windows import latest_landed
-from ledgerloom.sources.csv_files import FIELDS, scan_csv_raw
+from ledgerloom.plans.sql_workspace import sql_name
+from ledgerloom.sources.csv_files import FIELDS, load_typed, scan_csv_raw
 from ledgerloom.sources.zones import Zones, base_name, classification_of, utc_now
 
 
@@ -43,8 +44,24 @@ def publish(zones: Zones, processed: str, dataset: str) -> str:
     return target
 
 
-def process_landing(zones: Zones, dataset: str, landing_file: str, uploaded_at: str) -> dict:
-    """Run one landed file through all stages and return its registry entry."""
+def load_stage(zones: Zones, dataset: str, database: str) -> tuple[str, str, str]:
+    """Load a published dataset as a typed table; a failure is reported, not raised."""
+    table = sql_name(dataset, "uploaded_table")
+    try:
+        stored = zones.read_stored(zones.published(dataset))
+        load_typed(stored, f"{database}.{table}", f"{zones.root}/warehouse/{database}/{table}")
+    except Exception as error:
+        return ("warehouse_stage", "failed", str(error))
+    return ("warehouse_stage", "passed", f"Loaded as {database}.{table}.")
+
+
+def process_landing(
+    zones: Zones, dataset: str, landing_file: str, uploaded_at: str, database: str | None = None
+) -> dict:
+    """Run one landed file through all stages and return its registry entry.
+
+    With a ``database`` the published rows are also loaded there as a typed table.
+    """
     name = base_name(dataset)
     kind = classification_of(name)
     path, processed = zones.landing(landing_file), zones.processing(landing_file)
@@ -59,6 +76,8 @@ def process_landing(zones: Zones, dataset: str, landing_file: str, uploaded_at:
     stages = [("processing_stage", "passed", f"{row_count} rows checked and trimmed.")]
     publish(zones, processed, name)
     stages.append(("result_stage", "passed", f"Published in the {kind} zone."))
+    if database:
+        stages.append(load_stage(zones, name, database))
     zones.mark_ready(name)
     stages.append(("analytics_ready_stage", "passed", "Ready for dashboards and SQL."))
     return {
@@ -68,7 +87,10 @@ def process_landing(zones: Zones, dataset: str, landing_file: str, uploaded_at:
     }
 
 
-def process_all(zones: Zones, mode: str = "single", dataset: str | None = None, at_once: int = 4) -> dict:
+def process_all(
+    zones: Zones, mode: str = "single", dataset: str | None = None, at_once: int = 4,
+    database: str | None = None,
+) -> dict:
     """Process the newest landing of one dataset, or of every dataset that has one.
 
     A failing dataset is recorded and does not stop the others. Older landings of a
@@ -83,7 +105,7 @@ def process_all(zones: Zones, mode: str = "single", dataset: str | None = None,
     if mode == "single":
         name = base_name(dataset)
         pending = pending.filter(F.col("dataset") == name)
-    results = process_entries(zones, pending, at_once)
+    results = process_entries(zones, pending, at_once, database)
     if not results:
         if mode == "single":
             return {"error": "not_found", "message": f"Nothing has landed for {name}."}
@@ -94,7 +116,9 @@ def process_all(zones: Zones, mode: str = "single", dataset: str | None = None,
     }
 
 
-def process_entries(zones: Zones, registry: DataFrame, at_once: int = 4) -> list[dict]:
+def process_entries(
+    zones: Zones, registry: DataFrame, at_once: int = 4, database: str | None = None
+) -> list[dict]:
     """Process the newest pending landing of each dataset among the given registry rows."""
     pending = registry.filter(F.coalesce("landing_file", F.lit("")) != "")
     targets = latest_landed(pending).select("dataset", "landing_file", "uploaded_at")
@@ -107,7 +131,9 @@ def process_entries(zones: Zones, registry: DataFrame, at_once: int = 4) -> list
             return {**about, "ok": False,
                     "error": f"landed file is gone: {entry.landing_file}"}
         try:
-            payload = process_landing(zones, entry.dataset, entry.landing_file, entry.uploaded_at)
+            payload = process_landing(
+                zones, entry.dataset, entry.landing_file, entry.uploaded_at, database
+            )
         except Exception as error:
             payload = {**about, "pipeline_status": "failed", "status": "failed",
                        "error": str(error),

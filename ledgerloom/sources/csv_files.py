@@ -164,10 +164,14 @@ def detect_types(raw: DataFrame) -> dict[str, str]:
 
 def load_warehouse_infer(spark: SparkSession, path: str, table: str, location: str) -> DataFrame:
     """Replace a table by a CSV whose column types are detected from all its rows."""
-    raw = scan_csv_raw(spark, path)
+    return load_typed(scan_csv_raw(spark, path), table, location)
+
+
+def load_typed(raw: DataFrame, table: str, location: str) -> DataFrame:
+    """Replace a table by text rows, its column types detected from all of them."""
     typed = raw.select([
         (named(c) if kind == "string" else strip(named(c)).try_cast(kind)).alias(c)
         for c, kind in detect_types(raw).items()
     ])
     typed.write.mode("overwrite").option("path", location).saveAsTable(table)
-    return spark.table(table)
+    return raw.sparkSession.table(table)

@@ -82,9 +82,16 @@ class Zones:
     def read_stored(self, path: str) -> DataFrame:
         return read_stored(self.spark, path)
 
-    def star_frames(self, strict: bool = False) -> dict[str, DataFrame]:
-        """The gated datasets by table name, as the dashboard reads them."""
-        return {name.removesuffix(".csv"): self.scan_gated(name, strict=strict) for name in GATED}
+    def star_frames(self, strict: bool = False) -> dict[str, DataFrame | None]:
+        """The gated datasets by table name, as the dashboard reads them.
+
+        A missing dataset has no rows; missing merchants are None, for without them there
+        are no merchant lists.
+        """
+        frames = {name.removesuffix(".csv"): self.scan_gated(name, strict=strict) for name in GATED}
+        if self.resolve("dim_merchants.csv", strict) is None:
+            frames["dim_merchants"] = None
+        return frames
 
     def resolve(self, dataset: str, strict: bool = False) -> str | None:
         """Path behind the readiness gate, or None when the dataset must read as empty.

@@ -210,6 +210,31 @@ def test_smoke_and_synthetic_rows(spark):
     assert balances[0] == "501000.50" and balances[999] == "500000.00" and balances[1000] == "501000.50"
 
 
+def test_no_merchant_lists_without_merchants(zones, folder):
+    from ledgerloom.operators.aggregates import top_merchants
+    from ledgerloom.plans.dashboard import dashboard_charts
+
+    land(zones, folder, "fact_transactions.csv", TX)
+    process_all(zones, "all")
+    frames = zones.star_frames()
+    assert top_merchants(frames["fact_transactions"], frames["dim_merchants"]).count() == 0
+    keys = {r.key: r.value for r in dashboard_charts(frames, zones.registry()).collect()}
+    assert "merchants_txn" not in keys and keys["txn_amount_bins"] is not None
+
+
+def test_published_rows_can_be_loaded_as_a_table(spark, zones, folder):
+    land(zones, folder, "My Sales.csv", "id,day,amount\n1,2024-01-02, 3.5 \n2,,4\n")
+    land(zones, folder, "b.csv", "k\n1\n")
+    done = process_all(zones, "single", "My Sales.csv", database="default")
+    assert [s[:2] for s in done["processed"][0]["payload"]["stages"]] == [
+        ("processing_stage", "passed"), ("result_stage", "passed"), ("warehouse_stage", "passed"),
+        ("analytics_ready_stage", "passed")]
+    assert spark.table("default.my_sales").dtypes == [("id", "bigint"), ("day", "date"), ("amount", "double")]
+    done = process_all(zones, "all", database="nowhere")
+    assert done["errors"] == [] and ("warehouse_stage", "failed") in [
+        s[:2] for s in done["processed"][0]["payload"]["stages"]]
+
+
 def test_uploads_feed_dashboard_and_job(spark, zones, folder):
     """Raw text datasets through landing, publishing, overview, charts and the job."""
     from ledgerloom.operators.aggregates import overview_kpis, top_merchants
