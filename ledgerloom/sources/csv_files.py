@@ -37,6 +37,12 @@ def _dialect(spark: SparkSession, multi_line: bool):
     )
 
 
+def _smallest_split_bytes(spark: SparkSession) -> int:
+    """Spark makes splits smaller on small inputs, but not below the cost of opening a file."""
+    conf = spark._jsparkSession.sessionState().conf()
+    return max(1, min(_one_task_bytes(spark), int(conf.filesOpenCostInBytes())))
+
+
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names as written in the first record; empty list when there is none."""
     lines = spark.read.text(path).filter("trim(value) <> ''").head(1)
@@ -83,10 +89,12 @@ def scan_csv_raw(
     )
     # A pruned parse would not notice that a record does not fit the header.
     how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": RAW, "columnPruning": False}
-    if multi_line and Files(spark).largest(path) > _one_task_bytes(spark):
+    files, task_bytes = Files(spark), _one_task_bytes(spark)
+    if multi_line and files.largest(path) > task_bytes:
+        splits = files.count(path) + files.size(path) // _smallest_split_bytes(spark)
         text = {"quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
         options = {**text, **{k: str(v).lower() if k == "columnPruning" else v for k, v in how.items()}}
-        rows = split_records(spark, path).select(
+        rows = split_records(spark, path, splits).select(
             F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), options).alias("r")
         ).select("r.*")
     else:

@@ -22,58 +22,74 @@ def _joined(parts: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(parts), lambda p: p["value"]), "\n")
 
 
-def split_records(spark: SparkSession, path: str) -> DataFrame:
-    """(record) of every data record; the first record of each file, its header, is left out."""
+# Splits whose table may be broadcast: some 50 bytes each.
+BROADCAST_SPLITS = 500_000
+
+
+def split_records(spark: SparkSession, path: str, max_splits: int) -> DataFrame:
+    """(record) of every data record; the first record of each file, its header, is left out.
+
+    ``max_splits`` bounds the number of splits the files are read in.
+    """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("split"),
+        F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("at"),
         "value",
         quote_parity(F.col("value")).alias("odd"),
     )
-    # One small row per split.
-    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    # One small row per split: its number, its file's number, and the parity around it.
+    in_file = Window.partitionBy("file").orderBy("start")
+    overall = Window.orderBy("file", "start")
+    earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
     splits = (
-        lines.groupBy("file", "split").agg(F.sum("odd").alias("quotes"))
+        lines.groupBy("file", "start").agg(F.sum("odd").alias("quotes"))
         .withColumn("open_before", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
         .withColumn("open_after", (F.col("open_before") + F.col("quotes")) % 2)
+        .withColumn("split", F.row_number().over(overall))
+        .withColumn("file_no", F.dense_rank().over(Window.orderBy("file")))
         .drop("quotes")
     )
+    if max_splits <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
     # A window partition is one split, so it is never larger than the split size.
-    here = Window.partitionBy("file", "split").orderBy("at")
+    here = Window.partitionBy("split").orderBy("at")
     above = here.rowsBetween(Window.unboundedPreceding, -1)
     begins_outside = (F.col("open_before") + F.coalesce(F.sum("odd").over(above), F.lit(0))) % 2 == 0
     numbered = (
-        lines.join(splits, ["file", "split"])
+        lines.join(splits, ["file", "start"])
+        .select("split", "file_no", "open_before", "open_after", "at", "odd", "value",
+                (F.col("start") == 0).alias("opens_file"))
         .withColumn("starts", begins_outside.cast("int"))
         .withColumn("nth", F.sum("starts").over(here.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    pieces = numbered.groupBy("file", "split", "nth").agg(
+    pieces = numbered.groupBy("split", "nth").agg(
         _joined(F.collect_list(F.struct("at", "value"))).alias("text"),
-        F.max("open_after").alias("open_after"),
+        *[F.max(c).alias(c) for c in ("open_after", "file_no", "opens_file")],
     )
-    last = F.max("nth").over(Window.partitionBy("file", "split"))
+    last = F.max("nth").over(Window.partitionBy("split"))
     pieces = pieces.withColumn(
         "cut", (F.col("nth") == 0) | ((F.col("open_after") == 1) & (F.col("nth") == last))
     )
     # A split without a single record start means a field of that size: a stray quote.
-    runaway = F.raise_error(F.concat(F.lit("a quoted field runs through a whole split of "), "file"))
+    runaway = F.raise_error(F.lit("a quoted field runs through a whole split"))
     pieces = pieces.withColumn(
         "text", F.when((last == 0) & (F.col("open_after") == 1), runaway).otherwise(F.col("text"))
-    )
-    whole = pieces.filter(~F.col("cut")).select("file", "split", "nth", "text")
+    ).withColumn("header", F.col("opens_file") & (F.col("nth") == 1))
+    whole = pieces.filter(~F.col("cut")).select("header", "text")
     # At most two pieces per split are cut, and a record has at most two of them.
-    order = Window.partitionBy("file").orderBy("split", "nth")
+    order = Window.partitionBy("file_no").orderBy("split", "nth")
     crossing = (
         pieces.filter("cut")
         .withColumn("group", F.sum((F.col("nth") > 0).cast("int")).over(order))
-        .groupBy("file", "group")
+        .groupBy("file_no", "group")
         .agg(
-            F.min(F.struct("split", "nth")).alias("first"),
+            F.max("header").alias("header"),
             _joined(F.collect_list(F.struct("split", "nth", F.col("text").alias("value")))).alias("text"),
         )
-        .select("file", "first.split", "first.nth", "text")
+        .select("header", "text")
     )
-    records = whole.unionByName(crossing).withColumn("record", F.regexp_replace("text", "\r$", ""))
-    header = (F.col("split") == 0) & (F.col("nth") == 1)
-    return records.filter(~header & (F.col("record") != "")).select("record")
+    text = F.col("text")
+    record = F.when(text.endswith("\r"), text.substr(F.lit(1), F.length(text) - 1)).otherwise(text)
+    records = whole.unionByName(crossing).filter(~F.col("header")).select(record.alias("record"))
+    return records.filter(F.col("record") != "")

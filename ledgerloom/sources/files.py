@@ -28,6 +28,11 @@ class Files:
         fs, target = self._open(path)
         return max((s.getLen() for s in fs.listStatus(target) if s.isFile()), default=0)
 
+    def count(self, path: str) -> int:
+        """Number of files in a folder (1 for a file)."""
+        fs, target = self._open(path)
+        return sum(s.isFile() for s in fs.listStatus(target))
+
     def names(self, folder: str) -> list[str]:
         fs, target = self._open(folder)
         if not fs.exists(target):
