@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import dac, pieces, simhash, suffix
+from ledgerloom.llm import dac, linechunks, linehash, pieces, simhash, suffix
 from ledgerloom.llm.common import table
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -19,6 +19,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linehash.repeated_units(table(spark, folder, "documents"))
+
+
 def op4_direct_codes(spark: SparkSession, folder: str) -> DataFrame:
     return dac.roundtrip(table(spark, folder, "documents"), vocabulary(BYTE_BPE))
 
@@ -31,11 +35,16 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return linechunks.chunk_report(table(spark, folder, "documents"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_direct_codes, op5_sentencepiece, op6_decontamination, op10_simhash)
+    f.__name__: f for f in (
+        op2_line_dedup, op4_direct_codes, op5_sentencepiece, op6_decontamination, op9_line_chunks, op10_simhash)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linehash.ORACLE, "op9_line_chunks": linechunks.ORACLE}
