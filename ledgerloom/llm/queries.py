@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import dac, linechunks, linehash, pieces, simhash, suffix
+from ledgerloom.llm import dac, linechunks, linehash, pieces, scan, simhash, suffix
 from ledgerloom.llm.common import table
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -35,6 +36,10 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.contamination_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_adaptive_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return linechunks.chunk_report(table(spark, folder, "documents"))
 
@@ -45,6 +50,6 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_line_dedup, op4_direct_codes, op5_sentencepiece, op6_decontamination, op9_line_chunks, op10_simhash)
+        op2_line_dedup, op4_direct_codes, op5_sentencepiece, op6_decontamination, op8_adaptive_scan, op9_line_chunks, op10_simhash)
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linehash.ORACLE, "op9_line_chunks": linechunks.ORACLE}
