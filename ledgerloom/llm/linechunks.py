@@ -16,13 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import staged
 
-def chunked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``__id``, ``__copy`` (of the text), ``lines`` and ``ends``: the lines before each chunk's end."""
-    rows = docs.select(
-        F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__copy"), F.split(text, "\n").alias("lines")
-    ).filter("lines IS NOT NULL")
-    return _with_ends(rows).select("__id", "__copy", "lines", "ends")
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``lines`` of ``__text`` and ``ends``: the lines before each chunk's end."""
+    return _with_ends(rows.withColumn("lines", F.split("__text", "\n")).drop("__text"))
 
 
 def _with_ends(rows: DataFrame) -> DataFrame:
@@ -59,27 +58,31 @@ def _same(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 
 def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per removed chunk: ``__id``, ``__copy``, ``chunk``, its lines, and the one that stays."""
-    whole = chunked(docs, doc_id, text)
+    whole = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__copy"), F.col(text).alias("__text"))
+    whole = whole.filter("__text IS NOT NULL")
     # A chunk of several lines is two or more: all but, perhaps, the last.
-    hashes = whole.select("__id", "__copy", F.expr(f"""
+    hashes = _chunked(whole).select("__id", "__copy", F.expr(f"""
         transform(filter(sequence(0, size(ends) - 1), k -> get(ends, k) - coalesce(get(ends, k - 1), 0) > 1),
                   k -> struct(k AS chunk, xxhash64({_body("k")}) AS hash))""").alias("c"))
     # Equal rows are one document.
-    hashes = hashes.select("__id", "__copy", F.explode_outer("c").alias("c")).filter("c IS NOT NULL").select("__id", "__copy", "c.*").distinct()
+    hashes = hashes.select("__id", "__copy", F.explode_outer("c").alias("c")).filter("c IS NOT NULL").select(
+        "__id", "__copy", "c.*").distinct()
     again = hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
     candidates = hashes.join(again, "hash", "left_semi")
     of_doc = candidates.groupBy("__id", "__copy").agg(F.collect_list("chunk").alias("mine"))
-    bodies = _same(whole.dropDuplicates(["__id", "__copy"]), of_doc, "inner").select("__id", "__copy", F.explode_outer(F.expr(f"""
+    bodies = _chunked(_same(whole, of_doc, "inner")).select("__id", "__copy", F.explode_outer(F.expr(f"""
         transform(mine, k -> struct(k AS chunk, coalesce(get(ends, k - 1), 0) AS first_line,
           get(ends, k) - coalesce(get(ends, k - 1), 0) AS n_lines, {_body("k")} AS body))""")).alias("b")
     ).filter("b IS NOT NULL").select("__id", "__copy", "b.*")
+    bodies = staged(bodies, "chunk-bodies")
     # Grouped by the bytes themselves; the digest only names a group in the join.
     rank = F.struct("__id", "__copy", "chunk")
     groups = bodies.groupBy("body").agg(F.min(rank).alias("keep"), F.count("*").alias("n")).filter("n > 1")
     groups = groups.select(F.sha2("body", 256).alias("digest"), "keep")
     rows = bodies.select("__id", "__copy", "chunk", "first_line", "n_lines", F.char_length("body").cast("long").alias("n_chars"),
                          F.sha2("body", 256).alias("digest"))
-    return rows.join(groups, "digest").filter(~rank.eqNullSafe(F.col("keep")))
+    gone = rows.join(groups, "digest").filter(~rank.eqNullSafe(F.col("keep")))
+    return gone.dropDuplicates(["__id", "__copy", "chunk"])
 
 
 def chunk_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
