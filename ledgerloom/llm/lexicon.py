@@ -34,8 +34,8 @@ def flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Lexicon:
     """Grows by the words it has not seen; ``new`` is the first number since the last ``mark``."""
 
-    def __init__(self):
-        self.slots = np.full(1 << 16, -1, np.int64)
+    def __init__(self, slots: int = 1 << 16):
+        self.slots = np.full(slots, -1, np.int64)
         self.hashes = np.zeros(0, np.uint64)
         self.bytes, self.starts, self.sizes = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, dac, linechunks, linehash, pieces, scan, simhash, suffix
+from ledgerloom.llm import chat, dac, lattice, linechunks, linehash, pieces, scan, simhash, suffix
 from ledgerloom.llm.common import table
 from ledgerloom.session import literal_rows
 
@@ -21,6 +21,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_subword_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    pieces_, logs = lattice.public_pieces(vocabulary(PIECE_BPE))
+    return lattice.lattice_scores(table(spark, folder, "documents"), pieces_, logs, held_out)
+
+
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linehash.repeated_units(table(spark, folder, "documents"))
 
@@ -58,7 +64,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_line_dedup, op4_direct_codes, op5_sentencepiece, op6_decontamination, op7_chat_prefix_tree, op8_adaptive_scan, op9_line_chunks, op10_simhash)
+        op1_subword_lattice, op2_line_dedup, op4_direct_codes, op5_sentencepiece, op6_decontamination, op7_chat_prefix_tree, op8_adaptive_scan, op9_line_chunks, op10_simhash)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": linehash.ORACLE, "op7_chat_prefix_tree": chat.ORACLE,
