@@ -7,12 +7,26 @@ All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import pieces, simhash, suffix
+from ledgerloom.llm import linechunks, pieces, simhash, suffix, toxicity
 from ledgerloom.llm.common import staged, table
 from ledgerloom.llm.queries import PIECE_BPE, vocabulary
 
 
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network does not take for toxic."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the chunks of lines that an earlier document, or place, has."""
+    kept = linechunks.chunk_dedup(docs)
+    if "n_chars" in kept.columns:
+        kept = kept.withColumn("n_chars", F.char_length("text").cast(kept.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: fingerprints of 3-word shingles, 3 bits."""
     return simhash.simhash_dedup(docs)
@@ -29,6 +43,8 @@ def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 STAGES = [
+    ("toxicity", toxic_documents),
+    ("line_dedup", repeated_lines),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
     ("sentencepiece", sentencepiece_ids),

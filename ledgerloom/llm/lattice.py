@@ -147,7 +147,7 @@ def _blocks(block_bytes: int):
 
         block, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for part in slices(batch, "text", min(block_bytes, 4 << 20)):
+            for part in slices(batch, "text", min(block_bytes, 1 << 20)):
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(np.full(part.num_rows, block))], names=[*part.schema.names, "block"])
                 held += part.column("text").nbytes
@@ -170,7 +170,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["block", "word", "n"])
 
     for batch in batches:
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text", 1 << 20):
             numbers, held = part.column("block").to_numpy(), part.column("held_out").to_numpy(zero_copy_only=False)
             for one in np.unique(numbers):
                 if one != block:
@@ -195,7 +195,7 @@ def _numbers(own: Lexicon, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 # What a Python worker has scored, by model: the words and their logs.
 _SEEN: dict[str, tuple[Lexicon, np.ndarray]] = {}
-_ROOM = 1_500_000
+_ROOM = 500_000
 
 
 def _logs(name: str, model: Vocabulary, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -214,7 +214,7 @@ def _expected(vocabulary, each_once: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = vocabulary.value, 0.0
         for batch in batches:
-            for part in slices(batch, "word", 512 << 10):
+            for part in slices(batch, "word", 96 << 10):
                 total = total + own.run(
                     octets(part.column("word")), np.ones(part.num_rows) if each_once else part.column("c").to_numpy())[1]
         if not isinstance(total, float):
@@ -242,7 +242,7 @@ def _scored(vocabulary, name: str, end: tuple[int, float], base: float, whole: t
                 if numbers[at] != block:
                     own, block, counts, logs = Lexicon(), numbers[at], np.zeros(0, np.int64), np.zeros(0)
                 if kinds[at] == 0:
-                    for part in slices(rows, "word", 512 << 10):
+                    for part in slices(rows, "word", 96 << 10):
                         buffer, ends = joined(octets(part.column("word")))
                         starts, c = np.concatenate(([0], ends[:-1])), part.column("c").to_numpy()
                         own.index(buffer, starts, ends - 1)
@@ -252,7 +252,7 @@ def _scored(vocabulary, name: str, end: tuple[int, float], base: float, whole: t
                         counts, logs = np.concatenate((counts, c)), np.concatenate((logs, spelled))
                     continue
                 word_base, word_score = np.log10(counts + 1) - base, logs / np.log(10)
-                for part in slices(rows, "text", 4 << 20):
+                for part in slices(rows, "text", 1 << 20):
                     found, text = _numbers(own, octets(part.column("text")))
                     n = part.num_rows
                     tokens = np.bincount(text, minlength=n) + 1

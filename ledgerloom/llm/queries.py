@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, dac, lattice, linechunks, linehash, pieces, scan, simhash, suffix
+from ledgerloom.llm import chat, dac, lattice, linechunks, linehash, pieces, scan, simhash, suffix, toxicity
 from ledgerloom.llm.common import table
 from ledgerloom.session import literal_rows
 
@@ -31,6 +31,10 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linehash.repeated_units(table(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_direct_codes(spark: SparkSession, folder: str) -> DataFrame:
     return dac.roundtrip(table(spark, folder, "documents"), vocabulary(BYTE_BPE))
 
@@ -64,7 +68,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_subword_lattice, op2_line_dedup, op4_direct_codes, op5_sentencepiece, op6_decontamination, op7_chat_prefix_tree, op8_adaptive_scan, op9_line_chunks, op10_simhash)
+        op1_subword_lattice, op2_line_dedup, op3_toxicity, op4_direct_codes, op5_sentencepiece, op6_decontamination, op7_chat_prefix_tree, op8_adaptive_scan, op9_line_chunks, op10_simhash)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": linehash.ORACLE, "op7_chat_prefix_tree": chat.ORACLE,
