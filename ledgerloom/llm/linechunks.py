@@ -20,31 +20,31 @@ from ledgerloom.llm.common import staged
 
 
 def _chunked(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``lines`` of ``__text`` and ``ends``: the lines before each chunk's end."""
-    return _with_ends(rows.withColumn("lines", F.split("__text", "\n")).drop("__text"))
+    """``rows`` with ``__lines`` of ``__text`` and ``__ends``: the lines before each chunk's end."""
+    return _with_ends(rows.withColumn("__lines", F.split("__text", "\n")).drop("__text"))
 
 
 def _with_ends(rows: DataFrame) -> DataFrame:
-    """Adds ``ends``. Each step is a projection of its own, so that no array is made twice.
+    """Adds ``__ends``. Each step is a projection of its own, so that no array is made twice.
 
     For the same reason arrays made here are taken apart by ``explode_outer``: a plain explode
     is given a filter on the array's size, into which all these steps would be copied.
     """
     # 60 bits of a line's digest, so that moving them by one bit cannot overflow.
-    hashed = rows.withColumn("hashes", F.transform(
-        "lines", lambda line: F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")))
-    rolled = hashed.withColumn("rolling", F.zip_with(
-        "hashes", F.expr("concat(array(0L), slice(hashes, 1, size(hashes) - 1))"),
+    hashed = rows.withColumn("__hashes", F.transform(
+        "__lines", lambda line: F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")))
+    rolled = hashed.withColumn("__rolling", F.zip_with(
+        "__hashes", F.expr("concat(array(0L), slice(__hashes, 1, size(__hashes) - 1))"),
         lambda line, earlier: F.shiftleft(earlier, 1).bitwiseXOR(line)))
-    return rolled.withColumn("ends", F.expr("""
-        filter(sequence(1, size(rolling)), i -> i = size(rolling) OR (
-          i > 1 AND get(rolling, i - 1) < get(rolling, i - 2) AND get(rolling, i - 1) < get(rolling, i)))"""))
+    return rolled.withColumn("__ends", F.expr("""
+        filter(sequence(1, size(__rolling)), i -> i = size(__rolling) OR (
+          i > 1 AND get(__rolling, i - 1) < get(__rolling, i - 2) AND get(__rolling, i - 1) < get(__rolling, i)))"""))
 
 
 def _body(k: str) -> str:
-    """SQL of chunk ``k`` of a row with ``lines`` and ``ends``: its bytes."""
-    start = f"coalesce(get(ends, {k} - 1), 0)"
-    return f"array_join(slice(lines, {start} + 1, get(ends, {k}) - {start}), '\n')"
+    """SQL of chunk ``k`` of a row with ``__lines`` and ``__ends``: its bytes."""
+    start = f"coalesce(get(__ends, {k} - 1), 0)"
+    return f"array_join(slice(__lines, {start} + 1, get(__ends, {k}) - {start}), '\n')"
 
 
 def _same(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -62,7 +62,7 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     whole = whole.filter("__text IS NOT NULL")
     # A chunk of several lines is two or more: all but, perhaps, the last.
     hashes = _chunked(whole).select("__id", "__copy", F.expr(f"""
-        transform(filter(sequence(0, size(ends) - 1), k -> get(ends, k) - coalesce(get(ends, k - 1), 0) > 1),
+        transform(filter(sequence(0, size(__ends) - 1), k -> get(__ends, k) - coalesce(get(__ends, k - 1), 0) > 1),
                   k -> struct(k AS chunk, xxhash64({_body("k")}) AS hash))""").alias("c"))
     # Equal rows are one document.
     hashes = hashes.select("__id", "__copy", F.explode_outer("c").alias("c")).filter("c IS NOT NULL").select(
@@ -71,8 +71,8 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     candidates = hashes.join(again, "hash", "left_semi")
     of_doc = candidates.groupBy("__id", "__copy").agg(F.collect_list("chunk").alias("mine"))
     bodies = _chunked(_same(whole, of_doc, "inner")).select("__id", "__copy", F.explode_outer(F.expr(f"""
-        transform(mine, k -> struct(k AS chunk, coalesce(get(ends, k - 1), 0) AS first_line,
-          get(ends, k) - coalesce(get(ends, k - 1), 0) AS n_lines, {_body("k")} AS body))""")).alias("b")
+        transform(mine, k -> struct(k AS chunk, coalesce(get(__ends, k - 1), 0) AS first_line,
+          get(__ends, k) - coalesce(get(__ends, k - 1), 0) AS n_lines, {_body("k")} AS body))""")).alias("b")
     ).filter("b IS NOT NULL").select("__id", "__copy", "b.*")
     bodies = staged(bodies, "chunk-bodies")
     # Grouped by the bytes themselves; the digest only names a group in the join.
@@ -108,9 +108,9 @@ def chunk_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = docs.select(*docs.columns, F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__copy"))
     joined = _same(rows, gone, "left")
     same = joined.filter("__gone IS NULL").select(*docs.columns)
-    cut = _with_ends(joined.filter("__gone IS NOT NULL").withColumn("lines", F.split(text, "\n")))
+    cut = _with_ends(joined.filter("__gone IS NOT NULL").withColumn("__lines", F.split(text, "\n")))
     cut = cut.withColumn("__kept", F.expr(f"""
-        array_join(transform(array_except(sequence(0, size(ends) - 1), __gone), k -> {_body("k")}), '\n')"""))
+        array_join(transform(array_except(sequence(0, size(__ends) - 1), __gone), k -> {_body("k")}), '\n')"""))
     return same.unionByName(cut.select(*[F.col("__kept").alias(c) if c == text else c for c in docs.columns]))
 
 
