@@ -28,7 +28,7 @@ from ledgerloom.llm.suffix import _TABLE
 
 FIT_ROWS = 1200
 FIT_CHARS = 12_000
-EPOCHS = 8
+STEPS = 320
 BATCH = 60
 WINDOW, STRIDE = 64, 56
 BUCKETS = 1 << 15
@@ -172,11 +172,12 @@ def _texts(own: Lexicon, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return own.index(buffer, a, b), np.bincount(np.searchsorted(ends, a, side="right"), minlength=len(texts))
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """Adam over batches of whole texts."""
+def train(texts: list[bytes], labels: np.ndarray, least_steps: int = STEPS, seed: int = 7) -> Network:
+    """Adam over batches of whole texts, every text as often as makes up the steps."""
     net, rng, rate = Network(seed), np.random.default_rng(seed), 0.01
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    steps = 0
+    steps, batches = 0, -(-len(texts) // BATCH)
+    epochs = -(-least_steps // batches) if batches else 0
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
@@ -250,10 +251,12 @@ def fit(docs: DataFrame, labels: DataFrame, training, doc_id: str = "doc_id", te
     """
     known = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).filter("i IS NOT NULL AND y IS NOT NULL")
     known = known.groupBy("i").agg(F.max("y").alias("y"), F.min("y").alias("least")).filter("y = least").drop("least")
-    texts = docs.select(F.col(doc_id).alias("i"), F.col(doc_id).alias(doc_id), F.col(text).alias("t")).filter(training)
-    texts = texts.select("i", F.coalesce("t", F.lit("")).alias("t")).filter(F.char_length("t") <= chars)
-    both = texts.join(known, "i").select("i", "t", "y")
-    # Ids first, then the drawn texts alone: no more than twice ``rows`` of them come to the driver.
+    known = known.withColumn(doc_id, F.col("i")).filter(training).select("i", "y")
+    # Twice as many ids as wanted, as some have no text or a long one; few enough to broadcast.
+    ids = [known.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(2 * rows) for y in (0, 1)]
+    texts = docs.select(F.col(doc_id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter(F.char_length("t") <= chars)
+    both = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "i").select("i", "t", "y")
+    # No more than twice ``rows`` texts come to the driver, however often a row is repeated.
     drawn = [both.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i", "t").limit(rows) for y in (0, 1)]
     got = sorted((r.t.encode(), r.y) for r in drawn[0].unionByName(drawn[1]).collect())
     return train([t for t, _ in got], np.array([y for _, y in got], dtype=np.float64)) if got else train([], np.zeros(0))
