@@ -15,6 +15,7 @@ PLAIN_NUMBER = rf"{_MANTISSA}$"
 EXPONENT_NUMBER = rf"{_MANTISSA}[eE][+-]?{_DIGITS}$"
 
 MONEY = T.DecimalType(18, 2)
+WIDE = T.DecimalType(28, 2)  # its sums are TOTAL
 TOTAL = T.DecimalType(38, 2)
 
 
@@ -51,13 +52,19 @@ def as_double(
 
 
 def as_money(df: DataFrame, column: str) -> Column:
-    """The column as DECIMAL(18,2), rounded half up; what does not fit or parse is null."""
+    """The column as DECIMAL(28,2), rounded half up; what does not parse is null, as is 1e26 and more."""
     source = named(column)
     if not isinstance(df.schema[column].dataType, T.StringType):
-        return source.try_cast(MONEY)
+        return source.try_cast(WIDE)
     text = strip(source)
     is_number = text.rlike(PLAIN_NUMBER) | text.rlike(EXPONENT_NUMBER)
-    return F.when(is_number, F.replace(text, F.lit("_"), F.lit("")).try_cast(MONEY))
+    return F.when(is_number, F.replace(text, F.lit("_"), F.lit("")).try_cast(WIDE))
+
+
+def whole_amount(df: DataFrame, column: str) -> Column:
+    """The number as written, cut toward zero before any rounding; unparseable cells count 0."""
+    value = as_double(df, column)
+    return F.coalesce(F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)), F.lit(0)).cast("bigint")
 
 
 def total(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.numbers import as_double, as_money, clamp, total, whole_text
+from ledgerloom.functions.numbers import as_double, as_money, clamp, total, whole_amount, whole_text
 from ledgerloom.functions.text import cut, label_or, named
 from ledgerloom.operators.predicates import nonempty_key
 from ledgerloom.operators.skew import lookup_join
@@ -95,7 +95,7 @@ def top_merchants(
             F.lit(0).cast("bigint").alias("transaction_count"),
             F.lit(0).cast("bigint").alias("total_amount_ugx"),
         )
-    amount = F.coalesce(as_money(tx, "amount").cast("bigint"), F.lit(0))
+    amount = whole_amount(tx, "amount")
     best = (
         nonempty_key(tx, "merchant_id").groupBy("merchant_id")
         .agg(F.count("*").alias("transaction_count"), F.sum(amount).alias("total_amount_ugx"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.numbers import as_money
+from ledgerloom.functions.numbers import whole_amount
 from ledgerloom.functions.text import cut
 from ledgerloom.operators.aggregates import (
     ENTITIES, LABEL_WIDTH, best_labels, histogram, label_parts, named_merchants,
@@ -48,7 +48,7 @@ def merchant_series(best: DataFrame) -> DataFrame:
 
 def ranked_merchants(tx: DataFrame, merchants: DataFrame, seq: str | None = None) -> DataFrame:
     """The top merchants with ord, n, amt and name."""
-    amount = F.coalesce(as_money(tx, "amount").cast("bigint"), F.lit(0))
+    amount = whole_amount(tx, "amount")
     per_merchant = (
         tx.filter(F.coalesce(F.col("merchant_id").cast("string"), F.lit("")) != "")
         .groupBy("merchant_id").agg(F.count("*").alias("n"), F.sum(amount).alias("amt"))
@@ -86,7 +86,7 @@ def _counted_series(frames: dict[str, DataFrame], seq: str | None) -> DataFrame:
     if merchants is None:
         merchants = literal_rows(tx.sparkSession, [("", "")], "merchant_id, merchant_name")
         del columns["fact_transactions"]["merchants"]
-    amount = F.coalesce(as_money(tx, "amount").cast("bigint"), F.lit(0))
+    amount = whole_amount(tx, "amount")
     parts = None
     for entity, table in ENTITIES:
         df = frames[table]

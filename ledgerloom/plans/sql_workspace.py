@@ -13,24 +13,47 @@ from ledgerloom.session import literal_rows
 from ledgerloom.sources.contracts import GATED
 from ledgerloom.sources.zones import Zones
 
-_QUOTED = r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/|`[^`]*`"
-_BRIDGE = re.compile(rf'(?P<keep>{_QUOTED})|"(?P<name>(?:[^"]|"")+)"|\bAS\s+(?P<type>REAL|TEXT)\s*\)',
-                     re.IGNORECASE | re.DOTALL)
-_SKIPPED = re.compile(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/|`", re.DOTALL)
-_JVM_CALL = re.compile(r"\b(?:try_)?reflect\b|\bjava_method\b", re.IGNORECASE)
+_TOKEN = re.compile(
+    r"""(?P<keep>'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/|`[^`]*`)|"(?P<name>(?:[^"]|"")+)"|\b(?P<cast>CAST\s*\()"""
+    r"""|(?P<open>\()|\bAS\s+(?P<type>REAL|TEXT)\s*(?=\))|(?P<close>\))""", re.IGNORECASE | re.DOTALL)
 _TYPES = {"real": "DOUBLE", "text": "STRING"}
 
+# What the parsed form of a query may consist of; anything else is refused.
+_PLANS = frozenset("""
+    Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Join Union Distinct Intersect Except SubqueryAlias
+    UnresolvedRelation UnresolvedWith UnresolvedSubqueryColumnAliases UnresolvedHaving UnresolvedInlineTable
+    OneRowRelation LocalRelation WithWindowDefinition LateralJoin Generate Pivot UnresolvedOrdinal
+""".split())
+_JVM_CALLS = frozenset(("reflect", "try_reflect", "java_method"))
+
 
 def bridge_dialect(query: str) -> str:
-    """Rewrite what SQLite and Spark spell differently: "names", CAST to REAL or TEXT."""
+    """Rewrite what SQLite and Spark spell differently: "names", and CAST.
+
+    CAST gives null where the text is no number, date and so on, and takes the types REAL
+    and TEXT; those words are left alone outside a CAST's own brackets.
+    """
+    brackets: list[bool] = []
+
     def swap(match: re.Match) -> str:
         if match["name"] is not None:
             return "`" + match["name"].replace('""', '"').replace("`", "``") + "`"
+        if match["cast"] or match["open"]:
+            brackets.append(bool(match["cast"]))
+            return "TRY_CAST(" if match["cast"] else "("
         if match["type"]:
-            return f"AS {_TYPES[match['type'].lower()]})"
+            return f"AS {_TYPES[match['type'].lower()]}" if brackets and brackets[-1] else match[0]
+        if match["close"]:
+            if brackets:
+                brackets.pop()
+            return ")"
         return match["keep"]
 
-    return _BRIDGE.sub(swap, query)
+    return _TOKEN.sub(swap, query)
+
+
+def _each(seq):
+    return [seq.apply(i) for i in range(seq.size())]
 
 
 def sql_name(file: str, fallback: str = "dataset") -> str:
@@ -40,13 +63,14 @@ def sql_name(file: str, fallback: str = "dataset") -> str:
 
 
 class SqlWorkspace:
-    """Views and settings of its own; text that does not parse as a number casts to null."""
+    """Views of its own. Queries see these and nothing else, and run nothing but Spark's own functions."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark.newSession()
-        self.spark.conf.set("spark.sql.ansi.enabled", "false")
+        self.spark.conf.set("spark.sql.ansi.enabled", "true")
         self.spark.conf.set("spark.sql.runSQLOnFiles", "false")
         self.tables: list[str] = []
+        self._functions: frozenset[str] | None = None
 
     def register(self, name: str, df: DataFrame) -> str:
         """Register a frame read through ``self.spark`` as a view; nothing is loaded."""
@@ -84,14 +108,52 @@ class SqlWorkspace:
         text = bridge_dialect(text.rstrip(";").rstrip())
         if not text.lower().startswith(("select", "with")):
             raise ValueError("Only a SELECT or WITH query can be run.")
-        if _JVM_CALL.search(_SKIPPED.sub(" ", text)):
-            raise ValueError("Functions that call into the JVM are not allowed.")
+        # New lines keep a trailing comment from swallowing the bracket.
+        text = f"SELECT * FROM (\n{text}\n)"
         try:
-            # New lines keep a trailing comment from swallowing the bracket.
-            return self.spark.sql(f"SELECT * FROM (\n{text}\n)")
+            parser = self.spark._jsparkSession.sessionState().sqlParser()
+            self._check(parser.parsePlan(text), frozenset(self.tables))
+            return self.spark.sql(text)
         except PySparkException as error:
             raise ValueError(f"Not a readable query: {error}") from error
 
+    def _check(self, plan, tables: frozenset[str]) -> None:
+        """Refuse a parsed plan with nodes, tables or functions that a query may not use.
+
+        The names of a WITH are tables in it and nowhere else.
+        """
+        kind = plan.getClass().getSimpleName()
+        if kind not in _PLANS:
+            raise ValueError(f"Not allowed in a query: {kind}.")
+        if kind == "UnresolvedRelation":
+            parts = _each(plan.multipartIdentifier())
+            if len(parts) != 1 or parts[0].lower() not in tables:
+                raise ValueError(f"No such table here: {'.'.join(parts)}.")
+        inner = _each(plan.innerChildren()) if kind == "UnresolvedWith" else []
+        if inner:
+            tables = tables | {p.alias().lower() for p in inner}
+        for part in [*inner, *_each(plan.children())]:
+            self._check(part, tables)
+        if kind == "Generate":
+            self._check_expression(plan.generator(), tables)
+        for expression in _each(plan.expressions()):
+            self._check_expression(expression, tables)
+
+    def _check_expression(self, expression, tables: frozenset[str]) -> None:
+        kind = expression.getClass().getSimpleName()
+        if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+            name = expression.nameParts() if kind == "UnresolvedFunction" else expression.name().nameParts()
+            if self._functions is None:
+                self._functions = frozenset(r.function for r in self.spark.sql("SHOW SYSTEM FUNCTIONS").collect()) - _JVM_CALLS
+            if name.size() != 1 or name.apply(0).lower() not in self._functions:
+                raise ValueError(f"No such function here: {'.'.join(_each(name))}.")
+        if kind in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery"):
+            self._check(expression.plan(), tables)
+        elif kind == "InSubquery":
+            self._check(expression.query().plan(), tables)
+        for part in _each(expression.children()):
+            self._check_expression(part, tables)
+
     def readonly_sql(self, query: str, limit: int = 200, cap: int = 1000) -> DataFrame:
         """At most ``limit`` rows (1 to ``cap``); no query text can lift the limit."""
         return self.parsed(query).limit(clamp(limit, 1, cap))

@@ -59,9 +59,10 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = _LOCAL_FOLDERS.setdefault(
-            spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="ledgerloom-")
-        )
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="ledgerloom-")
+        base = _LOCAL_FOLDERS[app]
     return f"{base.rstrip('/')}/ledgerloom/{label}-{uuid.uuid4().hex}"
 
 

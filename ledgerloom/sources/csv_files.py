@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.text import named, strip
-from ledgerloom.sources.csv_records import quote_parity, split_records
-from ledgerloom.sources.files import Files
 
 RAW = "_raw_record"
 FIELDS = "_field_count"
 
 
+def quote_parity(line: Column) -> Column:
+    """1 when the line holds an odd number of double quotes."""
+    return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2
+
+
 def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
     """Whether some line has an odd number of quotes, i.e. a record may span lines.
 
@@ -26,23 +29,12 @@ def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
     return bool(found and found.odd)
 
 
-def _one_task_bytes(spark: SparkSession) -> int:
-    """Largest file one task may take whole: Spark's own split size."""
-    return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-
-
 def _dialect(spark: SparkSession, multi_line: bool):
     return spark.read.options(
         quote='"', escape='"', multiLine=multi_line, encoding="UTF-8", maxCharsPerColumn=-1
     )
 
 
-def _smallest_split_bytes(spark: SparkSession) -> int:
-    """Spark makes splits smaller on small inputs, but not below the cost of opening a file."""
-    conf = spark._jsparkSession.sessionState().conf()
-    return max(1, min(_one_task_bytes(spark), int(conf.filesOpenCostInBytes())))
-
-
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names as written in the first record; empty list when there is none."""
     lines = spark.read.text(path).filter("trim(value) <> ''").head(1)
@@ -76,7 +68,9 @@ def scan_csv_raw(
     Empty fields read as ``''``; fields a short row does not have are null; fields
     beyond the header are ignored unless the caller checks the kept field count. Of
     duplicate header names the last column wins. ``multi_line=None`` finds out whether
-    records span lines; files larger than a split are then read in pieces.
+    records span lines. Files in which they do are streamed by Spark's reader, one file to a
+    task at any size; others are read in splits. Line breaks inside quotes stay as they are,
+    save in a file whose lines end in CR LF or CR, where they read as LF.
     """
     header = csv_header(spark, path)
     if not header:
@@ -89,16 +83,7 @@ def scan_csv_raw(
     )
     # A pruned parse would not notice that a record does not fit the header.
     how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": RAW, "columnPruning": False}
-    files, task_bytes = Files(spark), _one_task_bytes(spark)
-    if multi_line and files.largest(path) > task_bytes:
-        splits = files.count(path) + files.size(path) // _smallest_split_bytes(spark)
-        text = {"quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
-        options = {**text, **{k: str(v).lower() if k == "columnPruning" else v for k, v in how.items()}}
-        rows = split_records(spark, path, splits).select(
-            F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), options).alias("r")
-        ).select("r.*")
-    else:
-        rows = _dialect(spark, multi_line).schema(schema).options(header=True, **how).csv(path)
+    rows = _dialect(spark, multi_line).schema(schema).options(header=True, **how).csv(path)
     rows = rows.withColumn(FIELDS, _field_count(len(header)))
     last = {name: i for i, name in enumerate(header)}
     columns = [

@@ -244,11 +244,11 @@ LOAN_COLUMNS = ["loan_id", "customer_id", "principal_amount", "loan_status", "is
 
 
 @query("profile_nulls", sql="""
-    SELECT 'dataset' AS "column", count(*) FILTER (WHERE coalesce(dataset, '') = '') AS null_count FROM dataset_registry
-    UNION ALL SELECT 'pipeline_status', count(*) FILTER (WHERE coalesce(pipeline_status, '') = '') FROM dataset_registry
-    UNION ALL SELECT 'row_count', count(*) FILTER (WHERE row_count IS NULL) FROM dataset_registry""")
+""" + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE coalesce(CAST({c} AS VARCHAR), '') = '') AS null_count FROM dataset_registry"""
+        for c in ("seq", "dataset", "classification", "uploaded_at", "pipeline_status", "status", "row_count")))
 def _(s: Star):
-    return prof.profile_nulls(s.registry.select("dataset", "pipeline_status", "row_count"))
+    return prof.profile_nulls(s.registry)
 
 
 def _range_sql(column: str) -> str:

@@ -57,7 +57,7 @@ def _(s: Star):
 
 @query("validate_examples", sql=" UNION ALL ".join(
     f"SELECT '{name}' AS example, true AS ok, count(*) AS row_count FROM ({sql})"
-    for name, sql in EXAMPLES.items()).replace(" AS REAL)", " AS DOUBLE)"))
+    for name, sql in EXAMPLES.items()).replace(" AS REAL)", " AS DOUBLE)").replace(" AS TEXT)", " AS VARCHAR)"))
 def _(s: Star):
     return workspace(s, *TABLES).validate(EXAMPLES).drop("error")
 
@@ -79,14 +79,14 @@ def _(s: Star):
     SELECT event_id, CAST(trunc(value) AS BIGINT) AS whole, round(value, 1) AS rounded,
            CAST(CAST(round_even(value, 0) AS BIGINT) AS VARCHAR) AS printed, event_id % 7 AS modulo,
            least(greatest(value, 10.0), 100.0) AS clamped, value / nullif(event_id % 5, 0) AS ratio,
-           round(value * 1000 / 1000.0, 0) AS seconds FROM events""")
+           CAST(epoch_us(ts) // 1000 AS DOUBLE) / 1000.0 AS seconds FROM events""")
 def _(s: Star):
     value = F.col("value")
     return s.table("events").select(
         "event_id", value.cast("bigint").alias("whole"), F.round("value", 1).alias("rounded"),
         num.whole_text(value).alias("printed"), F.pmod("event_id", F.lit(7)).alias("modulo"),
         F.least(F.greatest(value, F.lit(10.0)), F.lit(100.0)).alias("clamped"),
-        F.try_divide(value, F.col("event_id") % 5).alias("ratio"), F.round(value * 1000 / 1000.0, 0).alias("seconds"))
+        F.try_divide(value, F.col("event_id") % 5).alias("ratio"), (F.unix_millis(F.col("ts").cast("timestamp")) / 1000.0).alias("seconds"))
 
 
 @query("fn_dates", sql="""

@@ -175,11 +175,11 @@ def _(s: Star):
 MARKERS_SQL = """
     SELECT dataset, max(uploaded_at) FILTER (WHERE pipeline_status = 'analytics_ready' AND seq % 3 = 0) AS ready,
            max(uploaded_at) FILTER (WHERE pipeline_status IS NULL) AS legacy
-    FROM dataset_registry WHERE seq < 1 OR row_count >= 100 GROUP BY dataset"""
+    FROM dataset_registry GROUP BY dataset"""
 
 
 def _ready(s: Star):
-    markers = s.registry.filter((F.col("seq") < 1) | (F.col("row_count") >= 100)).select(
+    markers = s.registry.select(
         "dataset",
         F.when((F.col("pipeline_status") == "analytics_ready") & (F.col("seq") % 3 == 0), "analytics_ready")
         .when(F.col("pipeline_status").isNull(), "ok").alias("kind"),
@@ -301,11 +301,11 @@ NEWEST_SQL = """
 SHOWN = ["seq", "dataset", "classification", "pipeline_status", "status", "row_count"]
 
 
-@query("registry_read", sql=NEWEST_SQL)
+@query("registry_read", sql=NEWEST_SQL.replace("ORDER BY seq DESC LIMIT 500", ""))
 def _(s: Star):
     path = f"{shared_folder(s.spark, 'registry')}/dataset_registry"
     _as_registry(s).write.json(path)
-    return newest_n(z.registry_read(s.spark, path), reg.KEPT, F.desc("seq")).select(*SHOWN)
+    return z.registry_read(s.spark, path).select(*SHOWN)
 
 
 @query("registry_append", sql=NEWEST_SQL)
@@ -336,10 +336,9 @@ def _(s: Star):
     SELECT n.name, concat('/data/finance/', n.name) AS path, coalesce(m.ready, false) AS analytics_ready
     FROM (SELECT unnest([{", ".join(f"'{n}'" for n in KPI_TABLES)}]) AS name) n
     LEFT JOIN (SELECT {NAME_LIST_SQL}[event_id % {len(NAMES)} + 1] AS dataset, bool_or(event_type = 'purchase') AS ready
-               FROM events WHERE value > 5 GROUP BY 1) m ON m.dataset = n.name""")
+               FROM events GROUP BY 1) m ON m.dataset = n.name""")
 def _(s: Star):
-    busy = dealt_names(s).join(s.table("events").select(F.col("event_id").alias("seq"), "value"), "seq").filter("value > 5")
-    return reg.kpi_sources(busy, KPI_TABLES, "/data/finance")
+    return reg.kpi_sources(dealt_names(s), KPI_TABLES, "/data/finance")
 
 
 @query("retire_dataset", sql="SELECT seq, dataset, pipeline_status FROM dataset_registry WHERE dataset <> 'ds_7'")

@@ -101,19 +101,20 @@ def test_reads_what_it_writes(spark, tmp_path, table):
     assert rows(scan_csv_raw(spark, path)) == table
 
 
-@pytest.fixture
-def tiny_splits(spark):
-    """Splits of some hundred bytes, so records cross them."""
-    name = "spark.sql.files.maxPartitionBytes"
-    old = {n: spark.conf.get(n) for n in (name, "spark.sql.files.openCostInBytes")}
-    spark.conf.set(name, "600")
-    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+@pytest.fixture(params=["600", "5000", None])
+def splits(spark, request):
+    """Split sizes from some hundred bytes to Spark's own."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {n: spark.conf.get(n) for n in names}
+    if request.param:
+        spark.conf.set(names[0], request.param)
+        spark.conf.set(names[1], "1")
     yield
     for n, value in old.items():
         spark.conf.set(n, value)
 
 
-def test_spanning_records_are_read_in_splits(spark, folder, tiny_splits):
+def test_spanning_records_do_not_depend_on_the_split_size(spark, folder, splits):
     import random
 
     rnd = random.Random(3)
@@ -122,26 +123,26 @@ def test_spanning_records_are_read_in_splits(spark, folder, tiny_splits):
     for f in range(3):
         table = [(str(f * 1000 + i), rnd.choice(parts), rnd.choice(parts)) for i in range(150)]
         text = io.StringIO()
-        writer = csv.writer(text, lineterminator="\n" if f else "\r\n")
-        writer.writerows([("id", "left", "right"), *table])
+        csv.writer(text, lineterminator="\n" if f else "\r\n").writerows([("id", "left", "right"), *table])
         folder(f"many/part{f}.csv", text.getvalue() + "\n")
         want += table
-    path = f"{folder.root}/many"
-    assert spark.read.text(path).rdd.getNumPartitions() > 20
-    got = scan_csv_raw(spark, path, keep_field_count=True)
-    assert "FileScan text" in got._jdf.queryExecution().executedPlan().toString()
+    got = scan_csv_raw(spark, f"{folder.root}/many", keep_field_count=True)
     assert sorted(rows(got)) == sorted((*r, 3) for r in want)
 
 
-def test_ragged_rows_in_splits(spark, folder, tiny_splits):
+@pytest.mark.parametrize("text,want", [
+    ("id,t\n" + "".join(f'{i},{i}" wide\n' for i in range(400)), [(str(i), f'{i}" wide') for i in range(400)]),
+    ("id,t\r" + "".join(f'{i},"a\rb"\r' for i in range(400)), [(str(i), "a\nb") for i in range(400)]),
+    ("\n\nid,t\n" + "".join(f'{i},"a\r\nb"\n\n' for i in range(400)), [(str(i), "a\r\nb") for i in range(400)]),
+    ('id,t\n1,"' + "long\n" * 3000 + '"\n2,x\n', [("1", "long\n" * 3000), ("2", "x")]),
+], ids=["stray quotes", "CR ends", "blank lines, CR LF in quotes", "a field longer than a split"])
+def test_odd_files_do_not_depend_on_the_split_size(spark, folder, splits, text, want):
+    assert sorted(rows(scan_csv_raw(spark, folder("a.csv", text)))) == sorted(want)
+
+
+def test_ragged_rows_of_a_spanning_file(spark, folder, splits):
     body = '1,"a\nb"\n2\n\n3,x,y\n4,\n' + "".join(f'{i},"{"z" * 50}"\n' for i in range(5, 30))
     df = scan_csv_raw(spark, folder("a.csv", "id,t\n" + body), keep_field_count=True)
     got = sorted(rows(df), key=lambda r: int(r[0]))
     assert got[:4] == [("1", "a\nb", 2), ("2", None, 1), ("3", "x", 3), ("4", "", 2)] and len(got) == 29
     assert df.select("t").count() == 29 and df.count() == 29
-
-
-def test_a_stray_quote_is_reported(spark, folder, tiny_splits):
-    path = folder("a.csv", 'id,t\n1,"open\n' + "plain line without quotes\n" * 200)
-    with pytest.raises(Exception, match="runs through a whole split"):
-        scan_csv_raw(spark, path).collect()

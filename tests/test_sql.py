@@ -9,7 +9,8 @@ from ledgerloom.sources.star import Star
 
 
 @pytest.fixture(scope="module")
-def space(spark):
+def space(spark, tmp_path_factory):
+    spark.range(3).selectExpr("id AS n").write.option("path", str(tmp_path_factory.mktemp("t") / "outsider")).saveAsTable("outsider")
     space = SqlWorkspace(spark)
     star = Star(space.spark, DATA)
     for name in TABLES:
@@ -22,7 +23,12 @@ def space(spark):
     "WITH x AS (SELECT 1) INSERT INTO dim_customers SELECT * FROM x", "SELECT 1; SELECT 2", "SELECT 1); DROP TABLE x; (SELECT 1",
     "SELECT * FROM nowhere", "SELECT reflect('java.lang.System', 'currentTimeMillis')",
     "SELECT `java_method`('java.lang.System', 'exit', 1)", "SELECT try_reflect('a', 'b')",
-    "SELECT * FROM csv.`/etc/hosts`", "EXPLAIN SELECT 1",
+    "SELECT * FROM csv.`/etc/hosts`", "EXPLAIN SELECT 1", "SELECT * FROM outsider", "SELECT * FROM default.outsider",
+    "SELECT TRANSFORM(branch_name) USING 'cat' AS (x STRING) FROM dim_branches", "FROM dim_branches MAP branch_name USING 'cat' AS x",
+    "SELECT * FROM (FROM dim_branches REDUCE branch_name USING 'cat' AS x)", "SELECT * FROM range(5)",
+    "SELECT 1 WHERE 1 IN (SELECT n FROM outsider)", "SELECT 1 WHERE EXISTS (SELECT reflect('java.lang.System', 'gc'))",
+    "SELECT * FROM outsider WHERE 1 IN (WITH outsider AS (SELECT 1 AS x) SELECT x FROM outsider)",
+    "SELECT (SELECT max(n) FROM outsider) AS x", "WITH t AS (SELECT * FROM outsider) SELECT * FROM t",
 ])
 def test_refused(space, text):
     with pytest.raises(ValueError):
@@ -34,6 +40,8 @@ def test_refused(space, text):
     ('SELECT "x" FROM (SELECT 3 AS "x")', 3), ("SELECT CAST('12345678.91' AS REAL) AS x", 12345678.91),
     ("SELECT CAST('abc' AS REAL) AS x", None), ("SELECT CAST(5 AS TEXT) AS x", "5"),
     ("SELECT 'it''s \"AS REAL)\"' AS x", "it's \"AS REAL)\""), ("SELECT 'reflect' AS x", "reflect"),
+    ("SELECT text FROM (SELECT 'a' AS text)", "a"), ("SELECT CAST((SELECT max(real) FROM (SELECT '7' AS real)) AS REAL) AS x", 7.0),
+    ("SELECT x FROM (SELECT explode(array(4)) AS x)", 4), ("SELECT CAST('x' AS INT) AS x", None),
 ])
 def test_accepted(space, text, value):
     assert rows(space.readonly_sql(text)) == [(value,)]

@@ -147,3 +147,21 @@ def test_profile(spark):
     assert record.null_counts == {"a": 1, "b": 1, "c": 4, "d.e": 0}
     assert {k: tuple(v) for k, v in record.numeric_summary.items()} == {
         "a": (1.0, 3.0, 2.0), "b": (5.0, 5.0, 5.0), "d.e": (1.0, 4.0, 2.5)}
+
+
+def test_amounts_are_cut_before_rounding(spark):
+    from ledgerloom.operators.aggregates import top_merchants
+
+    tx = spark.createDataFrame([("a", "0.999"), ("a", "99.995"), ("a", "-1.9"), ("a", "x")], "merchant_id string, amount string")
+    names = spark.createDataFrame([("a", "A")], "merchant_id string, merchant_name string")
+    assert [tuple(r) for r in top_merchants(tx, names).collect()] == [("a", "A", 4, 98)]
+
+
+def test_large_amounts_stay_in_sums(spark):
+    from decimal import Decimal
+
+    from ledgerloom.operators.aggregates import sum_lenient
+
+    for cells, want in ((["12345678901234567890", "1"], "12345678901234567891.00"), (["1e16", "1e20", "-3"], "100009999999999999997.00")):
+        df = spark.createDataFrame([(c,) for c in cells], "amount string")
+        assert sum_lenient(df, "amount").first()[0] == Decimal(want)
