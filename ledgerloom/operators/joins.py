@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import as_money, total
 from ledgerloom.operators.aggregates import named_merchants
-from ledgerloom.operators.skew import lookup_join
+from ledgerloom.operators.skew import HEAVY_SHARE, heavy_hashes, lookup_join
 
 
 def merchant_lookup(tx: DataFrame, merchants: DataFrame, seq: str | None = None) -> DataFrame:
@@ -37,6 +37,23 @@ def tx_alert_weights(tx: DataFrame, alerts: DataFrame) -> DataFrame:
     )
 
 
+SALTS = 16
+
+
+def tx_with_alerts(tx: DataFrame, alerts: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
+    """Every transaction with each of its alerts (``alert_id``, ``alert_status``), or with nulls.
+
+    Rows of an id that holds ``share`` of the transactions are dealt to ``SALTS`` tasks, and
+    that id's alerts go to each of them; both sides are read once for the join.
+    """
+    digest = F.xxhash64("transaction_id")
+    heavy = digest.isin(heavy_hashes(tx, digest, share) or [0])
+    salted = tx.withColumn("_salt", F.when(heavy, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    every = F.when(heavy, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    other = alerts.select("transaction_id", "alert_id", "alert_status", F.explode(every).alias("_salt"))
+    return salted.join(other, ["transaction_id", "_salt"], "left").drop("_salt")
+
+
 def loans_per_customer(loans: DataFrame) -> DataFrame:
     return (
         loans.filter(F.col("customer_id").isNotNull())

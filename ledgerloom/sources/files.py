@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -37,17 +39,29 @@ class Files:
         fs, target = self._open(folder)
         if not fs.exists(target):
             return []
-        return sorted(status.getPath().getName() for status in fs.listStatus(target))
+        names = (status.getPath().getName() for status in fs.listStatus(target))
+        return sorted(name for name in names if not name.startswith("."))
 
     def move(self, source: str, target: str) -> None:
-        """Rename, replacing the target. No data passes through this process."""
+        """Rename, replacing the target. No data passes through this process.
+
+        An old target is set aside under a hidden name until the new one is in place: whatever
+        breaks off, one of the two is there whole.
+        """
         fs, src = self._open(source)
         _, dst = self._open(target)
         fs.mkdirs(dst.getParent())
+        aside = None
         if fs.exists(dst):
-            fs.delete(dst, True)
+            aside = self._jvm.org.apache.hadoop.fs.Path(dst.getParent(), f".{dst.getName()}.{uuid.uuid4().hex}")
+            if not fs.rename(dst, aside):
+                raise OSError(f"cannot set {target} aside")
         if not fs.rename(src, dst):
+            if aside is not None:
+                fs.rename(aside, dst)
             raise OSError(f"cannot move {source} to {target}")
+        if aside is not None:
+            fs.delete(aside, True)
 
     def remove(self, path: str) -> bool:
         fs, target = self._open(path)

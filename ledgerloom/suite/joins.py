@@ -26,15 +26,11 @@ def _(s: Star):
 
 
 @query("join_tx_fraud_left", sql="""
-    SELECT t.transaction_id, t.customer_id, t.amount, coalesce(a.n, 0) AS alert_count,
-           greatest(coalesce(a.n, 0), 1) AS row_weight,
-           CASE WHEN a.n IS NOT NULL THEN CAST(1 AS INTEGER) END AS is_fraud
-    FROM fact_transactions t LEFT JOIN alert_counts a ON a.transaction_id = t.transaction_id""")
+    SELECT t.transaction_id, t.customer_id, t.amount, f.alert_id, f.alert_status
+    FROM fact_transactions t LEFT JOIN fact_fraud_alerts f ON f.transaction_id = t.transaction_id""")
 def _(s: Star):
     tx = s.fact_transactions.select("transaction_id", "customer_id", "amount")
-    return joins.tx_alert_weights(tx, s.fact_fraud_alerts).withColumn(
-        "row_weight", F.col("row_weight").cast("bigint")
-    )
+    return joins.tx_with_alerts(tx, s.fact_fraud_alerts)
 
 
 @query("join_preagg_loans", "null_default", sql="""

@@ -205,24 +205,24 @@ def _(s: Star):
 
 CURATED_SQL = """
     SELECT 'daily' AS tab, CAST(transaction_date AS VARCHAR) AS k, CAST(transaction_count AS VARCHAR) AS n,
-           CAST(total_amount_ugx AS VARCHAR) AS amount FROM kpi_daily_transactions
+           CAST(total_amount_ugx AS VARCHAR) AS amount, CAST(failed_count AS VARCHAR) AS rest FROM kpi_daily_transactions
     UNION ALL SELECT 'risk', CAST(customer_id AS VARCHAR), CAST(transaction_count AS VARCHAR),
-           CAST(total_amount_ugx AS VARCHAR) FROM kpi_customer_risk
+           CAST(total_amount_ugx AS VARCHAR), concat(fraud_alert_count, '/', loan_count) FROM kpi_customer_risk
     UNION ALL SELECT 'merchants', CAST(merchant_id AS VARCHAR), CAST(transaction_count AS VARCHAR),
-           CAST(total_amount_ugx AS VARCHAR) FROM kpi_top_merchants"""
-CURATED_KEYS = [("daily", "kpi_daily_transactions", "transaction_date"),
-                ("risk", "kpi_customer_risk", "customer_id"),
-                ("merchants", "kpi_top_merchants", "merchant_id")]
+           CAST(total_amount_ugx AS VARCHAR), coalesce(merchant_name, '') FROM kpi_top_merchants"""
+CURATED_KEYS = [("daily", "kpi_daily_transactions", "transaction_date", ["failed_count"]),
+                ("risk", "kpi_customer_risk", "customer_id", ["fraud_alert_count", "loan_count"]),
+                ("merchants", "kpi_top_merchants", "merchant_id", ["merchant_name"])]
 
 
 def _stacked(frames: dict):
-    """The three KPI tables as text rows (tab, k, n, amount)."""
+    """The three KPI tables as text rows (tab, k, n, amount, rest)."""
     return z.union_all([
         frames[table].select(
             F.lit(tab).alias("tab"), F.col(key).cast("string").alias("k"),
             F.col("transaction_count").cast("string").alias("n"),
-            F.col("total_amount_ugx").cast("string").alias("amount"))
-        for tab, table, key in CURATED_KEYS
+            F.col("total_amount_ugx").cast("string").alias("amount"), F.concat_ws("/", *rest).alias("rest"))
+        for tab, table, key, rest in CURATED_KEYS
     ])
 
 
@@ -238,14 +238,10 @@ def _(s: Star):
     return _stacked({n: scan_csv_job(s.spark, p) for n, p in paths.items()})
 
 
-@query("load_curated", sql="""
-    SELECT CAST(customer_id AS VARCHAR) AS customer_id, transaction_count,
-           CAST(total_amount_ugx AS DECIMAL(18,2)) AS total_amount_ugx, fraud_alert_count, loan_count
-    FROM kpi_customer_risk""")
+@query("load_curated", sql=CURATED_SQL)
 def _(s: Star):
-    frames = {"kpi_customer_risk": kpi.kpi_customer_risk(s.fact_transactions, s.fact_fraud_alerts, s.fact_loans)}
-    paths = curate.load_curated(frames, shared_folder(s.spark, "curated"))
-    return s.spark.read.parquet(paths["kpi_customer_risk"])
+    paths = curate.load_curated(kpi.curated_frames(s.frames(*JOB_COLUMNS)), shared_folder(s.spark, "curated"))
+    return _stacked({n: s.spark.read.parquet(p) for n, p in paths.items()})
 
 
 @query("curate_and_load", sql="""

@@ -210,3 +210,13 @@ def test_ready_times_prefer_the_newer_marker(spark):
         [("a", "ok", "2"), ("a", "analytics_ready", "1"), ("b", "ok", "3"), ("c", None, "9")],
         "dataset string, kind string, stamp string")
     assert sorted(rows(reg.ready_times(marks))) == [("a", "1"), ("b", "3")]
+
+
+def test_transactions_keep_every_alert_with_heavy_ids(spark):
+    from ledgerloom.operators.joins import tx_with_alerts
+
+    tx = spark.createDataFrame([(1, i) for i in range(60)] + [(None, -1), (2, 100), (3, 101)], "transaction_id long, n long")
+    alerts = spark.createDataFrame([(1, 7, "a"), (1, 8, "b"), (2, 9, None), (None, 5, "x")], "transaction_id long, alert_id long, alert_status string")
+    got = tx_with_alerts(tx, alerts).collect()
+    want = [(1, i, a, s) for i in range(60) for a, s in ((7, "a"), (8, "b"))] + [(None, -1, None, None), (2, 100, 9, None), (3, 101, None, None)]
+    assert sorted(map(str, ((r.transaction_id, r.n, r.alert_id, r.alert_status) for r in got))) == sorted(map(str, want))
