@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import linechunks, pieces, simhash, suffix, toxicity
-from ledgerloom.llm.common import staged, table
+from ledgerloom.llm.common import ship, staged, table
 from ledgerloom.llm.queries import PIECE_BPE, vocabulary
 
 
@@ -56,6 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written as Parquet and read again."""
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +16,21 @@ from ledgerloom.session import shared_folder
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+# Applications whose Python workers have been sent this package.
+_SENT: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, unless their search path has it already."""
+    home, app = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.applicationId
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if app in _SENT or home in map(os.path.realpath, filter(None, paths)) or not os.path.isdir(home):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="ledgerloom-"), "ledgerloom"), "zip", home, "ledgerloom")
+    spark.sparkContext.addPyFile(archive)
+    _SENT.add(app)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
