@@ -9,7 +9,8 @@ of the original vectors in double precision.
 
 Centroids are fitted on at most ``FIT_ROWS`` vectors, drawn by a hash of their ids; every
 vector is dealt to a list. A list of more than ``BLOCK_ROWS`` vectors is split among tasks by a
-hash of the ids, so no group grows with the data. Equal query vectors are searched once.
+hash of the ids, and more than ``QUERY_ROWS`` queries likewise, so no group grows with the data:
+every block of vectors meets every share of the queries. Equal query vectors are searched once.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from ledgerloom.llm.common import staged
 
 FIT_ROWS = 20_000
 BLOCK_ROWS = 4096
+QUERY_ROWS = 8192
 COLUMNS = 16
 PROBE = 0.65  # the given vectors are close to evenly spread, which no coarse index separates well
 LEAST_PROBE = 8
@@ -124,11 +126,13 @@ def _dealt(rows: DataFrame, centers: np.ndarray, probe: int) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, lists array<int>")
 
 
-def _searched(index: DataFrame, queries: DataFrame, parts: dict[int, int], k: int, size: int, epsilon: float) -> DataFrame:
+def _searched(index: DataFrame, queries: DataFrame, parts: dict[int, int], shares: int, k: int, size: int, epsilon: float) -> DataFrame:
     """``query_id``, ``vec_id``, ``score`` of the ``k`` best of each probed block."""
-    asked = queries.select("query_id", "v", F.explode("lists").alias("list"))
+    queries = queries.withColumn("share", F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int"))
+    index = index.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    asked = queries.select("query_id", "share", "v", F.explode("lists").alias("list"))
     asked = asked.withColumn("n", F.get(F.array(*[F.lit(parts.get(i, 0)) for i in range(max(parts, default=0) + 1)]), F.col("list")))
-    asked = asked.filter("n > 0").select("query_id", "v", "list", F.explode(F.expr("sequence(0, n - 1)")).alias("part"))
+    asked = asked.filter("n > 0").select("query_id", "share", "v", "list", F.explode(F.expr("sequence(0, n - 1)")).alias("part"))
 
     def run(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(wanted):
@@ -147,13 +151,15 @@ def _searched(index: DataFrame, queries: DataFrame, parts: dict[int, int], k: in
         q, i, s = map(np.concatenate, zip(*out))
         return pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
 
-    return index.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(
+    key = ["list", "part", "share"]
+    return index.groupBy(key).cogroup(asked.groupBy(key)).applyInPandas(
         run, "query_id long, vec_id long, score double")
 
 
 def nearest(
     vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding",
     probe: float = PROBE, fit_rows: int = FIT_ROWS, block_rows: int = BLOCK_ROWS, epsilon: float = EPSILON,
+    query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score`` of each query's ``k`` nearest found.
 
@@ -180,14 +186,15 @@ def nearest(
     index = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id"), split).cast("int"))
     asked = staged(rows.filter(queries).select(F.col("vec_id").alias("own_id"), "v"), "scan-queries")
     # Equal vectors ask once, under their least id, for one more row than wanted: one's own may be among them.
-    once = asked.groupBy("v").agg(F.min("own_id").alias("query_id"))
+    once = staged(asked.groupBy("v").agg(F.min("own_id").alias("query_id")), "scan-once")
 
     def first_of(found: DataFrame, limit: int, key: str) -> DataFrame:
         order = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("vec_id"))
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
     def search(wanted: DataFrame, lists: int) -> DataFrame:
-        found = _searched(index, _dealt(wanted.select("query_id", "v"), centers, lists), parts, k + 1, size, epsilon)
+        shares = max(1, -(-wanted.count() // query_rows))
+        found = _searched(index, _dealt(wanted.select("query_id", "v"), centers, lists), parts, shares, k + 1, size, epsilon)
         return staged(first_of(found, k + 1, "query_id"), "scan-found")
 
     found = search(once, tried)

@@ -321,6 +321,8 @@ def test_adaptive_scan_recall_and_odd_vectors(spark):
     odd = [(-1, None), (-2, [0.0] * 24), (-3, [float("nan")] * 24), (-4, [None] * 24), (-5, [1.0]), (None, [1.0] * 24), (-6, [float("inf")] * 24), (0, rows[0][1])]
     frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("list", F.lit(1)).withColumn("v", F.lit("x"))
     got = scan.nearest(frame, F.col("vec_id") % 50 == 0, block_rows=500).collect()
+    shared = scan.nearest(frame, F.col("vec_id") % 50 == 0, block_rows=500, query_rows=50).collect()
+    assert set(shared) == set(got) and len(shared) == len(got)
     ids, all_ = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
     unit, hits, total = all_ / np.linalg.norm(all_, axis=1, keepdims=True), 0, 0
     by = {}
