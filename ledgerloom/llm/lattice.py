@@ -17,13 +17,12 @@ of T kinds (Witten and Bell). Without it, pieces are fitted to all tokens and sp
 
 Words are counted in blocks of texts (``BLOCK_BYTES``), so that a word moves once for each block
 that holds it and not once for each occurrence; a word as frequent as any is a row per block.
-Counts return to their blocks, where the texts are scored. What the driver holds is one
-number per piece.
+A word's lattice is run where its counts are, once, and both return to the blocks, where the
+texts are scored. What the driver holds is one number per piece.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,23 +192,6 @@ def _numbers(own: Lexicon, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return own.index(buffer, a, b), np.searchsorted(ends, a, side="right")
 
 
-# What a Python worker has scored, by model: the words and their logs.
-_SEEN: dict[str, tuple[Lexicon, np.ndarray]] = {}
-_ROOM = 500_000
-
-
-def _logs(name: str, model: Vocabulary, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Log probabilities of words; those that this worker has met are not run again."""
-    own, logs = _SEEN.get(name) or (Lexicon(), np.zeros(0))
-    if len(own) > _ROOM:
-        own, logs = Lexicon(), np.zeros(0)
-    found = own.index(buffer, starts, ends)
-    logs = np.concatenate((logs, model.run(own.words(len(logs)))[0]))
-    _SEEN.clear()
-    _SEEN[name] = own, logs
-    return logs[found]
-
-
 def _expected(vocabulary, each_once: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = vocabulary.value, 0.0
@@ -223,13 +205,43 @@ def _expected(vocabulary, each_once: bool):
     return run
 
 
-def _scored(vocabulary, name: str, end: tuple[int, float], base: float, whole: tuple[float, float]):
-    """Scores the texts of each block; its words, with their counts, come before them.
+def _spelled(vocabulary, whole: tuple[float, float]):
+    """Adds ``log``, a word's log probability, to rows of words.
 
-    ``whole``: the log weights of a training token as an edge, and of all pieces.
+    Equal words are next to each other, as the rows come from a window by word, so that nearly
+    every word is run once, however many blocks hold it. ``whole``: the log weights of a training
+    token as an edge, and of all pieces.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, own, block = vocabulary.value, Lexicon(), None
+        model, held, size = vocabulary.value, [], 0
+
+        def ended() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            words = rows.column("word").combine_chunks().dictionary_encode()
+            distinct = pa.RecordBatch.from_arrays([words.dictionary], names=["word"])
+            logs = [model.run(octets(part.column("word")))[0] for part in slices(distinct, "word", 96 << 10)]
+            logs = np.concatenate(logs)[words.indices.to_numpy()] + whole[1]
+            with np.errstate(divide="ignore"):
+                logs = np.logaddexp(logs, np.log(rows.column("c").to_numpy()) + whole[0])
+            return rows.append_column("log", pa.array(logs)).to_batches()[0]
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column("word").nbytes
+            if size >= 1 << 20:
+                yield ended()
+                held, size = [], 0
+        if held:
+            yield ended()
+
+    return run
+
+
+def _scored(end: tuple[int, float], base: float):
+    """Scores the texts of each block; its words, with their counts and logs, come before them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, block = Lexicon(), None
         counts, logs = np.zeros(0, np.int64), np.zeros(0)
         end_base = np.log10(end[0] + 1) - base
         for batch in batches:
@@ -242,14 +254,10 @@ def _scored(vocabulary, name: str, end: tuple[int, float], base: float, whole: t
                 if numbers[at] != block:
                     own, block, counts, logs = Lexicon(), numbers[at], np.zeros(0, np.int64), np.zeros(0)
                 if kinds[at] == 0:
-                    for part in slices(rows, "word", 96 << 10):
-                        buffer, ends = joined(octets(part.column("word")))
-                        starts, c = np.concatenate(([0], ends[:-1])), part.column("c").to_numpy()
-                        own.index(buffer, starts, ends - 1)
-                        spelled = _logs(name, model, buffer, starts, ends - 1) + whole[1]
-                        with np.errstate(divide="ignore"):
-                            spelled = np.logaddexp(spelled, np.log(c) + whole[0])
-                        counts, logs = np.concatenate((counts, c)), np.concatenate((logs, spelled))
+                    buffer, ends = joined(octets(rows.column("word")))
+                    own.index(buffer, np.concatenate(([0], ends[:-1])), ends - 1)
+                    counts = np.concatenate((counts, rows.column("c").to_numpy()))
+                    logs = np.concatenate((logs, rows.column("log").to_numpy()))
                     continue
                 word_base, word_score = np.log10(counts + 1) - base, logs / np.log(10)
                 for part in slices(rows, "text", 1 << 20):
@@ -309,11 +317,12 @@ def lattice_scores(
         whole = (-np.log(tokens + distinct), np.log(distinct / (tokens + distinct)))
         end_log = np.log(texts) + whole[0]
     model = sc.broadcast(Vocabulary(pieces, logs))
+    logged = words.select("block", "word", "c").mapInArrow(_spelled(model, whole), "block long, word binary, c long, log double")
     none = {"doc_id": kind, "held_out": "boolean", "text": "string"}
-    both = words.select("block", F.lit(0).alias("kind"), "word", "c", *[F.lit(None).cast(t).alias(n) for n, t in none.items()]).unionByName(
-        rows.select("block", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("word"), F.lit(0).cast("long").alias("c"), *none))
+    both = logged.select("block", F.lit(0).alias("kind"), "word", "c", "log", *[F.lit(None).cast(t).alias(n) for n, t in none.items()]).unionByName(
+        rows.select("block", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("word"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("log"), *none))
     both = both.repartition("block").sortWithinPartitions("block", "kind")
     scores = both.mapInArrow(
-        _scored(model, uuid.uuid4().hex, (texts, end_log / np.log(10)), np.log10(tokens + distinct + 1), whole),
+        _scored((texts, end_log / np.log(10)), np.log10(tokens + distinct + 1)),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scores.withColumn("train_tokens", F.lit(tokens).cast("long"))
