@@ -20,8 +20,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that an earlier document, or place, has."""
-    kept = linechunks.chunk_dedup(docs)
+    """Documents without the chunks and passages of lines that an earlier document, or place, has."""
+    kept = linechunks.repeat_dedup(docs)
     if "n_chars" in kept.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(kept.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

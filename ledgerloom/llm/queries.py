@@ -62,6 +62,10 @@ def op9_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return linechunks.chunk_report(table(spark, folder, "documents"))
 
 
+def op9_line_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return linechunks.passage_report(table(spark, folder, "documents"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(table(spark, folder, "documents"))
 
@@ -76,9 +80,9 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f) for f in (
-        op1_subword_lattice, op2_line_dedup, op3_toxicity, op4_direct_codes, op5_sentencepiece, op6_decontamination, op7_chat_prefix_tree, op8_adaptive_scan, op9_line_chunks, op10_simhash)
+        op1_subword_lattice, op2_line_dedup, op3_toxicity, op4_direct_codes, op5_sentencepiece, op6_decontamination, op7_chat_prefix_tree, op8_adaptive_scan, op9_line_chunks, op9_line_passages, op10_simhash)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": linehash.ORACLE, "op7_chat_prefix_tree": chat.ORACLE,
-    "op9_line_chunks": linechunks.ORACLE,
+    "op9_line_chunks": linechunks.ORACLE, "op9_line_passages": linechunks.PASSAGES,
 }

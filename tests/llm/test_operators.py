@@ -375,6 +375,50 @@ def test_chunks_equal_brute_force(docs, none):
     same([(r.doc_id, r.text) for r in got.collect()], [(i, texts[i, t]) for i, t in TEXTS])
 
 
+def passages_of(texts: list[tuple[int, str]]) -> list[tuple]:
+    """First line, lines and words of each repeated passage, from every pair of lines and every long line."""
+    seen, found = set(), []
+    for i, t in texts:
+        lines, covered = t.split("\n"), []
+        spans = [(k, k + 2) for k in range(len(lines) - 1)] + [(k, k + 1) for k, x in enumerate(lines) if len(x) > 250 or len(x.split()) > 50]
+        for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+            if tuple(lines[a:b]) not in seen:
+                seen.add(tuple(lines[a:b]))
+            elif covered and a < covered[-1][1]:
+                covered[-1][1] = max(covered[-1][1], b)
+            else:
+                covered.append([a, b])
+        for a, b in covered:
+            body = "\n".join(lines[a:b])
+            if len(body) > 250 or len(body.split()) > 50:
+                found.append((i, a, b - a, len(body.split()), len(body)))
+    return found
+
+
+def test_passages_are_found_wherever_chunks_end(spark, none):
+    rng = np.random.default_rng(9)
+    line = lambda n: " ".join("w%x" % x for x in rng.integers(0, 1 << 40, n))
+    planted = [[line(60 // k + 1) for _ in range(k)] for k in (1, 2, 3, 4, 5, 6, 7, 8) for _ in range(5)]
+    planted += [["日" * 150 + str(k), "本" * 150 + str(k)] for k in range(3)] + [["語" * 260]]
+    texts = []
+    for k, passage in enumerate(planted):
+        for doc_id in (k, 1000 + k):
+            texts.append((doc_id, "\n".join([*[line(7) for _ in range(3)], *passage, *([line(7)] if k % 2 else [])])))
+    texts += [(2000, "\n".join(["again and again the same five words"] * 20)), (2001, ""), (2002, "a\nb"), (2003, "a\nb")]
+    rows = spark.createDataFrame(texts + [texts[3], (None, None)], "doc_id long, text string").repartition(3)
+    got = linechunks.passage_report(rows)
+    found = [(r.doc_id, r.first_line, r.n_lines, r.n_words, r.n_chars) for r in got.collect()]
+    same(found, passages_of(sorted(texts)))
+    assert {i for i, *_ in found} == {*range(1000, 1000 + len(planted)), 2000}
+    assert linechunks.passage_report(none.select("doc_id", "text")).count() == 0
+    alone = {r.doc_id: r.text for r in linechunks.chunk_dedup(rows).collect()}
+    kept = {r.doc_id: r.text for r in linechunks.repeat_dedup(rows).collect()}
+    held = lambda of, k: set(planted[k]) & set((of[1000 + k] or "").split("\n"))
+    assert any(held(alone, k) for k in range(len(planted))) and not any(held(kept, k) for k in range(len(planted)))
+    assert {x for _, t in texts for x in t.split("\n")} == {x for t in kept.values() if t is not None for x in t.split("\n")}
+    assert kept[None] is None and kept[2001] == ""
+
+
 def print_of(text: str) -> int:
     words = lower(text).encode().split()
     shingles = [b" ".join(words[k:k + 3]) for k in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
