@@ -339,8 +339,11 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
         "doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def roundtrip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the files to the shared folder and read every document back from them."""
+def roundtrip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", special: bool = False) -> DataFrame:
+    """Write the files to the shared folder and read every document back from them.
+
+    With ``special`` ids are those of the library as loaded: strings of added tokens are those tokens.
+    """
     path = shared_folder(docs.sparkSession, "codes")
-    write_codes(docs, path, tokenizer, 0, doc_id, text)
+    write_codes(docs, path, tokenizer, 0, doc_id, text, special)
     return read_codes(docs.sparkSession, path)

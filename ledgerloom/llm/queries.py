@@ -36,7 +36,7 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_direct_codes(spark: SparkSession, folder: str) -> DataFrame:
-    return dac.roundtrip(table(spark, folder, "documents"), vocabulary(BYTE_BPE))
+    return dac.roundtrip(table(spark, folder, "documents"), vocabulary(BYTE_BPE), special=True)
 
 
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:

@@ -211,6 +211,22 @@ def test_codes_of_documents(docs, none):
     assert dac.roundtrip(none, vocabulary(BYTE_BPE)).count() == 0
 
 
+def test_codes_query_equals_the_library_as_loaded(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary(BYTE_BPE))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|>\n<|endoftext|> y", "none here", "", None, "<|endoftext|", *odd_texts(300)]
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op4_direct_codes"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    start = 0
+    for k, (r, t) in enumerate(zip(got, texts, strict=True)):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_agenda_equals_the_library():
     own, texts = pieces.Pieces(vocabulary(PIECE_BPE), room=500), odd_texts(5000)
     got = [x for at in range(0, len(texts), 100) for x in own.encode(texts[at:at + 100])]
