@@ -27,17 +27,19 @@ def units(docs: DataFrame, doc_id: str, text: str, separator: str) -> DataFrame:
     plain = normalised(F.col("part"))
     return rows.select(
         "doc_id", "copy", "unit", F.char_length("part").cast("long").alias("n_chars"), plain.alias("plain")
-    ).select("doc_id", "copy", "unit", "n_chars", F.md5("plain").alias("digest"), F.size(F.split("plain", " ")).alias("n_words"))
+    ).select("doc_id", "copy", "unit", "n_chars", F.md5("plain").alias("digest"),
+             F.when(F.col("plain") == "", 0).otherwise(F.size(F.split("plain", " "))).alias("n_words"))
 
 
 def repeated_units(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: str = LINE, min_words: int = MIN_WORDS,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: str = LINE, min_words: int = 1,
 ) -> DataFrame:
     """One row per removed unit: its place in the original text, and the occurrence that stays.
 
     ``start`` and ``n_chars`` count code points; ``unit``, ``keep_unit`` number the units of a
-    text from 0. Occurrences rank by id (null first), then by place. Units of under
-    ``min_words`` words, blank ones among them, always stay. Null texts have no units, empty
+    text from 0. Occurrences rank by id (null first), then by place. Blank units always stay; so
+    do, if the caller asks for a minimum, units of under ``min_words`` words. Words are parted by
+    spaces, so a text in a script without them is one word at any length. Null texts have no units, empty
     ones a blank unit. Rows of one id and one text are one document; of one id and other texts,
     each for itself. An empty table gives no rows. Other columns are not read.
 
@@ -50,7 +52,7 @@ def repeated_units(
     # Equal rows are one document.
     rows = rows.dropDuplicates(["doc_id", "copy", "unit"]).withColumn(
         "start", F.coalesce(F.sum(F.col("n_chars") + len(separator)).over(before), F.lit(0)))
-    rows = rows.filter(F.col("n_words") >= min_words)
+    rows = rows.filter(F.col("n_words") >= max(min_words, 1))
     rank = F.struct(F.col("doc_id"), F.col("copy"), F.col("unit"))
     first = rows.groupBy("digest").agg(F.min(rank).alias("keep"), F.count("*").alias("n")).filter("n > 1")
     return rows.join(first, "digest").filter(~rank.eqNullSafe(F.col("keep"))).select(
@@ -58,7 +60,7 @@ def repeated_units(
         F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.unit").alias("keep_unit"))
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: str = LINE, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: str = LINE, min_words: int = 1) -> DataFrame:
     """All rows and columns of ``docs`` with the repeated units taken out of the texts."""
     gone = repeated_units(docs, doc_id, text, separator, min_words)
     # The unit numbers of one text are as bounded as the text.
@@ -90,3 +92,6 @@ ranked AS (
 SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS BIGINT) AS start, n_chars, digest,
        keep_doc_id, CAST(keep_unit AS INTEGER) AS keep_unit
 FROM ranked WHERE k > 1"""
+
+# The same for all units that are not blank.
+ALL_UNITS = ORACLE.replace(f"len(string_split(t, ' ')) >= {MIN_WORDS}", "t <> ''")

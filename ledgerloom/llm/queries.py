@@ -28,6 +28,10 @@ def op1_subword_lattice(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linehash.repeated_units(table(spark, folder, "documents"), min_words=linehash.MIN_WORDS)
+
+
+def op2_line_units(spark: SparkSession, folder: str) -> DataFrame:
     return linehash.repeated_units(table(spark, folder, "documents"))
 
 
@@ -80,9 +84,9 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f) for f in (
-        op1_subword_lattice, op2_line_dedup, op3_toxicity, op4_direct_codes, op5_sentencepiece, op6_decontamination, op7_chat_prefix_tree, op8_adaptive_scan, op9_line_chunks, op9_line_passages, op10_simhash)
+        op1_subword_lattice, op2_line_dedup, op2_line_units, op3_toxicity, op4_direct_codes, op5_sentencepiece, op6_decontamination, op7_chat_prefix_tree, op8_adaptive_scan, op9_line_chunks, op9_line_passages, op10_simhash)
 }
 ORACLE_SQL: dict[str, str] = {
-    "op2_line_dedup": linehash.ORACLE, "op7_chat_prefix_tree": chat.ORACLE,
+    "op2_line_dedup": linehash.ORACLE, "op2_line_units": linehash.ALL_UNITS, "op7_chat_prefix_tree": chat.ORACLE,
     "op9_line_chunks": linechunks.ORACLE, "op9_line_passages": linechunks.PASSAGES,
 }

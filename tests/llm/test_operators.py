@@ -125,6 +125,16 @@ def test_repeated_units(docs, none):
     assert kept[9] == "Other start.\nFifth." and kept[4] == "" and kept[3] is None
 
 
+def test_short_units_and_texts_without_spaces_go(spark):
+    lines = ["日本語の長い行です。" * 20, "https://example.org/" + "a" * 200, "Yes.", "", " \t"]
+    rows = spark.createDataFrame([(i, "\n".join([f"own line of {i}", *lines])) for i in (1, 2)], "doc_id long, text string")
+    got = [(r.doc_id, r.unit, r.keep_doc_id, r.keep_unit) for r in linehash.repeated_units(rows).collect()]
+    same(got, [(2, k, 1, k) for k in (1, 2, 3)])
+    assert linehash.repeated_units(rows, min_words=5).count() == 0
+    kept = {r.doc_id: r.text for r in linehash.line_dedup(rows).collect()}
+    assert kept == {1: "\n".join(["own line of 1", *lines]), 2: "own line of 2\n\n \t"}
+
+
 def test_network_gradients_and_windows():
     net, own = toxicity.Network(1), lexicon.Lexicon()
     found, counts = toxicity._texts(own, [b"one two three four " * 20, b"a b", b""])
