@@ -31,6 +31,22 @@ def units(docs: DataFrame, doc_id: str, text: str, separator: str) -> DataFrame:
              F.when(F.col("plain") == "", 0).otherwise(F.size(F.split("plain", " "))).alias("n_words"))
 
 
+def _repeated(docs: DataFrame, doc_id: str, text: str, separator: str, min_words: int) -> DataFrame:
+    """``repeated_units`` with ``copy``, which tells the texts of one id apart."""
+    rows = units(docs, doc_id, text, separator)
+    place = Window.partitionBy("doc_id", "copy").orderBy("unit")
+    before = place.rowsBetween(Window.unboundedPreceding, -1)
+    # Equal rows are one document.
+    rows = rows.dropDuplicates(["doc_id", "copy", "unit"]).withColumn(
+        "start", F.coalesce(F.sum(F.col("n_chars") + len(separator)).over(before), F.lit(0)))
+    rows = rows.filter(F.col("n_words") >= max(min_words, 1))
+    rank = F.struct(F.col("doc_id"), F.col("copy"), F.col("unit"))
+    first = rows.groupBy("digest").agg(F.min(rank).alias("keep"), F.count("*").alias("n")).filter("n > 1")
+    return rows.join(first, "digest").filter(~rank.eqNullSafe(F.col("keep"))).select(
+        "doc_id", "copy", "unit", "start", "n_chars", "digest",
+        F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.unit").alias("keep_unit"))
+
+
 def repeated_units(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: str = LINE, min_words: int = 1,
 ) -> DataFrame:
@@ -46,29 +62,18 @@ def repeated_units(
     Digests are 128-bit. Groups are counted before they shuffle, and a digest that a third of
     the rows share only meets its one kept row, so that its rows can be split among tasks.
     """
-    rows = units(docs, doc_id, text, separator)
-    place = Window.partitionBy("doc_id", "copy").orderBy("unit")
-    before = place.rowsBetween(Window.unboundedPreceding, -1)
-    # Equal rows are one document.
-    rows = rows.dropDuplicates(["doc_id", "copy", "unit"]).withColumn(
-        "start", F.coalesce(F.sum(F.col("n_chars") + len(separator)).over(before), F.lit(0)))
-    rows = rows.filter(F.col("n_words") >= max(min_words, 1))
-    rank = F.struct(F.col("doc_id"), F.col("copy"), F.col("unit"))
-    first = rows.groupBy("digest").agg(F.min(rank).alias("keep"), F.count("*").alias("n")).filter("n > 1")
-    return rows.join(first, "digest").filter(~rank.eqNullSafe(F.col("keep"))).select(
-        "doc_id", "unit", "start", "n_chars", "digest",
-        F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.unit").alias("keep_unit"))
+    return _repeated(docs, doc_id, text, separator, min_words).drop("copy")
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: str = LINE, min_words: int = 1) -> DataFrame:
     """All rows and columns of ``docs`` with the repeated units taken out of the texts."""
-    gone = repeated_units(docs, doc_id, text, separator, min_words)
+    gone = _repeated(docs, doc_id, text, separator, min_words)
     # The unit numbers of one text are as bounded as the text.
-    gone = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("unit").alias("__gone"))
+    gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).agg(F.collect_set("unit").alias("__gone"))
     parts = F.split(text, separator)
     kept = F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda k: F.get(parts, k))
-    joined = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")), "left")
+    joined = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__copy")), "left")
     new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, separator))
     return joined.withColumn(text, new).select(*docs.columns)
 

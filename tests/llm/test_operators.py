@@ -135,6 +135,17 @@ def test_short_units_and_texts_without_spaces_go(spark):
     assert kept == {1: "\n".join(["own line of 1", *lines]), 2: "own line of 2\n\n \t"}
 
 
+def test_texts_of_one_id_lose_only_their_own_units(spark):
+    texts = [(None, "unique one\ntwice here\nunique three"), (None, "other one\nother two\ntwice here"),
+             (5, "a first\nshared by both"), (5, "shared by both\na last"), (5, "shared by both\na last"), (None, None)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    left = linehash.line_dedup(rows).collect()
+    lines = lambda i: Counter(x for r in left if r.doc_id == i and r.text is not None for x in r.text.split("\n"))
+    assert lines(None) == Counter(["unique one", "twice here", "unique three", "other one", "other two"])
+    assert lines(5)["a first"] == 1 and lines(5)["a last"] == 2 and lines(5)["shared by both"] in (1, 2)
+    assert len(left) == len(texts) and linehash.line_dedup(rows).columns == ["doc_id", "text"]
+
+
 def test_network_gradients_and_windows():
     net, own = toxicity.Network(1), lexicon.Lexicon()
     found, counts = toxicity._texts(own, [b"one two three four " * 20, b"a b", b""])
