@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, dac, lattice, linechunks, linehash, pieces, scan, simhash, suffix, toxicity
+from ledgerloom.llm import chat, dac, hardneg, lattice, linechunks, linehash, pieces, scan, simhash, suffix, toxicity, warc, whiten
 from ledgerloom.llm.common import ship, table
 from ledgerloom.session import literal_rows
 
@@ -74,6 +74,20 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(table(spark, folder, "documents"))
 
 
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.roundtrip(table(spark, folder, "pages"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label, vec_id = F.col("label").cast("long"), F.col("vec_id")
+    label = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hardneg.hard_negatives(table(spark, folder, "embeddings"), vec_id % 50 == 0, label)
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten.whitened(table(spark, folder, "embeddings"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         ship(spark)
@@ -84,9 +98,10 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f) for f in (
-        op1_subword_lattice, op2_line_dedup, op2_line_units, op3_toxicity, op4_direct_codes, op5_sentencepiece, op6_decontamination, op7_chat_prefix_tree, op8_adaptive_scan, op9_line_chunks, op9_line_passages, op10_simhash)
+        op1_subword_lattice, op2_line_dedup, op2_line_units, op3_toxicity, op4_direct_codes, op5_sentencepiece, op6_decontamination, op7_chat_prefix_tree, op8_adaptive_scan, op9_line_chunks, op9_line_passages, op10_simhash,
+        op11_warc, op12_hard_negatives, op13_whitening)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": linehash.ORACLE, "op2_line_units": linehash.ALL_UNITS, "op7_chat_prefix_tree": chat.ORACLE,
-    "op9_line_chunks": linechunks.ORACLE, "op9_line_passages": linechunks.PASSAGES,
+    "op9_line_chunks": linechunks.ORACLE, "op9_line_passages": linechunks.PASSAGES, "op11_warc": warc.ORACLE, "op12_hard_negatives": hardneg.ORACLE,
 }
