@@ -355,30 +355,48 @@ def test_adaptive_scan_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(2)
     vectors = rng.standard_normal((3000, 24)).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(10_000 + i, vectors[7].tolist()) for i in range(900)]
-    odd = [(-1, None), (-2, [0.0] * 24), (-3, [float("nan")] * 24), (-4, [None] * 24), (-5, [1.0]), (None, [1.0] * 24), (-6, [float("inf")] * 24), (0, rows[0][1])]
+    # Of one id: other vectors, the same vector twice, no id at all, and fewer dimensions.
+    rows += [(0, rows[0][1]), (1, rows[0][1]), (50, rows[9][1]), (50, rows[9][1]), (None, rows[100][1]), (None, rows[0][1]), (-5, [1.0]), (-50, rows[3][1][:7])]
+    odd = [(-1, None), (-2, [0.0] * 24), (-3, [float("nan")] * 24), (-4, [None] * 24), (-6, [float("inf")] * 24), (-50, []), (0, [0.0])]
     frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("list", F.lit(1)).withColumn("v", F.lit("x"))
-    got = scan.nearest(frame, F.col("vec_id") % 50 == 0, block_rows=500).collect()
-    shared = scan.nearest(frame, F.col("vec_id") % 50 == 0, block_rows=500, query_rows=50).collect()
-    assert set(shared) == set(got) and len(shared) == len(got)
-    ids, all_ = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
-    unit, hits, total = all_ / np.linalg.norm(all_, axis=1, keepdims=True), 0, 0
-    by = {}
-    for r in sorted(got, key=lambda r: r.rank):
-        by.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert set(by) == {int(i) for i in ids if i % 50 == 0}
-    for k in np.flatnonzero(ids % 50 == 0):
+    frame = frame.withColumn("row", F.lit(2)).repartition(3)
+    ids = [r[0] for r in rows]
+    all_ = np.array([r[1] + [0.0] * (24 - len(r[1])) for r in rows])
+    unit = all_ / np.linalg.norm(all_, axis=1, keepdims=True)
+
+    def by_hand(k):
         scores = np.round(unit @ unit[k], 12)
-        order = [j for j in np.lexsort((ids, -scores)) if j != k][:5]
-        mine = by[ids[k]]
-        hits, total = hits + len({i for i, _ in mine} & set(ids[order].tolist())), total + 5
-        if ids[k] >= 10_000:  # copies tie: the smaller ids come first
-            assert [i for i, _ in mine] == ids[order].tolist()
-    assert hits / total >= 0.9
-    few = scan.nearest(frame.filter("vec_id IN (0, 50, 60) OR vec_id < 0"), F.col("vec_id") % 50 == 0).collect()
-    assert {(r.query_id, r.vec_id) for r in few} == {(0, 50), (0, 60), (50, 0), (50, 60)}
+        order = sorted((j for j in range(len(rows)) if j != k), key=lambda j: (-scores[j], ids[j] is None, ids[j] or 0))[:5]
+        return tuple((ids[j], scores[j]) for j in order)
+
+    def answers(found):
+        by = {}  # an id that asks twice has two answers; ranks tell them apart only together
+        for r in found:
+            by.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 12)))
+        return {q: Counter(a) for q, a in by.items()}
+
+    want = {}
+    for k, name in enumerate(ids):
+        if name is not None and name % 50 == 0:
+            want.setdefault(name, Counter()).update((n, *a) for n, a in enumerate(by_hand(k), 1))
+    asks = F.col("vec_id") % 50 == 0
+    assert answers(scan.nearest(frame, asks, block_rows=500, probe=1.0, epsilon=1e9).collect()) == want
+    got = answers(scan.nearest(frame, asks, block_rows=500).collect())
+    assert set(got) == set(want)
+    hits = sum(sum((Counter(i for _, i, _ in got[q].elements()) & Counter(i for _, i, _ in want[q].elements())).values()) for q in want)
+    assert hits / sum(sum(c.values()) for c in want.values()) >= 0.9
+    assert all(got[q] == want[q] for q in want if q >= 10_000)  # copies tie: the smaller ids come first
+    few = scan.nearest(frame.filter("vec_id IN (0, 50, 60) AND embedding[0] <> 0 AND size(embedding) = 24"), asks).collect()
+    assert Counter(r.query_id for r in few) == {0: 10, 50: 15} and all(r["rank"] <= 5 for r in few)
     assert scan.nearest(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_every_row_of_an_id_is_a_candidate(spark):
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.01])], "vec_id long, embedding array<double>")
+    got = scan.nearest(frame, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 5)) for r in got] == [(1, 0.99995), (1, 0.0)]
+
+
 def chunks_of(text: str) -> list[tuple[int, list[str]]]:
     lines = text.split("\n")
     h = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for x in lines]
