@@ -21,7 +21,7 @@ def against_blocks(
     of asked rows. Blocks that nobody asks are not built.
     """
     both = index.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)), allowMissingColumns=True)
-    dealt = both.repartition(parts, "part").sortWithinPartitions("part", "asks")
+    dealt = both.repartitionById(parts, "part").sortWithinPartitions("part", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows, block = None, [], None
