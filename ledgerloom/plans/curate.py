@@ -14,8 +14,11 @@ from ledgerloom.session import build_session, sized_shuffles
 from ledgerloom.sources.contracts import CURATED, JOB_COLUMNS
 from ledgerloom.sources.csv_files import write_csv
 from ledgerloom.sources.files import Files
+from ledgerloom.sources.versions import Versions
 from ledgerloom.sources.zones import read_stored, require_inputs
 
+STAGING = "_staging"
+
 
 def read_inputs(spark: SparkSession, folder: str, staging: str | None = None) -> dict[str, DataFrame]:
     """The four inputs with only the columns the job reads.
@@ -51,23 +54,40 @@ def typed(df: DataFrame, table: str) -> DataFrame:
     return df.select([F.col(c).cast(t).alias(c) for c, t in CURATED[table].items()])
 
 
-def load_curated(frames: dict[str, DataFrame], folder: str) -> dict[str, str]:
-    """Overwrite the curated Parquet tables: all are written aside, then renamed in.
+def load_curated(frames: dict[str, DataFrame], folder: str, version: str | None = None) -> dict[str, str]:
+    """Write the curated Parquet tables as one version of ``folder`` and commit them together.
 
-    The rows are left unsorted; readers that want an order ask for it.
+    ``read_curated`` sees the tables of one run, whatever breaks off here. The version before stays
+    for those who still read it, older ones go. The rows are left unsorted; readers that want an
+    order ask for it.
     """
-    folder = folder.rstrip("/")
     files = Files(next(iter(frames.values())).sparkSession)
+    versions = Versions(files, folder)
+    version = version or versions.begin()
 
     def write(name: str) -> None:
-        typed(frames[name], name).write.mode("overwrite").parquet(f"{folder}/_next/{name}")
+        typed(frames[name], name).write.mode("overwrite").parquet(f"{version}/{name}")
 
     # Independent jobs: one fills the executors another leaves idle.
     with ThreadPoolExecutor(len(frames)) as pool:
         list(pool.map(write, frames))
-    for name in frames:
-        files.move(f"{folder}/_next/{name}", f"{folder}/{name}")
-    return {name: f"{folder}/{name}" for name in frames}
+    files.remove(f"{version}/{STAGING}")
+    versions.commit(version, tables=list(frames))
+    versions.vacuum()
+    return {name: f"{version}/{name}" for name in frames}
+
+
+def curated_paths(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Where the tables of the newest committed run are."""
+    commit = Versions(Files(spark), folder).current()
+    if commit is None:
+        raise FileNotFoundError(f"No curated tables in {folder}.")
+    return {name: f"{commit['path']}/{name}" for name in commit["tables"]}
+
+
+def read_curated(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The curated tables, all of one run."""
+    return {name: spark.read.parquet(path) for name, path in curated_paths(spark, folder).items()}
 
 
 def write_curated_csv(frames: dict[str, DataFrame], folder: str) -> dict[str, str]:
@@ -81,12 +101,11 @@ def write_curated_csv(frames: dict[str, DataFrame], folder: str) -> dict[str, st
 def curate_and_load(spark: SparkSession, input_folder: str, output_folder: str) -> dict[str, DataFrame]:
     """Check inputs, compute, load; returns the loaded tables."""
     files = Files(spark)
-    staging = f"{output_folder.rstrip('/')}/_staging"
+    version = Versions(files, output_folder).begin()
     with sized_shuffles(spark, files.size(input_folder)):
-        inputs = read_inputs(spark, input_folder, staging)
-        paths = load_curated(curated_frames(inputs), output_folder)
-    files.remove(staging)
-    return {name: spark.read.parquet(path) for name, path in paths.items()}
+        inputs = read_inputs(spark, input_folder, f"{version}/{STAGING}")
+        load_curated(curated_frames(inputs), output_folder, version)
+    return read_curated(spark, output_folder)
 
 
 def main() -> None:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
 class Files:
     def __init__(self, spark: SparkSession):
         self._jvm = spark._jvm
+        self._gateway = spark.sparkContext._gateway
         self._conf = spark._jsc.hadoopConfiguration()
 
     def _open(self, path: str):
@@ -75,6 +77,35 @@ class Files:
         finally:
             out.close()
 
+    def put_new(self, path: str, text: str) -> bool:
+        """Make a small file appear whole under a name that nobody has yet; False if somebody has it.
+
+        Of two writers of one name exactly one succeeds. On a local disk that is a hard link, elsewhere
+        a rename, which HDFS refuses when the name exists.
+        """
+        fs, target = self._open(path)
+        fs.mkdirs(target.getParent())
+        aside = f"{target.getParent()}/.{target.getName()}.{uuid.uuid4().hex}"
+        self.write_marker(aside, text)
+        try:
+            if fs.getScheme() != "file":
+                return fs.rename(self._open(aside)[1], target)
+            link = getattr(self._jvm.java.nio.file.Files, "createLink")
+            link(self._local(path), self._local(aside))
+            return True
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" not in str(error.java_exception.getClass().getName()):
+                raise
+            return False
+        finally:
+            self.remove(aside)
+
+    def _local(self, path: str):
+        return self._jvm.java.nio.file.Paths.get(self._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath(), self._none())
+
+    def _none(self):
+        return self._gateway.new_array(self._jvm.java.lang.String, 0)
+
     def read_marker(self, path: str) -> str:
         """Text of a marker file (a timestamp, so a few bytes)."""
         fs, target = self._open(path)

@@ -240,8 +240,12 @@ def _(s: Star):
 
 @query("load_curated", sql=CURATED_SQL)
 def _(s: Star):
-    paths = curate.load_curated(kpi.curated_frames(s.frames(*JOB_COLUMNS)), shared_folder(s.spark, "curated"))
-    return _stacked({n: s.spark.read.parquet(p) for n, p in paths.items()})
+    folder = shared_folder(s.spark, "curated")
+    frames = kpi.curated_frames(s.frames(*JOB_COLUMNS))
+    # A run before this one, which the second replaces as a whole.
+    curate.load_curated({n: f.limit(0) for n, f in frames.items()}, folder)
+    curate.load_curated(frames, folder)
+    return _stacked(curate.read_curated(s.spark, folder))
 
 
 @query("curate_and_load", sql="""
