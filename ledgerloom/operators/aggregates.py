@@ -10,6 +10,7 @@ from ledgerloom.functions.text import cut, label_or, named
 from ledgerloom.operators.predicates import nonempty_key
 from ledgerloom.operators.skew import lookup_join
 from ledgerloom.operators.windows import last_wins, ranked
+from ledgerloom.sources.csv_files import file_order
 
 
 def _unit(df: DataFrame) -> DataFrame:
@@ -112,10 +113,10 @@ def named_merchants(
 ) -> DataFrame:
     """Add ``merchant_name``: last dimension row wins, the id stands in for no match.
 
-    ``seq`` orders the dimension's rows (their order in its file when not given);
+    ``seq`` orders the dimension's rows (their order in its files when not given);
     ``many`` says that ``df`` may hold many rows per merchant.
     """
-    order = F.monotonically_increasing_id() if seq is None else F.col(seq)
+    order = file_order(merchants) if seq is None else F.col(seq)
     if "merchant_name" not in merchants.columns:
         merchants = merchants.withColumn("merchant_name", F.col("merchant_id").cast("string"))
     names = last_wins(merchants.withColumn("_seq", order), "merchant_id", "merchant_name", "_seq")

@@ -12,23 +12,25 @@ from ledgerloom.operators.predicates import require_columns, trim_all
 from ledgerloom.operators.profile import insights_of, profile_measures, with_numbers
 from ledgerloom.operators.windows import latest_landed
 from ledgerloom.plans.sql_workspace import sql_name
-from ledgerloom.sources.csv_files import FIELDS, load_typed, scan_csv_raw
+from ledgerloom.sources.csv_files import FIELDS, ROW_ORDER, load_typed, scan_csv_raw
 from ledgerloom.sources.zones import Zones, base_name, classification_of, utc_now
 
 
 def write_processed(raw: DataFrame, path: str) -> tuple[int, Row]:
     """Write the trimmed rows as Parquet and profile them in the same pass.
 
-    ``raw`` keeps its field count: a row longer than the header fails the file.
+    ``raw`` keeps its field count: a row longer than the header fails the file. Its places in
+    the landed files, if kept, are stored with the rows.
     """
-    columns = [c for c in raw.columns if c != FIELDS]
+    columns = [c for c in raw.columns if c not in (FIELDS, ROW_ORDER)]
+    place = [ROW_ORDER] if ROW_ORDER in raw.columns else []
     seen = Observation("profile")
     watched = with_numbers(trim_all(raw), trimmed=True).observe(
         seen,
         F.count_if(F.col(FIELDS) > len(columns)).alias("long_rows"),
         *profile_measures(columns, trimmed=True),
     )
-    watched.select(*[named(c) for c in columns]).write.mode("overwrite").parquet(path)
+    watched.select(*[named(c) for c in columns], *place).write.mode("overwrite").parquet(path)
     measured = seen.get
     if measured["long_rows"]:
         raise ValueError(f"{measured['long_rows']} rows have more fields than the header.")
@@ -65,7 +67,7 @@ def process_landing(
     name = base_name(dataset)
     kind = classification_of(name)
     path, processed = zones.landing(landing_file), zones.processing(landing_file)
-    raw = scan_csv_raw(zones.spark, path, keep_field_count=True)
+    raw = scan_csv_raw(zones.spark, path, keep_field_count=True, keep_order=True)
     if kind == "finance":
         require_columns(name, raw.columns)
     try:

@@ -12,6 +12,7 @@ from ledgerloom.functions.text import named, strip
 
 RAW = "_raw_record"
 FIELDS = "_field_count"
+ROW_ORDER = "_row_order"
 
 
 def quote_parity(line: Column) -> Column:
@@ -29,6 +30,46 @@ def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
     return bool(found and found.odd)
 
 
+def file_order(df: DataFrame) -> Column:
+    """A column that sorts the rows of a scan as they stand in its files, and the files by path.
+
+    Spark reads large splits first, so the order of the scan says nothing. A row's place is its
+    file, the start of its split and the place within that; Parquet knows the row's number. Only a frame
+    that no longer knows its files is left to the order of its partitions.
+    """
+    if ROW_ORDER in df.columns:
+        return F.col(ROW_ORDER)
+    known, in_split = _known_places(df), F.monotonically_increasing_id()
+    if "file_path" not in known:
+        return in_split
+    if "row_index" in known:
+        block, row = F.lit(0).cast("long"), F.col("_metadata.row_index")
+    else:
+        block, row = F.col("_metadata.file_block_start"), in_split
+    return F.struct(F.col("_metadata.file_path").alias("file"), block.alias("block"), row.alias("row"))
+
+
+def _known_places(df: DataFrame) -> list[str]:
+    """What Spark can tell of the files that the rows come from."""
+    hidden = df._jdf.queryExecution().analyzed().metadataOutput()
+    if "_metadata" not in [hidden.apply(i).name() for i in range(hidden.size())]:
+        return []
+    return df.select("_metadata").schema["_metadata"].dataType.names
+
+
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows by the column ``ROW_ORDER``, which is dropped.
+
+    Mostly they are all in the first split of the first file, and only its rows are sorted then.
+    """
+    start = df.agg(F.min(ROW_ORDER).alias("at")).first()["at"]
+    if start is not None:
+        at = F.col(ROW_ORDER)
+        head = df.filter((at["file"] == start.file) & (at["block"] == start.block))
+        df = head if head.limit(n).count() == n else df
+    return df.orderBy(ROW_ORDER).limit(n).drop(ROW_ORDER)
+
+
 def _dialect(spark: SparkSession, multi_line: bool):
     return spark.read.options(
         quote='"', escape='"', multiLine=multi_line, encoding="UTF-8", maxCharsPerColumn=-1
@@ -62,9 +103,12 @@ def scan_csv_raw(
     path: str,
     multi_line: bool | None = None,
     keep_field_count: bool = False,
+    keep_order: bool = False,
 ) -> DataFrame:
     """Header CSV as all-string rows.
 
+    ``keep_order`` adds ``ROW_ORDER``, each row's place in the files; sorted by it, rows stand as written.
+
     Empty fields read as ``''``; fields a short row does not have are null; fields
     beyond the header are ignored unless the caller checks the kept field count. Of
     duplicate header names the last column wins. ``multi_line=None`` finds out whether
@@ -85,12 +129,17 @@ def scan_csv_raw(
     how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": RAW, "columnPruning": False}
     rows = _dialect(spark, multi_line).schema(schema).options(header=True, **how).csv(path)
     rows = rows.withColumn(FIELDS, _field_count(len(header)))
+    if keep_order and ROW_ORDER in header:
+        raise ValueError(f"A column may not be named {ROW_ORDER}.")
+    if keep_order:
+        rows = rows.withColumn(ROW_ORDER, file_order(rows))
     last = {name: i for i, name in enumerate(header)}
     columns = [
         F.when(F.col(FIELDS) > i, F.coalesce(F.col(slots[i]), F.lit(""))).alias(name or f"_c{i}")
         for name, i in last.items()
     ]
-    return rows.select(*columns, *([F.col(FIELDS)] if keep_field_count else []))
+    kept = [name for name, keep in ((FIELDS, keep_field_count), (ROW_ORDER, keep_order)) if keep]
+    return rows.select(*columns, *kept)
 
 
 def scan_csv_job(spark: SparkSession, path: str) -> DataFrame:

@@ -19,7 +19,7 @@ from ledgerloom.operators.registry import KEPT
 from ledgerloom.sources.contracts import (
     AUDIT, ETL_JOB, GATED, REGISTRY, REQUIRED_COLUMNS, STAGE,
 )
-from ledgerloom.sources.csv_files import scan_csv_raw
+from ledgerloom.sources.csv_files import ROW_ORDER, file_order, first_rows, scan_csv_raw
 from ledgerloom.sources.files import Files
 from ledgerloom.sources.logs import JsonLog, read_json_log
 
@@ -79,16 +79,19 @@ class Zones:
         return moved
 
     # Reading
-    def read_stored(self, path: str) -> DataFrame:
-        return read_stored(self.spark, path)
+    def read_stored(self, path: str, keep_order: bool = False) -> DataFrame:
+        return read_stored(self.spark, path, keep_order)
 
     def star_frames(self, strict: bool = False) -> dict[str, DataFrame | None]:
         """The gated datasets by table name, as the dashboard reads them.
 
         A missing dataset has no rows; missing merchants are None, for without them there
-        are no merchant lists.
+        are no merchant lists. Merchants know their places, for the last row of an id names it.
         """
-        frames = {name.removesuffix(".csv"): self.scan_gated(name, strict=strict) for name in GATED}
+        frames = {
+            name.removesuffix(".csv"): self.scan_gated(name, strict=strict, keep_order=name == "dim_merchants.csv")
+            for name in GATED
+        }
         if self.resolve("dim_merchants.csv", strict) is None:
             frames["dim_merchants"] = None
         return frames
@@ -106,17 +109,19 @@ class Zones:
             return path
         return path if not strict and self.files.size(path) > 0 else None
 
-    def scan_gated(self, dataset: str, columns: list[str] | None = None, strict: bool = False) -> DataFrame:
+    def scan_gated(
+        self, dataset: str, columns: list[str] | None = None, strict: bool = False, keep_order: bool = False
+    ) -> DataFrame:
         """The dataset, or a frame of no rows when it is missing."""
         path = self.resolve(dataset, strict)
         if path is None or self.files.size(path) == 0:
             names = columns or REQUIRED_COLUMNS.get(dataset, ["value"])
             schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
             return self.spark.createDataFrame([], schema)
-        return self.read_stored(path)
+        return self.read_stored(path, keep_order)
 
     def preview(self, dataset: str, n: int = 25, order_by=None) -> DataFrame:
-        """First rows (1 to 200) of the finance, else external, else landed copy."""
+        """First rows (1 to 200), as uploaded, of the finance, else external, else landed copy."""
         name = base_name(dataset)
         stored = [self.published(name, "finance"), self.published(name, "external")]
         path = next((p for p in stored if self.files.exists(p)), None)
@@ -129,8 +134,10 @@ class Zones:
                 path = self.landing(landed.landing_file)
         if path is None:
             raise ValueError(f"No stored copy of {name}.")
-        rows = self.read_stored(path)
-        return (rows if order_by is None else rows.orderBy(order_by)).limit(clamp(n, 1, 200))
+        n = clamp(n, 1, 200)
+        if order_by is None:
+            return first_rows(self.read_stored(path, keep_order=True), n)
+        return self.read_stored(path).orderBy(order_by).limit(n)
 
     # Registry: an append-only log; the newest non-null value of each field wins.
     def record(self, **fields) -> dict:
@@ -198,11 +205,17 @@ class Zones:
         )
 
 
-def read_stored(spark: SparkSession, path: str) -> DataFrame:
-    """A stored dataset: Parquet written by this package, or a CSV put there by hand."""
-    if any(name.endswith(".parquet") for name in Files(spark).names(path)):
-        return spark.read.parquet(path)
-    return scan_csv_raw(spark, path)
+def read_stored(spark: SparkSession, path: str, keep_order: bool = False) -> DataFrame:
+    """A stored dataset: Parquet written by this package, or a CSV put there by hand.
+
+    ``keep_order`` adds ``ROW_ORDER``, each row's place in the uploaded files.
+    """
+    if not any(name.endswith(".parquet") for name in Files(spark).names(path)):
+        return scan_csv_raw(spark, path, keep_order=keep_order)
+    rows = spark.read.parquet(path)
+    if not keep_order:
+        return rows.drop(ROW_ORDER)
+    return rows if ROW_ORDER in rows.columns else rows.withColumn(ROW_ORDER, file_order(rows))
 
 
 def registry_read(spark: SparkSession, path: str) -> DataFrame:

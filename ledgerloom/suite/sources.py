@@ -11,13 +11,14 @@ from ledgerloom.operators import registry as reg
 from ledgerloom.operators import synth
 from ledgerloom.operators.limits import newest_n
 from ledgerloom.operators.predicates import trim_all
+from ledgerloom.operators.windows import last_wins
 from ledgerloom.plans import curate, ingest, kpi
 from ledgerloom.plans.sql_workspace import SqlWorkspace
 from ledgerloom.session import shared_folder
 from ledgerloom.sources import zones as z
 from ledgerloom.sources.contracts import AUDIT, JOB_COLUMNS, KPI_TABLES, REGISTRY
 from ledgerloom.sources.csv_files import (
-    export_csv, load_warehouse_infer, scan_csv_job, scan_csv_raw, write_csv,
+    ROW_ORDER, export_csv, load_warehouse_infer, scan_csv_job, scan_csv_raw, write_csv,
 )
 from ledgerloom.sources.logs import JsonLog
 from ledgerloom.suite.core import SQL_WHITESPACE, Star, csv_copy, query
@@ -152,7 +153,31 @@ def _(s: Star):
     raw = scan_csv_raw(s.spark, csv_copy(s, padded, "documents"), keep_field_count=True)
     path = f"{shared_folder(s.spark, 'processed')}/documents"
     ingest.write_processed(raw, path)
-    return s.spark.read.parquet(path)
+    return z.read_stored(s.spark, path)
+
+
+def _in_order(s: Star, zones: z.Zones) -> None:
+    """Documents landed and published as many files that stand in the order of their ids."""
+    ordered = s.table("documents").repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
+    entry = landed(s, zones, "notes.csv", ordered)
+    zones.record(**ingest.process_landing(zones, entry["dataset"], entry["landing_file"], entry["uploaded_at"]))
+
+
+@query("last_wins_over_files", sql="""
+    SELECT lang, CAST(max_by(n_chars, doc_id) AS VARCHAR) AS n_chars FROM documents GROUP BY lang""")
+def _(s: Star):
+    zones = z.Zones(s.spark, shared_folder(s.spark, "zones"))
+    _in_order(s, zones)
+    rows = zones.scan_gated("notes.csv", keep_order=True)
+    return last_wins(rows, "lang", "n_chars", ROW_ORDER)
+
+
+@query("preview_over_files", sql="""
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source FROM documents ORDER BY documents.doc_id LIMIT 40""")
+def _(s: Star):
+    zones = z.Zones(s.spark, shared_folder(s.spark, "zones"))
+    _in_order(s, zones)
+    return zones.preview("notes.csv", 40).select("doc_id", "lang", "source")
 
 
 @query("publish", sql="""
