@@ -10,6 +10,7 @@ from ledgerloom.operators import aggregates as agg
 from ledgerloom.operators import profile as prof
 from ledgerloom.operators import registry as reg
 from ledgerloom.plans import dashboard, kpi, validation, warehouse
+from ledgerloom.plans.sql_workspace import SqlWorkspace
 from ledgerloom.sources.csv_files import scan_csv_raw
 from ledgerloom.suite.core import Star, csv_copy, query
 
@@ -89,18 +90,22 @@ def _(s: Star):
            (SELECT CAST(sum(amount) AS DECIMAL(38,2)) FROM fact_transactions) AS tx_volume_ugx,
            (SELECT CAST(sum(principal_amount) AS DECIMAL(38,2)) FROM fact_loans) AS loan_principal_ugx""")
 def _(s: Star):
-    names = ["dim_customers", "dim_accounts", "fact_transactions", "fact_loans"]
-    for name, df in s.frames(*names).items():
-        df.createOrReplaceTempView(f"kv_{name}")
-    s.spark.sql("""
-        CREATE OR REPLACE TEMP VIEW vw_dashboard_kpis AS SELECT
-          (SELECT count(*) FROM kv_dim_customers) AS customers,
-          (SELECT count(*) FROM kv_dim_accounts) AS accounts,
-          (SELECT count(*) FROM kv_fact_transactions) AS transactions,
-          (SELECT count(*) FROM kv_fact_loans) AS loans,
-          (SELECT CAST(sum(amount) AS DECIMAL(38,2)) FROM kv_fact_transactions) AS tx_volume_ugx,
-          (SELECT CAST(sum(principal_amount) AS DECIMAL(38,2)) FROM kv_fact_loans) AS loan_principal_ugx""")
-    return s.spark.table("vw_dashboard_kpis")
+    space = SqlWorkspace(s.spark)
+    own = Star(space.spark, s.folder)
+    for name, df in own.frames("dim_customers", "dim_accounts", "fact_transactions", "fact_loans").items():
+        space.register(name, df)
+    space.create_view("""
+        CREATE OR REPLACE VIEW `ledgerloom.analytics.vw_volumes` AS SELECT
+          (SELECT CAST(SUM(amount) AS DECIMAL(38,2)) FROM `ledgerloom.analytics.fact_transactions`) AS tx_volume_ugx,
+          (SELECT CAST(SUM(principal_amount) AS DECIMAL(38,2)) FROM `ledgerloom.analytics.fact_loans`) AS loan_principal_ugx""")
+    space.create_view("""
+        CREATE OR REPLACE VIEW `ledgerloom.analytics.vw_dashboard_kpis` AS SELECT
+          (SELECT COUNT(*) FROM `ledgerloom.analytics.dim_customers`) AS customers,
+          (SELECT COUNT(*) FROM `ledgerloom.analytics.dim_accounts`) AS accounts,
+          (SELECT COUNT(*) FROM `ledgerloom.analytics.fact_transactions`) AS transactions,
+          (SELECT COUNT(*) FROM `ledgerloom.analytics.fact_loans`) AS loans, tx_volume_ugx, loan_principal_ugx
+        FROM vw_volumes""")
+    return space.readonly_sql("SELECT * FROM vw_dashboard_kpis")
 
 
 ENTITY_SQL = """
