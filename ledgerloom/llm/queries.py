@@ -28,7 +28,7 @@ def op1_subword_lattice(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return linehash.repeated_units(table(spark, folder, "documents"), min_words=linehash.MIN_WORDS)
+    return linehash.repeated_passages(table(spark, folder, "documents"))
 
 
 def op2_line_units(spark: SparkSession, folder: str) -> DataFrame:
