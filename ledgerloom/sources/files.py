@@ -65,6 +65,15 @@ class Files:
         if aside is not None:
             fs.delete(aside, True)
 
+    def modified(self, path: str) -> float:
+        """When a file was written, in seconds."""
+        fs, target = self._open(path)
+        return fs.getFileStatus(target).getModificationTime() / 1000
+
+    def make_folder(self, path: str) -> None:
+        fs, target = self._open(path)
+        fs.mkdirs(target)
+
     def remove(self, path: str) -> bool:
         fs, target = self._open(path)
         return fs.delete(target, True) if fs.exists(target) else False

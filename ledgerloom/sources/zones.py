@@ -41,7 +41,7 @@ class Zones:
         self.spark = spark
         self.root = root.rstrip("/")
         self.files = Files(spark)
-        self.log = JsonLog(spark, f"{self.root}/metadata/dataset_registry", REGISTRY)
+        self.log = JsonLog(spark, f"{self.root}/metadata/dataset_registry", REGISTRY, folded)
         self.audit = JsonLog(spark, f"{self.root}/metadata/audit_logs", AUDIT)
         self.jobs = JsonLog(spark, f"{self.root}/metadata/etl_jobs", ETL_JOB)
 
@@ -141,28 +141,24 @@ class Zones:
 
     # Registry: an append-only log; the newest non-null value of each field wins.
     def record(self, **fields) -> dict:
-        stages = fields.get("stages")
-        if stages:
-            fields["stages"] = [dict(zip(STAGE.names, stage)) for stage in stages]
-        return self.log.append(**fields)
+        return self.record_many([fields])[0]
+
+    def record_many(self, entries: list[dict]) -> list[dict]:
+        """Add registry entries in one commit."""
+        return self.log.append_many([
+            {**e, "stages": [dict(zip(STAGE.names, stage)) for stage in e["stages"]]} if e.get("stages") else e for e in entries])
 
     def registry(self) -> DataFrame:
         """One row per landing: (uploaded_at, dataset), with later entries folded in."""
-        log = self.log.frame()
-        keys = ["uploaded_at", "dataset"]
-        rest = [c for c in REGISTRY.names if c not in keys and c != "seq"]
-        latest = [
-            F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in rest
-        ]
-        return log.groupBy(*keys).agg(F.min("seq").alias("seq"), *latest).select(*REGISTRY.names)
+        return folded(self.log.frame())
 
     def catalog(self) -> DataFrame:
         """The newest registry rows, as listed to users."""
         return newest_n(self.registry(), KEPT, F.desc("uploaded_at"), F.desc("seq"))
 
     def compact(self) -> None:
-        """Replace the log by its folded rows; each append leaves a small file behind."""
-        self.log.replace(self.registry())
+        """Fold the log now; it folds itself every so many entries."""
+        self.log.rewrite(folded)
 
     def retire(self, dataset: str) -> dict:
         """Drop a dataset's registry rows and stored copies; the log is rewritten without it."""
@@ -172,7 +168,7 @@ class Zones:
         if not landings:
             return {"deleted": False, "error": "not_found",
                     "message": f"{name} is not in the registry."}
-        self.log.replace(self.log.frame().filter(F.col("dataset") != name))
+        self.log.rewrite(lambda log: log.filter(~F.col("dataset").eqNullSafe(name)))
         for file in filter(None, landings):
             self.files.remove(self.landing(file))
             self.files.remove(self.processing(file))
@@ -205,6 +201,14 @@ class Zones:
         )
 
 
+def folded(log: DataFrame) -> DataFrame:
+    """A registry log as one row per landing; the newest non-null value of each field wins."""
+    keys = ["uploaded_at", "dataset"]
+    rest = [c for c in REGISTRY.names if c not in keys and c != "seq"]
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in rest]
+    return log.groupBy(*keys).agg(F.min("seq").alias("seq"), *latest).select(*REGISTRY.names)
+
+
 def read_stored(spark: SparkSession, path: str, keep_order: bool = False) -> DataFrame:
     """A stored dataset: Parquet written by this package, or a CSV put there by hand.
 

@@ -14,24 +14,20 @@ from ledgerloom.sources.zones import Zones
 def process_new_landings(zones: Zones, checkpoint: str) -> StreamingQuery:
     """Process the landings recorded since the last run, then stop.
 
-    The registry log is the stream: each entry is seen once, and a restarted run
-    repeats only the batch it had not finished. Repeating a batch is harmless, because
-    publishing replaces and the registry keeps the newest value of each field.
+    The registry log's commits are the stream: each is seen once, and a restarted run repeats
+    only the batch it had not finished. A batch only says that there is news; what is pending is
+    asked of the registry, for commits that a snapshot has taken in may be gone. Repeating
+    a batch is harmless, because publishing replaces and the registry keeps the newest value of
+    each field.
     """
-    log = zones.spark.readStream.schema(REGISTRY).json(zones.log.path)
-    landed = log.filter(
-        (F.col("pipeline_status") == "landed") & (F.coalesce("landing_file", F.lit("")) != "")
-    )
+    zones.files.make_folder(f"{zones.log.path}/entries")
+    log = zones.spark.readStream.schema(REGISTRY).json(f"{zones.log.path}/entries")
 
-    def run(batch: DataFrame, _batch_id: int) -> None:
-        # A landing processed by other means since is no longer pending.
-        pending = zones.registry().filter(F.col("pipeline_status") == "landed")
-        process_entries(
-            zones, pending.join(batch.select("dataset").distinct(), "dataset", "left_semi")
-        )
+    def run(_batch: DataFrame, _batch_id: int) -> None:
+        process_entries(zones, zones.registry().filter(F.col("pipeline_status") == "landed"))
 
     return (
-        landed.writeStream.foreachBatch(run)
+        log.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -7,8 +7,10 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 
 from ledgerloom.plans import curate
-from ledgerloom.sources.contracts import CURATED
+from ledgerloom.sources import logs
+from ledgerloom.sources.contracts import AUDIT, CURATED
 from ledgerloom.sources.files import Files
+from ledgerloom.sources.logs import JsonLog
 from ledgerloom.sources.versions import Versions
 
 
@@ -96,3 +98,123 @@ def test_commits_of_many_writers_are_all_numbered(spark, folder):
     with ThreadPoolExecutor(8) as pool:
         numbers = list(pool.map(lambda k: versions.commit(f"v{k}"), range(24)))
     assert sorted(numbers) == list(range(1, 25)) and versions.current()["number"] == 24
+
+
+# Logs
+
+
+def log_of(spark, folder, every=8, **more) -> JsonLog:
+    return JsonLog(spark, f"{folder.root}/log", AUDIT, every=every, **more)
+
+
+def actions(log) -> list[str]:
+    return [r.action for r in log.frame().orderBy("seq").collect()]
+
+
+def test_entries_in_order_over_snapshot_and_tail(spark, folder):
+    log = log_of(spark, folder, grace=0)
+    for k in range(30):
+        log.append(action=f"a{k}", username="ann")
+    assert actions(log) == [f"a{k}" for k in range(30)]
+    state = log.state()
+    assert state.upto >= 24 and len(state.entries) < 8
+    assert len(log.files.names(f"{log.path}/entries")) <= 24  # a reader meets no file per entry of the past
+    log.append_rows(spark.createDataFrame([(5, None, "bob", "bulk", None, None)], AUDIT))
+    log.append_many([{"action": "x"}, {"action": "y"}])
+    assert actions(log) == ["bulk", *[f"a{k}" for k in range(30)], "x", "y"]
+    for k in range(300):
+        log.append_many([{"action": f"b{k}"}])
+    assert actions(log)[-302:] == ["x", "y", *[f"b{k}" for k in range(300)]] and len(actions(log)) == 333
+    assert len(log.files.names(f"{log.path}/rows")) <= 2 * logs.FOLDERS
+    assert rows_of(log.newest(2)) == ["b299", "b298"]
+
+
+def rows_of(df) -> list[str]:
+    return [r.action for r in df.collect()]
+
+
+def test_two_writers_lose_no_entry(spark, folder):
+    log_of(spark, folder).append(action="first")
+
+    def write(name: str) -> None:
+        log = log_of(spark, folder, every=4)
+        for k in range(12):
+            log.append(action=f"{name}{k}")
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, "abcd"))
+    log = log_of(spark, folder)
+    assert sorted(actions(log)) == sorted(["first", *[f"{n}{k}" for n in "abcd" for k in range(12)]])
+    for name in "abcd":
+        assert [a for a in actions(log) if a.startswith(name) and a != "first"] == [f"{name}{k}" for k in range(12)]
+    seqs = [r.seq for r in log.frame().collect()]
+    assert len(set(seqs)) >= len(seqs) - 4 * 12  # order is by commit; writers may share a stamp
+
+
+def test_a_number_that_a_snapshot_holds_is_not_used_again(spark, folder):
+    log = log_of(spark, folder, every=2, grace=0)
+    for k in range(7):
+        log.append(action=f"a{k}")
+    slow = log_of(spark, folder, every=100)
+    real, calls = slow._snapshot, [0]
+
+    def stale():
+        """What a writer saw before the others went on: no snapshot yet."""
+        calls[0] += 1
+        return (0, []) if calls[0] == 1 else real()
+
+    slow._snapshot, slow._numbers = stale, (lambda kind, real=slow._numbers: [] if calls[0] <= 1 and kind == "entries" else real(kind))
+    slow.append(action="late")
+    assert actions(log_of(spark, folder)) == [*[f"a{k}" for k in range(7)], "late"]
+
+
+@pytest.mark.parametrize("method,call,after", [("put_new", 1, False), ("put_new", 1, True), ("put_new", 2, False), ("put_new", 2, True), ("remove", 1, False), ("remove", 3, False)])
+def test_broken_snapshots_hide_nothing(spark, folder, monkeypatch, method, call, after):
+    log = log_of(spark, folder, every=100, grace=0)
+    for k in range(5):
+        log.append(action=f"a{k}")
+        if k % 2:
+            log.snapshot()
+    for k in range(5, 9):
+        log.append(action=f"a{k}")
+    crash_on(monkeypatch, Files, method, call, after)
+    try:
+        log.snapshot()
+        log.append(action="more")
+    except Crash:
+        pass
+    monkeypatch.undo()
+    assert actions(log)[:9] == [f"a{k}" for k in range(9)]
+    log.append(action="end")
+    log.snapshot()
+    log.snapshot()
+    assert actions(log)[:9] == [f"a{k}" for k in range(9)] and actions(log)[-1] == "end"
+
+
+def test_rewriting_keeps_what_is_appended_meanwhile(spark, folder):
+    log, other = log_of(spark, folder), log_of(spark, folder)
+    for k in range(4):
+        log.append(action=f"a{k}")
+    times = []
+
+    def change(rows):
+        if not times:
+            other.append(action="meanwhile")
+        times.append(1)
+        return rows.filter("action <> 'a1'")
+
+    log.rewrite(change)
+    assert actions(log) == ["a0", "a2", "a3", "meanwhile"] and len(times) == 2
+    log.append(action="after")
+    assert actions(other) == ["a0", "a2", "a3", "meanwhile", "after"]
+
+
+def test_a_reader_under_way_finds_its_files(spark, folder):
+    log = log_of(spark, folder, every=4)
+    for k in range(6):
+        log.append(action=f"a{k}")
+    mine = log.frame()
+    for k in range(6, 29):
+        log.append(action=f"a{k}")
+    assert sorted(rows_of(mine)) == [f"a{k}" for k in range(6)]
+    assert log.files.names(f"{log.path}/entries")[0].endswith("01.json")
