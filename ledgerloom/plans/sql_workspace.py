@@ -201,8 +201,8 @@ class SqlWorkspace:
         zones = Zones(self.spark, root)
         for kind in ("finance", "external"):
             for file in zones.files.names(f"{zones.root}/published/{kind}"):
-                path = zones.published(file, kind)
-                if file.startswith("__") or zones.files.size(path) == 0:
+                path = zones.stored(file, kind)
+                if file.startswith("__") or path is None or zones.files.size(path) == 0:
                     continue
                 gated = kind == "finance" and file in GATED
                 if gated and zones.resolve(file) is None:

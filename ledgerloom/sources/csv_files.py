@@ -76,14 +76,20 @@ def _dialect(spark: SparkSession, multi_line: bool):
     )
 
 
+def header_of(line: str) -> tuple[str, ...] | None:
+    """Column names in a header line; None if the header goes on in the next line."""
+    line = line.removeprefix("\ufeff")
+    return tuple(next(csv.reader([line]))) if line.count('"') % 2 == 0 else None
+
+
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names as written in the first record; empty list when there is none."""
     lines = spark.read.text(path).filter("trim(value) <> ''").head(1)
     if not lines:
         return []
-    line = lines[0].value.removeprefix("\ufeff")
-    if line.count('"') % 2 == 0:
-        return next(csv.reader([line]))
+    header = header_of(lines[0].value)
+    if header is not None:
+        return list(header)
     # A name with a line break in it: let the multi-line reader find the record's end.
     first = _dialect(spark, True).option("header", False).csv(path).head(1)
     return [name if name is not None else "" for name in first[0]]
@@ -100,12 +106,13 @@ def _field_count(width: int) -> Column:
 
 def scan_csv_raw(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     multi_line: bool | None = None,
     keep_field_count: bool = False,
     keep_order: bool = False,
+    header: list[str] | None = None,
 ) -> DataFrame:
-    """Header CSV as all-string rows.
+    """Header CSV as all-string rows. Files read together all have the same header, which may be given.
 
     ``keep_order`` adds ``ROW_ORDER``, each row's place in the files; sorted by it, rows stand as written.
 
@@ -116,7 +123,7 @@ def scan_csv_raw(
     task at any size; others are read in splits. Line breaks inside quotes stay as they are,
     save in a file whose lines end in CR LF or CR, where they read as LF.
     """
-    header = csv_header(spark, path)
+    header = header or csv_header(spark, path)
     if not header:
         raise ValueError("The file has no header.")
     if multi_line is None:

@@ -70,6 +70,10 @@ class Files:
         fs, target = self._open(path)
         return fs.getFileStatus(target).getModificationTime() / 1000
 
+    def uri_path(self, path: str) -> str:
+        """The path part of a URI, escaped as in Spark's names of files."""
+        return self._jvm.org.apache.hadoop.fs.Path(path).toUri().getRawPath()
+
     def make_folder(self, path: str) -> None:
         fs, target = self._open(path)
         fs.mkdirs(target)

@@ -1,7 +1,9 @@
 """Zones of a data root: landing, processing, published, markers and the registry log.
 
 A published dataset is stored once, under its classification; that folder is both the
-published copy and the finance or external copy. All paths are Hadoop URIs.
+published copy and the finance or external copy. It holds the dataset's generations: publishing adds one
+that nobody sees, and marking it ready is one commit that makes its rows and its time those that readers
+find. The marker file beside it opens the gate. All paths are Hadoop URIs.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from ledgerloom.sources.contracts import (
 from ledgerloom.sources.csv_files import ROW_ORDER, file_order, first_rows, scan_csv_raw
 from ledgerloom.sources.files import Files
 from ledgerloom.sources.logs import JsonLog, read_json_log
+from ledgerloom.sources.versions import Versions
 
 
 def utc_now() -> dt.datetime:
@@ -61,12 +64,33 @@ class Zones:
     def marker(self, dataset: str, kind: str = "analytics_ready") -> str:
         return f"{self.root}/activated/{dataset}.{kind}"
 
+    # Generations
+    def generations(self, dataset: str, classification: str | None = None) -> Versions:
+        return Versions(self.files, self.published(dataset, classification))
+
+    def stored(self, dataset: str, classification: str | None = None) -> str | None:
+        """Path of the rows that readers see: the committed generation, or files put there by hand."""
+        return stored_path(self.files, self.published(dataset, classification))
+
     # Markers
     def is_ready(self, dataset: str) -> bool:
         return self.files.exists(self.marker(dataset))
 
-    def mark_ready(self, dataset: str, stamp: str | None = None) -> None:
-        self.files.write_marker(self.marker(base_name(dataset)), stamp or utc_now().isoformat())
+    def mark_ready(self, dataset: str, stamp: str | None = None, generation: str | None = None) -> None:
+        """Open the gate; with a published ``generation``, make it the one that readers see, in one commit."""
+        name, stamp = base_name(dataset), stamp or utc_now().isoformat()
+        if generation is not None:
+            versions = Versions(self.files, generation.rsplit("/versions/", 1)[0])
+            versions.commit(generation, ready_at=stamp)
+            versions.vacuum()
+        self.files.write_marker(self.marker(name), stamp)
+
+    def ready_at(self, dataset: str) -> str | None:
+        """When the rows that readers see became ready; null for a dataset that is not."""
+        commit = self.generations(dataset).current()
+        if not self.is_ready(dataset):
+            return None
+        return commit["ready_at"] if commit else self.files.read_marker(self.marker(dataset)).strip()
 
     def migrate_ok(self) -> list[str]:
         """Promote legacy ``ok`` markers of gated datasets that have no newer marker."""
@@ -102,8 +126,8 @@ class Zones:
         A gated dataset without a marker still opens when its file is not empty;
         ``strict`` turns that exception off.
         """
-        path = self.published(dataset)
-        if not self.files.exists(path):
+        path = self.stored(dataset)
+        if path is None:
             return None
         if dataset not in GATED or self.is_ready(dataset):
             return path
@@ -123,8 +147,7 @@ class Zones:
     def preview(self, dataset: str, n: int = 25, order_by=None) -> DataFrame:
         """First rows (1 to 200), as uploaded, of the finance, else external, else landed copy."""
         name = base_name(dataset)
-        stored = [self.published(name, "finance"), self.published(name, "external")]
-        path = next((p for p in stored if self.files.exists(p)), None)
+        path = self.stored(name, "finance") or self.stored(name, "external")
         if path is None:
             landed = (
                 self.registry().filter((F.col("dataset") == name) & (F.col("pipeline_status") == "landed"))
@@ -209,12 +232,26 @@ def folded(log: DataFrame) -> DataFrame:
     return log.groupBy(*keys).agg(F.min("seq").alias("seq"), *latest).select(*REGISTRY.names)
 
 
+def stored_path(files: Files, path: str) -> str | None:
+    """Where a published dataset's rows are now; None if there is nothing that readers may see."""
+    commit = Versions(files, path).current()
+    if commit is not None:
+        return commit["path"]
+    return path if files.exists(path) and not files.exists(f"{path}/versions") else None
+
+
 def read_stored(spark: SparkSession, path: str, keep_order: bool = False) -> DataFrame:
     """A stored dataset: Parquet written by this package, or a CSV put there by hand.
 
+    ``path`` may be a dataset's folder, which stands for the generation that counts now.
     ``keep_order`` adds ``ROW_ORDER``, each row's place in the uploaded files.
     """
-    if not any(name.endswith(".parquet") for name in Files(spark).names(path)):
+    files = Files(spark)
+    found = stored_path(files, path)
+    if found is None:
+        raise FileNotFoundError(f"Nothing is published in {path}.")
+    path = found
+    if not any(name.endswith(".parquet") for name in files.names(path)):
         return scan_csv_raw(spark, path, keep_order=keep_order)
     rows = spark.read.parquet(path)
     if not keep_order:
