@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.limits import last_days, newest_n
+from ledgerloom.operators.limits import last_days
 from ledgerloom.operators.skew import lookup_join
-from ledgerloom.session import literal_rows
 
 KEPT = 500
 SHOWN = 300
@@ -43,11 +42,6 @@ def delegate_summary(registry: DataFrame) -> DataFrame:
     )
 
 
-def appended(log: DataFrame, rows: DataFrame, kept: int = KEPT, seq: str = "seq") -> DataFrame:
-    """The log after an append, newest first, as its readers see it."""
-    return newest_n(log.unionByName(rows, allowMissingColumns=True), kept, F.desc(seq))
-
-
 def registry_update(registry: DataFrame, updates: DataFrame) -> DataFrame:
     """Apply updates to the newest row of each (uploaded_at, dataset); non-null values win.
 
@@ -65,19 +59,6 @@ def registry_update(registry: DataFrame, updates: DataFrame) -> DataFrame:
     ])
 
 
-def kpi_sources(registry: DataFrame, names: list[str], root: str) -> DataFrame:
-    """Per KPI table: where its data lives and whether a ready marker exists."""
-    marks = registry.filter(F.col("dataset").isin(names)).groupBy("dataset").agg(
-        F.max(F.col("pipeline_status") == "analytics_ready").alias("analytics_ready")
-    )
-    listed = literal_rows(registry.sparkSession, [(n,) for n in names], "dataset")
-    return listed.join(F.broadcast(marks), "dataset", "left").select(
-        F.col("dataset").alias("name"),
-        F.concat(F.lit(root.rstrip("/") + "/"), "dataset").alias("path"),
-        F.coalesce("analytics_ready", F.lit(False)).alias("analytics_ready"),
-    )
-
-
 def ready_times(markers: DataFrame) -> DataFrame:
     """Ready time per dataset: the marker, else the legacy ``ok`` marker.
 
@@ -94,8 +75,3 @@ def ready_times(markers: DataFrame) -> DataFrame:
 def mark_ready(registry: DataFrame, ready: DataFrame) -> DataFrame:
     """Registry rows with the ready time of their dataset (null where not ready)."""
     return lookup_join(registry, ready.select("dataset", "ready_at"), "dataset")
-
-
-def without_dataset(registry: DataFrame, dataset: str) -> DataFrame:
-    """The registry after a dataset is retired."""
-    return registry.filter(~F.col("dataset").eqNullSafe(dataset))

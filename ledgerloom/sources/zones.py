@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ledgerloom.functions.numbers import clamp
 from ledgerloom.operators.limits import newest_n
 from ledgerloom.operators.registry import KEPT
+from ledgerloom.session import literal_rows
 from ledgerloom.sources.contracts import (
     AUDIT, ETL_JOB, GATED, REGISTRY, REQUIRED_COLUMNS, STAGE,
 )
@@ -144,6 +145,15 @@ class Zones:
             return self.spark.createDataFrame([], schema)
         return self.read_stored(path, keep_order)
 
+    def kpi_sources(self, names: list[str]) -> DataFrame:
+        """Per KPI table: where its rows are found behind the gate (null if nowhere), and if it is marked ready."""
+        rows = []
+        for name in names:
+            ready = self.is_ready(name) and self.stored(name) is not None
+            rows.append((name, "" if self.resolve(name) is None else self.published(name), 1 if ready else 0))
+        listed = literal_rows(self.spark, rows, "name, path, ready")
+        return listed.select("name", F.nullif("path", F.lit("")).alias("path"), (F.col("ready") == 1).alias("analytics_ready"))
+
     def preview(self, dataset: str, n: int = 25, order_by=None) -> DataFrame:
         """First rows (1 to 200), as uploaded, of the finance, else external, else landed copy."""
         name = base_name(dataset)

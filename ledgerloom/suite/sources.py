@@ -14,9 +14,9 @@ from ledgerloom.operators.predicates import trim_all
 from ledgerloom.operators.windows import last_wins
 from ledgerloom.plans import curate, ingest, kpi
 from ledgerloom.plans.sql_workspace import SqlWorkspace
-from ledgerloom.session import shared_folder
+from ledgerloom.session import literal_rows, shared_folder
 from ledgerloom.sources import zones as z
-from ledgerloom.sources.contracts import AUDIT, JOB_COLUMNS, KPI_TABLES, REGISTRY
+from ledgerloom.sources.contracts import AUDIT, GATED, JOB_COLUMNS, KPI_TABLES, REGISTRY
 from ledgerloom.sources.csv_files import (
     ROW_ORDER, export_csv, load_warehouse_infer, scan_csv_job, scan_csv_raw, write_csv,
 )
@@ -197,35 +197,88 @@ def _(s: Star):
     return z.union_all(parts)
 
 
-MARKERS_SQL = """
-    SELECT dataset, max(uploaded_at) FILTER (WHERE pipeline_status = 'analytics_ready' AND seq % 3 = 0) AS ready,
-           max(uploaded_at) FILTER (WHERE pipeline_status IS NULL) AS legacy
-    FROM dataset_registry GROUP BY dataset"""
+GATED_SQL = f"""
+    SELECT dataset, max(stamp) FILTER (WHERE kind = 'ready') AS ready, max(stamp) FILTER (WHERE kind = 'legacy') AS legacy,
+           arg_max(kind, seq) = 'ready' AS is_ready
+    FROM (SELECT event_id AS seq, {NAME_LIST_SQL}[event_id % {len(NAMES)} + 1] AS dataset, CAST(ts AS VARCHAR) AS stamp,
+                 CASE WHEN event_type = 'purchase' THEN 'ready' WHEN event_type IN ('signup', 'error') THEN 'other' ELSE 'legacy' END AS kind
+          FROM events)
+    WHERE dataset IN ({", ".join(f"'{n}'" for n in GATED)}) GROUP BY dataset"""
 
 
-def _ready(s: Star):
-    markers = s.registry.select(
-        "dataset",
-        F.when((F.col("pipeline_status") == "analytics_ready") & (F.col("seq") % 3 == 0), "analytics_ready")
-        .when(F.col("pipeline_status").isNull(), "ok").alias("kind"),
-        F.col("uploaded_at").alias("stamp"),
-    )
-    return reg.ready_times(markers)
+def _marked(s: Star) -> z.Zones:
+    """Zones with the markers of the gated datasets: an old one for each, a new one if its last run was ready."""
+    status = F.col("pipeline_status")
+    kind = F.when(status == "analytics_ready", "ready").when(status.isNull(), "legacy").otherwise("other")
+    stamp = F.col("uploaded_at").cast("string")
+    found = dealt_names(s).filter(F.col("dataset").isin(GATED)).groupBy("dataset").agg(
+        F.max(F.when(kind == "ready", stamp)).alias("ready"), F.max(F.when(kind == "legacy", stamp)).alias("legacy"),
+        (F.max_by(kind, "seq") == "ready").alias("is_ready"))
+    zones = z.Zones(s.spark, shared_folder(s.spark, "zones"))
+    for row in found.toLocalIterator():  # the six gated datasets
+        if row.legacy:
+            zones.files.write_marker(zones.marker(row.dataset, "ok"), row.legacy)
+        if row.is_ready:
+            zones.mark_ready(row.dataset, row.ready)
+    return zones
 
 
 @query("migrate_ok", sql=f"""
-    SELECT dataset, CAST(coalesce(ready, legacy) AS VARCHAR) AS ready_at FROM ({MARKERS_SQL})
-    WHERE coalesce(ready, legacy) IS NOT NULL""")
+    SELECT dataset, coalesce(CASE WHEN is_ready THEN ready END, legacy) AS ready_at, NOT is_ready AS moved
+    FROM ({GATED_SQL}) WHERE is_ready OR legacy IS NOT NULL""")
 def _(s: Star):
-    return _ready(s).select("dataset", F.col("ready_at").cast("string").alias("ready_at"))
-
-
-@query("mark_ready", sql=f"""
+    zones = _marked(s)
+    moved = zones.migrate_ok()
+    ready = [n for n in GATED if zones.is_ready(n)]
+    rows = s.spark.read.text([zones.marker(n) for n in ready], wholetext=True)
+    return rows.select(
+        F.regexp_replace(F.col("_metadata.file_name"), "[.]analytics_ready$", "").alias("dataset"), F.col("value").alias("ready_at"),
+    ).withColumn("moved", F.col("dataset").isin(moved) if moved else F.lit(False))
+
+
+@query("mark_ready", sql="""
+    SELECT 'before' AS step, CAST(NULL AS VARCHAR) AS ready_at, CAST(0 AS BIGINT) AS loans, CAST(0 AS DECIMAL(38,2)) AS total
+    UNION ALL SELECT 'first', 't1', count(*), CAST(coalesce(sum(principal_amount), 0) AS DECIMAL(38,2)) FROM fact_loans WHERE loan_status = 'F'
+    UNION ALL SELECT 'between', 't1', count(*), CAST(coalesce(sum(principal_amount), 0) AS DECIMAL(38,2)) FROM fact_loans WHERE loan_status = 'F'
+    UNION ALL SELECT 'second', 't2', count(*), CAST(sum(principal_amount) AS DECIMAL(38,2)) FROM fact_loans""")
+def _(s: Star):
+    zones = z.Zones(s.spark, shared_folder(s.spark, "zones"))
+    name, seen = "fact_loans.csv", []
+
+    def look(step: str) -> None:
+        rows = zones.scan_gated(name, strict=True)
+        seen.append(rows.agg(
+            F.lit(step).alias("step"), F.lit(zones.ready_at(name)).cast("string").alias("ready_at"), F.count("*").alias("loans"),
+            F.coalesce(F.sum(F.col("principal_amount").cast("decimal(18,2)")), F.lit(0)).cast("decimal(38,2)").alias("total")))
+
+    def put(df) -> str:
+        trim_all(df).write.parquet(zones.processing(name))
+        return ingest.publish(zones, zones.processing(name), name)
+
+    first = put(s.fact_loans.filter("loan_status = 'F'"))
+    look("before")
+    zones.mark_ready(name, "t1", first)
+    look("first")
+    second = put(s.fact_loans)
+    look("between")
+    zones.mark_ready(name, "t2", second)
+    look("second")
+    return z.union_all(seen)
+
+
+@query("registry_with_ready_times", sql="""
     SELECT r.seq, r.dataset, CAST(coalesce(m.ready, m.legacy) AS VARCHAR) AS ready_at
-    FROM dataset_registry r LEFT JOIN ({MARKERS_SQL}) m ON m.dataset = r.dataset""")
+    FROM dataset_registry r LEFT JOIN (
+      SELECT dataset, max(uploaded_at) FILTER (WHERE pipeline_status = 'analytics_ready') AS ready,
+             max(uploaded_at) FILTER (WHERE pipeline_status IS NULL) AS legacy
+      FROM dataset_registry GROUP BY dataset) m ON m.dataset = r.dataset""")
 def _(s: Star):
-    return reg.mark_ready(s.registry.select("seq", "dataset"), _ready(s)).withColumn(
-        "ready_at", F.col("ready_at").cast("string"))
+    status = F.col("pipeline_status")
+    markers = s.registry.select(
+        "dataset", F.when(status == "analytics_ready", "analytics_ready").when(status.isNull(), "ok").alias("kind"),
+        F.col("uploaded_at").alias("stamp"))
+    ready = reg.ready_times(markers)
+    return reg.mark_ready(s.registry.select("seq", "dataset"), ready).withColumn("ready_at", F.col("ready_at").cast("string"))
 
 
 CURATED_SQL = """
@@ -335,8 +388,12 @@ def _(s: Star):
 
 @query("registry_append", sql=NEWEST_SQL)
 def _(s: Star):
+    log = JsonLog(s.spark, f"{shared_folder(s.spark, 'registry')}/dataset_registry", REGISTRY)
     rows = _as_registry(s)
-    return reg.appended(rows.filter("seq % 2 = 0"), rows.filter("seq % 2 = 1")).select(*SHOWN)
+    log.append_rows(rows.filter("seq % 2 = 0"))
+    log.snapshot()
+    log.append_rows(rows.filter("seq % 2 = 1"))
+    return log.newest(reg.KEPT).select(*SHOWN)
 
 
 @query("log_append", sql="""
@@ -357,18 +414,56 @@ def _(s: Star):
     return log.newest(reg.KEPT).drop("timestamp")
 
 
-@query("kpi_sources", sql=f"""
-    SELECT n.name, concat('/data/finance/', n.name) AS path, coalesce(m.ready, false) AS analytics_ready
-    FROM (SELECT unnest([{", ".join(f"'{n}'" for n in KPI_TABLES)}]) AS name) n
-    LEFT JOIN (SELECT {NAME_LIST_SQL}[event_id % {len(NAMES)} + 1] AS dataset, bool_or(event_type = 'purchase') AS ready
-               FROM events GROUP BY 1) m ON m.dataset = n.name""")
+@query("kpi_sources", sql="""
+    SELECT 'dim_customers.csv' AS name, 'published/finance/dim_customers.csv' AS path, true AS analytics_ready, count(*) AS row_count FROM dim_customers
+    UNION ALL SELECT 'dim_accounts.csv', NULL, false, 0
+    UNION ALL SELECT 'fact_transactions.csv', 'published/finance/fact_transactions.csv', false, count(*) FROM fact_transactions
+    UNION ALL SELECT 'fact_loans.csv', 'published/finance/fact_loans.csv', true, count(*) FROM fact_loans
+    UNION ALL SELECT 'fact_fraud_alerts.csv', NULL, false, 0""")
 def _(s: Star):
-    return reg.kpi_sources(dealt_names(s), KPI_TABLES, "/data/finance")
-
-
-@query("retire_dataset", sql="SELECT seq, dataset, pipeline_status FROM dataset_registry WHERE dataset <> 'ds_7'")
+    # By hand and unmarked, by hand and marked, published and marked, published and not yet marked, missing.
+    zones = zones_with(s, {"fact_transactions.csv": "fact_transactions", "fact_loans.csv": "fact_loans"})
+    zones.mark_ready("fact_loans.csv")
+    for file, df in (("dim_customers.csv", s.dim_customers), ("dim_accounts.csv", s.dim_accounts)):
+        df.write.parquet(zones.processing(file))
+        generation = ingest.publish(zones, zones.processing(file), file)
+        if file == "dim_customers.csv":
+            zones.mark_ready(file, generation=generation)
+    listed = zones.kpi_sources(KPI_TABLES).withColumn("path", F.replace("path", F.lit(f"{zones.root}/"), F.lit("")))
+    counts = z.union_all([
+        zones.scan_gated(n).agg(F.lit(n).alias("name"), F.count("*").alias("row_count")) for n in KPI_TABLES])
+    return listed.join(F.broadcast(counts), "name")
+
+
+@query("retire_dataset", sql="""
+    SELECT 'registry' AS what, dataset AS name, count(DISTINCT uploaded_at) AS n FROM dataset_registry WHERE dataset <> 'ds_7' GROUP BY dataset
+    UNION ALL SELECT 'registry', 'dim_customers.csv', 1
+    UNION ALL SELECT 'rows', 'dim_customers.csv', count(*) FROM dim_customers
+    UNION ALL SELECT 'rows', 'fact_loans.csv', 0
+    UNION ALL SELECT 'marker', 'dim_customers.csv', 1
+    UNION ALL SELECT 'landed', '20240102T030405Z_dim_customers.csv', 1
+    UNION ALL SELECT 'removed', 'ds_7', count(DISTINCT uploaded_at) FROM dataset_registry WHERE dataset = 'ds_7'
+    UNION ALL SELECT 'removed', 'fact_loans.csv', 2
+    UNION ALL SELECT 'not_found', 'nothing.csv', 1""")
 def _(s: Star):
-    return reg.without_dataset(s.registry, "ds_7").select("seq", "dataset", "pipeline_status")
+    zones = z.Zones(s.spark, shared_folder(s.spark, "zones"))
+    zones.log.append_rows(_as_registry(s).withColumn("pipeline_status", F.lit("failed")))
+    landed(s, zones, "fact_loans.csv", s.fact_loans.filter("loan_status = 'F'"), LANDED_AT - dt.timedelta(days=1))
+    landed(s, zones, "fact_loans.csv", s.fact_loans)
+    landed(s, zones, "dim_customers.csv", s.dim_customers)
+    zones.files.write_marker(zones.marker("fact_loans.csv", "ok"), "2020")
+    ingest.process_all(zones, "all")
+    facts = []
+    for name in ("ds_7", "some/folder/fact_loans.csv", "nothing.csv"):
+        done = zones.retire(name)
+        facts.append(("removed", done["dataset"], done["removed_entries"]) if done["deleted"] else (done["error"], name, 1))
+    facts += [("landed", name, 1) for name in zones.files.names(f"{zones.root}/landing")]
+    facts += [("marker", name.removesuffix(".analytics_ready"), 1) for name in zones.files.names(f"{zones.root}/activated")]
+    counted = [zones.scan_gated(n).agg(F.lit("rows").alias("what"), F.lit(n).alias("name"), F.count("*").alias("n"))
+               for n in ("dim_customers.csv", "fact_loans.csv")]
+    listed = zones.registry().groupBy(F.lit("registry").alias("what"), F.col("dataset").alias("name")).agg(F.count("*").alias("n"))
+    said = literal_rows(s.spark, facts, "what, name, n").withColumn("n", F.col("n").cast("bigint"))
+    return z.union_all([listed, *counted, said])
 
 
 @query("export_csv", sql="""
