@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.numbers import as_money, total
 from ledgerloom.operators.aggregates import named_merchants
-from ledgerloom.operators.skew import HEAVY_SHARE, heavy_hashes, lookup_join
+from ledgerloom.operators.skew import HEAVY_SHARE, heavy_shares, lookup_join, row_hash, slots_of
 
 
 def merchant_lookup(tx: DataFrame, merchants: DataFrame, seq: str | None = None) -> DataFrame:
@@ -37,21 +37,32 @@ def tx_alert_weights(tx: DataFrame, alerts: DataFrame) -> DataFrame:
     )
 
 
-SALTS = 16
-
-
 def tx_with_alerts(tx: DataFrame, alerts: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
     """Every transaction with each of its alerts (``alert_id``, ``alert_status``), or with nulls.
 
-    Rows of an id that holds ``share`` of the transactions are dealt to ``SALTS`` tasks, and
-    that id's alerts go to each of them; both sides are read once for the join.
+    An id that holds ``share`` of the transactions or of the alerts is dealt to slots on that side, as
+    many as its share asks for; the other side's rows of the id go to each of them. Both
+    sides are read once for the join, after a narrow pass over their ids.
     """
     digest = F.xxhash64("transaction_id")
-    heavy = digest.isin(heavy_hashes(tx, digest, share) or [0])
-    salted = tx.withColumn("_salt", F.when(heavy, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
-    every = F.when(heavy, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    other = alerts.select("transaction_id", "alert_id", "alert_status", F.explode(every).alias("_salt"))
-    return salted.join(other, ["transaction_id", "_salt"], "left").drop("_salt")
+    alerts = alerts.filter("transaction_id IS NOT NULL").select("transaction_id", "alert_id", "alert_status", F.lit(True).alias("_hit"))
+    of_tx, of_alerts = (slots_of(digest, heavy_shares(df, digest, share)) for df in (tx, alerts))
+
+    def own(df: DataFrame, slots: Column) -> Column:
+        return F.pmod(row_hash(df), slots).cast("int")
+
+    def every(slots: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), slots - 1))
+
+    left = tx.withColumn("_tx_slot", own(tx, of_tx)).withColumn("_alert_slot", every(of_alerts))
+    right = alerts.withColumn("_alert_slot", own(alerts, of_alerts)).withColumn("_tx_slot", every(of_tx))
+    joined = left.join(right, ["transaction_id", "_tx_slot", "_alert_slot"], "left")
+    # A transaction that was sent to several slots of alerts found none in some of them. It has alerts
+    # in others, unless only the hash of its id is that of a heavy one.
+    heavy = [r[0] for r in alerts.filter(of_alerts > 1).select("transaction_id").distinct().toLocalIterator()]
+    alerted = F.col("transaction_id").isin(heavy) if heavy else F.lit(False)
+    spare = F.col("_hit").isNull() & F.when(F.coalesce(alerted, F.lit(False)), True).otherwise(F.col("_alert_slot") > 0)
+    return joined.filter(~spare).select(*tx.columns, "alert_id", "alert_status")
 
 
 def loans_per_customer(loans: DataFrame) -> DataFrame:
@@ -145,7 +156,7 @@ def high_value_customers(
     zero = F.lit(0).cast("decimal(38,2)")
     named = customers.select("customer_id", "full_name", "region")
     return (
-        lookup_join(lookup_join(named, spent, "customer_id"), lent, "customer_id")
+        lookup_join(named, [spent, lent], "customer_id")
         .withColumn("total_tx_ugx", F.coalesce("total_tx_ugx", zero))
         .withColumn("total_loans_ugx", F.coalesce("total_loans_ugx", zero))
         .orderBy(F.desc("total_tx_ugx"), F.desc("total_loans_ugx"), "customer_id").limit(k)

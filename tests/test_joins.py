@@ -87,10 +87,58 @@ def test_lookup_join_equals_left_join(spark, skewed, no_broadcast, share):
     right = joins.alerts_per_transaction(alerts)
     assert skew.heavy_hashes(tx, F.xxhash64("transaction_id"), share)
     got = skew.lookup_join(tx, right, "transaction_id", share)
+    plan = got._jdf.queryExecution().executedPlan().toString()
     want = tx.join(right, "transaction_id", "left")
     assert Counter(rows(got)) == Counter(rows(want))
+    assert plan.count("SortMergeJoin") == 1 and "Union" not in plan  # the left side is read once for the join
+
+
+def test_several_lookups_move_the_left_side_once(spark, skewed, no_broadcast):
+    tx, alerts, _ = frames(spark, skewed)
+    counts = joins.alerts_per_transaction(alerts)
+    other = alerts.filter("transaction_id IS NOT NULL").groupBy("transaction_id").agg(F.max("alert_status").alias("s"))
+    got = skew.lookup_join(tx, [counts, other], "transaction_id")
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+    moved = [line for line in plan.split("\n") if "Exchange" in line and "_slot" in line]
+    want = tx.join(counts, "transaction_id", "left").join(other, "transaction_id", "left")
+    assert Counter(rows(got)) == Counter(rows(want)) and got.columns == want.columns
+    assert plan.count("SortMergeJoin") == 2 and len(moved) == 3  # the left side and the two others
+
+
+def test_slots_follow_the_share(spark):
+    shares = {5: 1 / 3, 7: 0.02, 9: 0.0201}
+    got = {r.h: r.n for r in spark.createDataFrame([(5,), (7,), (9,), (11,)], "h long").select("h", skew.slots_of(F.col("h"), shares).alias("n")).collect()}
+    assert got == {5: 34, 7: 2, 9: 3, 11: 1}
+
+
+@pytest.fixture
+def apart(spark):
+    """Partitions as they were dealt, not put together because they are small."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("tx_heavy,alerts_heavy", [(True, False), (False, True), (True, True), (False, False)])
+def test_ids_heavy_on_either_side_are_spread(spark, no_broadcast, apart, tx_heavy, alerts_heavy):
+    from ledgerloom.operators.joins import tx_with_alerts
+
+    tx = spark.range(3000).select(F.when((F.col("id") % 3 == 0) & F.lit(tx_heavy), 1).otherwise(F.col("id") % 400).alias("transaction_id"), F.col("id").alias("n"))
+    alerts = spark.range(300).select(
+        F.when((F.col("id") % 3 == 0) & F.lit(alerts_heavy), 2).when((F.col("id") % 7 == 0) & F.lit(tx_heavy), 1).otherwise(F.col("id") % 90 * 5).alias("transaction_id"),
+        F.col("id").alias("alert_id"), F.lit("open").alias("alert_status"))
+    tx = tx.unionByName(spark.createDataFrame([(None, -1), (None, -2), (777_777, -3)], "transaction_id long, n long"))
+    alerts = alerts.unionByName(spark.createDataFrame([(None, -1, "x")], "transaction_id long, alert_id long, alert_status string"))
+    got = tx_with_alerts(tx, alerts)
+    assert Counter(rows(got)) == Counter(rows(tx.join(alerts, "transaction_id", "left")))
+    heavy = got.filter("transaction_id IN (1, 2)")
+    parts = heavy.groupBy("transaction_id", F.spark_partition_id().alias("p")).count().collect()
+    spread = {i: len([r for r in parts if r.transaction_id == i]) for i in (1, 2)}
+    if tx_heavy:
+        assert spread[1] > 1
+    if alerts_heavy:
+        assert spread[2] > 1
 
 
 def test_lookup_join_on_two_keys_with_nulls(spark, no_broadcast):
