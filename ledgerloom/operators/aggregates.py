@@ -135,14 +135,16 @@ def value_counts(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 
 
 def label_parts(
-    df: DataFrame, columns: dict[str, str], amount: Column | None = None, total: tuple[str, str] | None = None
+    df: DataFrame, columns: dict[str, str], amount: Column | None = None, total: tuple[str, str] | None = None,
+    ids: tuple[str, ...] = (),
 ) -> DataFrame:
     """Rows (and an amount sum) per raw value of several columns, in one pass.
 
     ``columns`` maps a kind to a column; ``total`` is the kind and label of one more row for
     the whole table. Returns kind, label, n, amt. Only distinct raw values are stripped to
     labels, so a label may come in several rows, to be summed by the caller; blank values
-    are labelled ``(empty)``.
+    are labelled ``(empty)``. The kinds in ``ids`` are keys: they are not stripped, and only null and the empty
+    text count as blank.
     """
     kinds = list(columns)
     keys = [f"k{i}" for i in range(len(kinds))]
@@ -167,7 +169,10 @@ def label_parts(
             .agg(*measures, F.grouping_id().alias("id")).withColumn("kept", kept)
         )
     all_kind, all_label = total or ("", "")
-    labels = [F.when(F.col("kept") == i, label_or(F.col(k), "(empty)")) for i, k in enumerate(keys)]
+    labels = [
+        F.when(F.col("kept") == i, F.coalesce(F.nullif(F.col(k).cast("string"), F.lit("")), F.lit("(empty)")) if kind in ids else label_or(F.col(k), "(empty)"))
+        for i, (kind, k) in enumerate(zip(kinds, keys))
+    ]
     names = [F.when(F.col("kept") == i, k) for i, k in enumerate(kinds)]
     return raw.select(
         F.coalesce(*names, F.lit(all_kind)).alias("kind"),

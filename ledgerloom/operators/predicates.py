@@ -21,6 +21,16 @@ def project_tx(tx: DataFrame) -> DataFrame:
     )
 
 
+def project_alerts(alerts: DataFrame) -> DataFrame:
+    """The columns of the alerts that the job reads."""
+    return alerts.select("transaction_id", "alert_status")
+
+
+def project_loans(loans: DataFrame) -> DataFrame:
+    """The columns of the loans that the job reads."""
+    return loans.select("customer_id", "loan_id")
+
+
 def trim_all(df: DataFrame) -> DataFrame:
     """Strip every text cell; other columns pass through."""
     return df.select([

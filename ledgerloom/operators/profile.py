@@ -21,15 +21,25 @@ def with_numbers(df: DataFrame, trimmed: bool = False) -> DataFrame:
     ])
 
 
-def profile_measures(columns: list[str], trimmed: bool = False) -> list[Column]:
+def _is_missing(cell: Column, kind: T.DataType | None, trimmed: bool) -> Column:
+    """Null, blank text, or an array or map of nothing."""
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return cell.isNull() | (F.size(cell) <= 0)
+    if kind is not None and not isinstance(kind, T.StringType):
+        return cell.isNull()
+    return F.coalesce(cell, F.lit("")) == "" if trimmed else is_missing(cell)
+
+
+def profile_measures(columns: list[str], trimmed: bool = False, kinds: dict[str, T.DataType] | None = None) -> list[Column]:
     """Aggregates over all columns of ``with_numbers``; usable in ``agg`` and in ``observe``.
 
-    ``trimmed`` says that the cells are stripped text already.
+    ``trimmed`` says that the text cells are stripped already; ``kinds`` are the columns' types, where
+    they are not all text.
     """
     measures = [F.count(F.lit(1)).alias("row_count")]
     for i, name in enumerate(columns):
         cell, value = named(name), F.col(f"_v{i}")
-        missing = F.coalesce(cell, F.lit("")) == "" if trimmed else is_missing(cell)
+        missing = _is_missing(cell, (kinds or {}).get(name), trimmed)
         measures += [
             F.count_if(missing).alias(f"nulls_{i}"),
             F.count(value).alias(f"count_{i}"),

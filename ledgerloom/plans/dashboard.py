@@ -11,7 +11,6 @@ from ledgerloom.operators.aggregates import (
     ENTITIES, LABEL_WIDTH, best_labels, histogram, label_parts, named_merchants,
 )
 from ledgerloom.operators.registry import status_mix, uploads_by_day
-from ledgerloom.operators.windows import ranked
 from ledgerloom.session import literal_rows
 
 # Series keys and titles, in display order.
@@ -35,28 +34,6 @@ DAYS = 14
 MERCHANT_LABEL_WIDTH = 22
 
 
-def merchant_series(best: DataFrame) -> DataFrame:
-    """The two merchant series (key, ord, label, value) of ranked merchants."""
-    points = F.array(
-        F.struct(F.lit("merchants_txn").alias("key"), F.col("n").cast("double").alias("value")),
-        F.struct(F.lit("merchants_amt").alias("key"), F.col("amt").cast("double").alias("value")),
-    )
-    return best.select(
-        "ord", cut(F.col("merchant_name"), MERCHANT_LABEL_WIDTH).alias("label"), F.inline(points)
-    ).select("key", "ord", "label", "value")
-
-
-def ranked_merchants(tx: DataFrame, merchants: DataFrame, seq: str | None = None) -> DataFrame:
-    """The top merchants with ord, n, amt and name."""
-    amount = whole_amount(tx, "amount")
-    per_merchant = (
-        tx.filter(F.coalesce(F.col("merchant_id").cast("string"), F.lit("")) != "")
-        .groupBy("merchant_id").agg(F.count("*").alias("n"), F.sum(amount).alias("amt"))
-    )
-    best = ranked(per_merchant, TOP, F.lit(1), F.desc("n"), F.desc("amt"), F.col("merchant_id"))
-    return named_merchants(best, merchants, seq)
-
-
 def _numbered(df: DataFrame, key: str) -> DataFrame:
     """Chart rows of an already small (label, value) frame, in label order."""
     return df.select(
@@ -72,8 +49,8 @@ LIMITS = {
 }
 
 
-def _counted_series(frames: dict[str, DataFrame], seq: str | None) -> DataFrame:
-    """All counted series: one pass per table, one ranking over their few distinct labels."""
+def counted_series(frames: dict[str, DataFrame | None], seq: str | None = None) -> DataFrame:
+    """All counted series (key, ord, label, value): one pass per table, one ranking over their few distinct labels."""
     tx = frames["fact_transactions"]
     columns = {
         "fact_transactions": {"merchants": "merchant_id", "txn_channel": "channel", "txn_type": "transaction_type"},
@@ -91,7 +68,7 @@ def _counted_series(frames: dict[str, DataFrame], seq: str | None) -> DataFrame:
     for entity, table in ENTITIES:
         df = frames[table]
         present = {kind: c for kind, c in columns[table].items() if c in df.columns}
-        part = label_parts(df, present, amount if df is tx else None, ("entity_counts", entity))
+        part = label_parts(df, present, amount if df is tx else None, ("entity_counts", entity), ids=("merchants",))
         parts = part if parts is None else parts.unionByName(part)
     merchant = F.col("kind") == "merchants"
     best = best_labels(
@@ -112,7 +89,7 @@ def _counted_series(frames: dict[str, DataFrame], seq: str | None) -> DataFrame:
         F.when(merchant, cut(F.col("merchant_name"), MERCHANT_LABEL_WIDTH))
         .otherwise(cut(F.col("label"), LABEL_WIDTH)).alias("label"),
         F.inline(points),
-    )
+    ).select("key", "ord", "label", "value")
 
 
 def dashboard_charts(
@@ -130,7 +107,7 @@ def dashboard_charts(
     blanks += [("entity_counts", i, label, 0.0) for i, (label, _) in enumerate(ENTITIES, 1)]
     rows = literal_rows(registry.sparkSession, blanks, "key, ord, label, value")
     for part in (
-        _counted_series(frames, seq),
+        counted_series(frames, seq),
         bins("fact_transactions", "amount", "txn_amount_bins"),
         bins("fact_loans", "principal_amount", "loan_principal_bins"),
         _numbered(uploads_by_day(registry, DAYS), "uploads_by_day"),

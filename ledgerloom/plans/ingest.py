@@ -15,7 +15,8 @@ from ledgerloom.operators.windows import latest_landed
 from ledgerloom.plans.sql_workspace import sql_name
 from ledgerloom.session import literal_rows
 from ledgerloom.sources.csv_files import FIELDS, ROW_ORDER, file_order, header_of, load_typed, quote_parity, scan_csv_raw
-from ledgerloom.sources.zones import Zones, base_name, classification_of, utc_now
+from ledgerloom.sources.uploads import BAD, classification_of, contract_name, is_typed, scan_typed
+from ledgerloom.sources.zones import Zones, base_name, utc_now
 
 TOGETHER = 1000
 # Folders of a joint write: the landing's number, and if rows are longer than the header.
@@ -25,21 +26,28 @@ LANDING, LONG = "_landing", "_long"
 def write_processed(raw: DataFrame, path: str) -> tuple[int, Row]:
     """Write the trimmed rows as Parquet and profile them in the same pass.
 
-    ``raw`` keeps its field count: a row longer than the header fails the file. Its places in
-    the landed files, if kept, are stored with the rows.
+    ``raw`` of a CSV keeps its field count: a row longer than the header fails the file, as does a JSON
+    record that cannot be read. Its places in the landed files, if kept, are stored with the rows. Text
+    cells are trimmed, those inside arrays and maps stay.
     """
-    columns = [c for c in raw.columns if c not in (FIELDS, ROW_ORDER)]
+    columns = [c for c in raw.columns if c not in (FIELDS, ROW_ORDER, BAD)]
     place = [ROW_ORDER] if ROW_ORDER in raw.columns else []
+    long = F.col(FIELDS) > len(columns) if FIELDS in raw.columns else F.lit(False)
+    bad = F.col(BAD).isNotNull() if BAD in raw.columns else F.lit(False)
+    kinds = {f.name: f.dataType for f in raw.schema.fields}
     seen = Observation("profile")
     watched = with_numbers(trim_all(raw), trimmed=True).observe(
         seen,
-        F.count_if(F.col(FIELDS) > len(columns)).alias("long_rows"),
-        *profile_measures(columns, trimmed=True),
+        F.count_if(long).alias("long_rows"),
+        F.count_if(bad).alias("bad_rows"),
+        *profile_measures(columns, trimmed=True, kinds=kinds),
     )
     watched.select(*[named(c) for c in columns], *place).write.mode("overwrite").parquet(path)
     measured = seen.get
     if measured["long_rows"]:
         raise ValueError(f"{measured['long_rows']} rows have more fields than the header.")
+    if measured["bad_rows"]:
+        raise ValueError(f"{measured['bad_rows']} records are not readable.")
     if measured["row_count"] == 0:
         raise ValueError("The file has a header but no rows.")
     return measured["row_count"], insights_of(measured, columns)
@@ -94,9 +102,12 @@ def process_landing(
     """
     name = base_name(dataset)
     path, processed = zones.landing(landing_file), zones.processing(landing_file)
-    raw = scan_csv_raw(zones.spark, path, keep_field_count=True, keep_order=True)
+    if is_typed(name):
+        raw = scan_typed(zones.spark, path, name, keep_order=True)
+    else:
+        raw = scan_csv_raw(zones.spark, path, keep_field_count=True, keep_order=True)
     if classification_of(name) == "finance":
-        require_columns(name, raw.columns)
+        require_columns(contract_name(name), raw.columns)
     try:
         row_count, insights = write_processed(raw, processed)
     except Exception:
@@ -155,8 +166,9 @@ def process_entries(zones: Zones, registry: DataFrame, database: str | None = No
 def _process_some(zones: Zones, entries: list[Row], database: str | None) -> list[dict]:
     outcomes: dict[str, dict | Exception] = {}
     gone = [e for e in entries if not zones.files.exists(zones.landing(e.landing_file))]
-    there = [e for e in entries if e not in gone]
-    groups: dict[tuple, list[Row]] = {}
+    typed = [e for e in entries if e not in gone and is_typed(e.dataset)]
+    there = [e for e in entries if e not in gone and e not in typed]
+    groups: dict[tuple, list[Row]] = {(None, e.landing_file): [e] for e in typed}
     for entry, head in zip(there, landing_heads(zones, [e.landing_file for e in there])):
         if head is None or head[1] and head[0] is None:
             groups.setdefault((None, entry.landing_file), []).append(entry)  # no header, or one over several lines

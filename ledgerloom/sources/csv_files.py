@@ -52,7 +52,7 @@ def file_order(df: DataFrame) -> Column:
 def _known_places(df: DataFrame) -> list[str]:
     """What Spark can tell of the files that the rows come from."""
     hidden = df._jdf.queryExecution().analyzed().metadataOutput()
-    if "_metadata" not in [hidden.apply(i).name() for i in range(hidden.size())]:
+    if [hidden.apply(i).name() for i in range(hidden.size())].count("_metadata") != 1:  # no files, or those of several tables
         return []
     return df.select("_metadata").schema["_metadata"].dataType.names
 

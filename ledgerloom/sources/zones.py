@@ -25,6 +25,7 @@ from ledgerloom.sources.contracts import (
 from ledgerloom.sources.csv_files import ROW_ORDER, file_order, first_rows, scan_csv_raw
 from ledgerloom.sources.files import Files
 from ledgerloom.sources.logs import JsonLog, read_json_log
+from ledgerloom.sources.uploads import classification_of, scan_upload
 from ledgerloom.sources.versions import Versions
 
 
@@ -36,10 +37,6 @@ def base_name(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1]
 
 
-def classification_of(dataset: str) -> str:
-    return "finance" if dataset in REQUIRED_COLUMNS else "external"
-
-
 class Zones:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -157,20 +154,20 @@ class Zones:
     def preview(self, dataset: str, n: int = 25, order_by=None) -> DataFrame:
         """First rows (1 to 200), as uploaded, of the finance, else external, else landed copy."""
         name = base_name(dataset)
-        path = self.stored(name, "finance") or self.stored(name, "external")
+        path, n = self.stored(name, "finance") or self.stored(name, "external"), clamp(n, 1, 200)
+        rows = None
         if path is None:
             landed = (
                 self.registry().filter((F.col("dataset") == name) & (F.col("pipeline_status") == "landed"))
                 .orderBy(F.desc("uploaded_at"), F.desc("seq")).select("landing_file").first()
             )
             if landed and landed.landing_file and self.files.exists(self.landing(landed.landing_file)):
-                path = self.landing(landed.landing_file)
-        if path is None:
+                rows = scan_upload(self.spark, self.landing(landed.landing_file), name, keep_order=True)
+        else:
+            rows = self.read_stored(path, keep_order=True)
+        if rows is None:
             raise ValueError(f"No stored copy of {name}.")
-        n = clamp(n, 1, 200)
-        if order_by is None:
-            return first_rows(self.read_stored(path, keep_order=True), n)
-        return self.read_stored(path).orderBy(order_by).limit(n)
+        return first_rows(rows, n) if order_by is None else rows.orderBy(order_by).limit(n).drop(ROW_ORDER)
 
     # Registry: an append-only log; the newest non-null value of each field wins.
     def record(self, **fields) -> dict:
@@ -213,7 +210,7 @@ class Zones:
 
     # Landing
     def land(self, incoming: str, dataset: str | None = None, now: dt.datetime | None = None) -> dict:
-        """Move an uploaded CSV into the landing zone and list it as ``landed``."""
+        """Move an upload (CSV, Parquet or JSON by its name) into the landing zone and list it as ``landed``."""
         now = now or utc_now()
         name = base_name(dataset or incoming)
         file = f"{now.strftime('%Y%m%dT%H%M%SZ')}_{name}"

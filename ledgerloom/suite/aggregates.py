@@ -140,8 +140,8 @@ RANKED_MERCHANTS_SQL = """
 
 
 def _merchant_series(s: Star, key: str):
-    best = dashboard.ranked_merchants(s.fact_transactions, s.dim_merchants, "merchant_id")
-    return dashboard.merchant_series(best).filter(F.col("key") == key).drop("key")
+    series = dashboard.counted_series(s.frames(), "merchant_id")
+    return series.filter(F.col("key") == key).select(F.col("ord").cast("int").alias("ord"), "label", "value")
 
 
 @query("merchants_txn", sql=f"SELECT ord, label, CAST(n AS DOUBLE) AS value FROM ({RANKED_MERCHANTS_SQL})")

@@ -13,7 +13,7 @@ from ledgerloom.plans.examples import EXAMPLES, TABLES
 from ledgerloom.session import shared_folder
 from ledgerloom.sources import zones as z
 from ledgerloom.suite.aggregates import LOAN_COLUMNS, _range_sql
-from ledgerloom.suite.core import Star, query
+from ledgerloom.suite.core import SQL_WHITESPACE, Star, query
 from ledgerloom.suite.predicates import workspace
 from ledgerloom.suite.sources import LANDED_AT, landed
 
@@ -37,6 +37,35 @@ def _(s: Star):
         numbers["min"].alias("min"), numbers["max"].alias("max"))
 
 
+TYPED_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS dataset, 'analytics_ready' AS pipeline_status, '{column}' AS \"column\", count(*) AS row_count, "
+    f"CAST(count_if({missing}) AS BIGINT) AS null_count, {low} AS min, {high} AS max FROM (SELECT *, trim(text, {SQL_WHITESPACE}) AS t FROM conversations)"
+    for name in ("talks.parquet", "talks.jsonl")
+    for column, missing, low, high in [
+        ("conv_id", "conv_id IS NULL", "CAST(min(conv_id) AS DOUBLE)", "CAST(max(conv_id) AS DOUBLE)"),
+        ("said.by.role", "coalesce(role, '') = ''", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"),
+        ("said.turn", "turn IS NULL", "CAST(min(turn) AS DOUBLE)", "CAST(max(turn) AS DOUBLE)"),
+        ("said.text", "coalesce(t, '') = ''", "min(try_cast(t AS DOUBLE))", "max(try_cast(t AS DOUBLE))"),
+        ("words", "len([x FOR x IN string_split(coalesce(t, ''), ' ') IF x <> '']) = 0", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")])
+
+
+@query("process_landing_typed", sql=TYPED_SQL)
+def _(s: Star):
+    zones = z.Zones(s.spark, shared_folder(s.spark, "zones"))
+    text = txt.strip(F.col("text"))
+    talks = s.table("conversations").select(
+        "conv_id", F.struct(F.struct("role").alias("by"), "turn", F.concat(F.lit(" "), "text", F.lit("\t")).alias("text")).alias("said"),
+        F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda x: x != "").alias("words"))
+    for name, write in (("talks.parquet", talks.write.parquet), ("talks.jsonl", talks.write.json)):
+        write(f"{zones.root}/incoming/{name}")
+        zones.land(f"{zones.root}/incoming/{name}", name, LANDED_AT)
+    ingest.process_all(zones, "all")
+    numbers = F.try_element_at("insights.numeric_summary", F.col("column"))
+    return zones.registry().withColumn("column", F.explode("insights.columns")).select(
+        "dataset", "pipeline_status", "column", "row_count", F.element_at("insights.null_counts", F.col("column")).alias("null_count"),
+        numbers["min"].alias("min"), numbers["max"].alias("max"))
+
+
 @query("process_all", sql="""
     SELECT 'dim_customers.csv' AS dataset, 'analytics_ready' AS pipeline_status, count(*) AS row_count FROM dim_customers
     UNION ALL SELECT 'fact_loans.csv', 'analytics_ready', count(*) FROM fact_loans

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import label_or
 from ledgerloom.operators import joins
 from ledgerloom.operators import registry as reg
 from ledgerloom.plans.sql_workspace import SqlWorkspace
@@ -33,7 +34,21 @@ def _(s: Star):
     return joins.tx_with_alerts(tx, s.fact_fraud_alerts)
 
 
-@query("join_preagg_loans", "null_default", sql="""
+@query("null_default", sql="""
+    SELECT e.event_id, coalesce(nullif(trim(CASE WHEN e.event_id % 3 = 0 THEN '  ' WHEN e.event_id % 3 = 1 THEN e.event_type END), ''), '(empty)') AS label,
+           coalesce(nullif(r.pipeline_status, ''), 'unknown') AS status, coalesce(l.n, 0) AS loan_count
+    FROM events e JOIN dataset_registry r ON r.seq = e.event_id
+    LEFT JOIN (SELECT customer_id, count(*) AS n FROM fact_loans GROUP BY 1) l ON l.customer_id = e.user_id""")
+def _(s: Star):
+    shown = F.when(F.col("event_id") % 3 == 0, "  ").when(F.col("event_id") % 3 == 1, F.col("event_type"))
+    status = F.when(F.col("event_type") == "signup", "landed").when(F.col("event_type") == "purchase", "analytics_ready").when(
+        F.col("event_type") == "error", "failed")
+    rows = s.table("events").select(
+        "event_id", F.col("user_id").alias("customer_id"), label_or(shown, "(empty)").alias("label"), label_or(status, "unknown").alias("status"))
+    return joins.preagg_loans(rows, s.fact_loans).select("event_id", "label", "status", "loan_count")
+
+
+@query("join_preagg_loans", sql="""
     SELECT c.customer_id, c.full_name, coalesce(l.n, 0) AS loan_count FROM dim_customers c
     LEFT JOIN (SELECT customer_id, count(*) AS n FROM fact_loans GROUP BY 1) l ON l.customer_id = c.customer_id""")
 def _(s: Star):

@@ -52,6 +52,16 @@ def _(s: Star):
     return pred.project_tx(text)
 
 
+@query("project_alerts", sql="SELECT transaction_id, alert_status FROM fact_fraud_alerts")
+def _(s: Star):
+    return pred.project_alerts(s.fact_fraud_alerts)
+
+
+@query("project_loans", sql="SELECT customer_id, loan_id FROM fact_loans")
+def _(s: Star):
+    return pred.project_loans(s.fact_loans)
+
+
 @query("lenient_double", sql=f"""
     SELECT event_id, CASE WHEN regexp_matches(t, '^[+-]?[0-9_]+(\\.[0-9]+)?(e[0-9]+)?$')
                           THEN CAST(replace(t, '_', '') AS DOUBLE) END AS value

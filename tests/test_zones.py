@@ -264,3 +264,16 @@ def test_uploads_feed_dashboard_and_job(spark, zones, folder):
     tables = curate.curate_and_load(spark, f"{zones.root}/published/finance", f"{folder.root}/out")
     assert sorted(rows(tables["kpi_top_merchants"].select("merchant_id", "merchant_name")), key=str) == [
         ("", None), ("m1", "New"), ("m1", "Old"), ("m2", "Two")]
+
+
+def test_merchant_ids_are_not_stripped_together(spark, folder):
+    from ledgerloom.plans.dashboard import counted_series
+    from ledgerloom.sources.star import Star
+    from conftest import DATA
+
+    frames = Star(spark, DATA).frames()
+    frames["fact_transactions"] = spark.createDataFrame(
+        [("m1", "5"), (" m1", "7"), ("m1", "1"), ("", "9"), (None, "9")], "merchant_id string, amount string")
+    frames["dim_merchants"] = spark.createDataFrame([("m1", "One"), (" m1", "Other")], "merchant_id string, merchant_name string")
+    got = counted_series(frames).filter("key = 'merchants_txn'").orderBy("ord")
+    assert rows(got.select("label", "value")) == [("One", 2.0), ("Other", 1.0)]
