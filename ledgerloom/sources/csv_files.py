@@ -20,14 +20,20 @@ def quote_parity(line: Column) -> Column:
     return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2
 
 
-def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
-    """Whether some line has an odd number of quotes, i.e. a record may span lines.
+# So many files at most are named one by one in a plan.
+NAMED_FILES = 2000
 
-    Spark cannot split a file it reads with ``multiLine``. One splittable pass over
-    the lines settles whether that is needed; stray quotes only make it cautious.
+
+def files_with_quoted_newlines(spark: SparkSession, path: str | list[str]) -> tuple[list[str], int]:
+    """The files in which some line has an odd number of quotes, i.e. a record may span lines; the number of all files.
+
+    Spark cannot split a file it reads with ``multiLine``. One splittable pass over the lines settles
+    which files need that; stray quotes only make it cautious.
     """
-    found = spark.read.text(path).agg(F.max(quote_parity(F.col("value"))).alias("odd")).first()
-    return bool(found and found.odd)
+    lines = spark.read.text(path)
+    by_file = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.max(quote_parity(F.col("value"))).alias("odd"))
+    found = by_file.agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("odd") == 1, F.col("file"))).alias("odd")).first()
+    return sorted(found.odd), found.n
 
 
 def file_order(df: DataFrame) -> Column:
@@ -76,6 +82,11 @@ def _dialect(spark: SparkSession, multi_line: bool):
     )
 
 
+def has_quoted_newlines(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether a record may span lines in any of the files."""
+    return bool(files_with_quoted_newlines(spark, path)[0])
+
+
 def header_of(line: str) -> tuple[str, ...] | None:
     """Column names in a header line; None if the header goes on in the next line."""
     line = line.removeprefix("\ufeff")
@@ -118,28 +129,40 @@ def scan_csv_raw(
 
     Empty fields read as ``''``; fields a short row does not have are null; fields
     beyond the header are ignored unless the caller checks the kept field count. Of
-    duplicate header names the last column wins. ``multi_line=None`` finds out whether
-    records span lines. Files in which they do are streamed by Spark's reader, one file to a
-    task at any size; others are read in splits. Line breaks inside quotes stay as they are,
+    duplicate header names the last column wins. ``multi_line=None`` finds out in which files
+    records span lines. Those are streamed by Spark's reader, one file to a task at any size; the
+    others are read in splits if the order is kept, and else like those. Line breaks inside quotes stay as they are,
     save in a file whose lines end in CR LF or CR, where they read as LF.
     """
     header = header or csv_header(spark, path)
     if not header:
         raise ValueError("The file has no header.")
+    spanning: list[str] = []
     if multi_line is None:
-        multi_line = has_quoted_newlines(spark, path)
+        spanning, files = files_with_quoted_newlines(spark, path)
+        # Two scans no longer know their files' order, so they are only for callers that keep it.
+        apart = keep_order and len(spanning) < files and len(spanning) <= NAMED_FILES
+        multi_line, spanning = bool(spanning) and not apart, spanning if apart else []
     slots = [f"c{i}" for i in range(len(header))]
     schema = T.StructType(
         [T.StructField(s, T.StringType()) for s in slots] + [T.StructField(RAW, T.StringType())]
     )
     # A pruned parse would not notice that a record does not fit the header.
     how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": RAW, "columnPruning": False}
-    rows = _dialect(spark, multi_line).schema(schema).options(header=True, **how).csv(path)
-    rows = rows.withColumn(FIELDS, _field_count(len(header)))
     if keep_order and ROW_ORDER in header:
         raise ValueError(f"A column may not be named {ROW_ORDER}.")
-    if keep_order:
-        rows = rows.withColumn(ROW_ORDER, file_order(rows))
+
+    def scan(multi: bool, which: Column | None = None) -> DataFrame:
+        rows = _dialect(spark, multi).schema(schema).options(header=True, **how).csv(path)
+        rows = rows if which is None else rows.filter(which)  # a filter on file names prunes files
+        rows = rows.withColumn(FIELDS, _field_count(len(header)))
+        return rows.withColumn(ROW_ORDER, file_order(rows)) if keep_order else rows
+
+    if spanning:
+        is_spanning = F.col("_metadata.file_path").isin(spanning)
+        rows = scan(False, ~is_spanning).unionByName(scan(True, is_spanning))
+    else:
+        rows = scan(multi_line)
     last = {name: i for i, name in enumerate(header)}
     columns = [
         F.when(F.col(FIELDS) > i, F.coalesce(F.col(slots[i]), F.lit(""))).alias(name or f"_c{i}")

@@ -146,3 +146,18 @@ def test_ragged_rows_of_a_spanning_file(spark, folder, splits):
     got = sorted(rows(df), key=lambda r: int(r[0]))
     assert got[:4] == [("1", "a\nb", 2), ("2", None, 1), ("3", "x", 3), ("4", "", 2)] and len(got) == 29
     assert df.select("t").count() == 29 and df.count() == 29
+
+
+def test_only_files_with_spanning_records_are_read_whole(spark, folder, splits):
+    plain = "k,v\n" + "".join(f"{i},x{i}\n" for i in range(200))
+    for name in ("a", "c"):
+        folder(f"mixed/{name} 1.csv", plain)
+    folder("mixed/b+%.csv", 'k,v\n1000,"two\nlines"\n1001,"it""s"\n')
+    for keep in (False, True):
+        got = scan_csv_raw(spark, f"{folder.root}/mixed", keep_order=keep)
+        cells = [(r.k, r.v) for r in (got.orderBy("_row_order") if keep else got).collect()]
+        one = [(str(i), f"x{i}") for i in range(200)]
+        want = [*one, ("1000", "two\nlines"), ("1001", 'it"s'), *one]
+        assert cells == want if keep else sorted(cells) == sorted(want)
+    if spark.conf.get("spark.sql.files.maxPartitionBytes") == "600":
+        assert scan_csv_raw(spark, f"{folder.root}/mixed", keep_order=True).rdd.getNumPartitions() > 5  # the others are still split
