@@ -234,7 +234,7 @@ def match_benchmark(
     hits = hits.groupBy("__row").agg(
         F.collect_list(spans).alias("lists"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items))
-    hits = hits.select("__row", F.udf(_merged, _SPANS)("lists").alias(spans), items)
+    hits = hits.select("__row", F.udf(_merged, _SPANS, useArrow=True)("lists").alias(spans), items)
     counted = _matched(rows, [], window, text, prefix).drop(spans, items)
     none = [F.coalesce(c, F.array().cast(_FIELDS[n])).alias(c) for c, n in ((spans, "spans"), (items, "items"))]
     return counted.join(hits, "__row", "left").select(*names, count, *none)

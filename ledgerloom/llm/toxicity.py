@@ -6,9 +6,12 @@ recurrent unit reads a window of words in both directions, attention weighs the
 their weighted sum gives the window's logit. A text is read in overlapping windows from its first
 word to its last; its score is that of its highest window.
 
+Windows overlap by half, so every passage of up to half a window is whole in some window.
+
 Training is in numpy, on at most ``FIT_ROWS`` labelled texts of each class, drawn by a hash of
-their ids among texts of up to ``FIT_CHARS`` characters. A text's label belongs to some window of
-it, so the loss is taken of the log-sum-exp of its windows' logits. Scoring covers every window of
+their ids, and at most ``FIT_BYTES`` of text of each. A text's label belongs to some window of it, so
+the loss is taken of the log-sum-exp of its windows' logits; of a text of more than ``FIT_WINDOWS``
+windows all are read, and the highest of them are learned from. Scoring covers every window of
 every text.
 """
 
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,10 +30,11 @@ from ledgerloom.llm.lexicon import Lexicon, _SEED, _powers, joined, word_places
 from ledgerloom.llm.suffix import _TABLE
 
 FIT_ROWS = 1200
-FIT_CHARS = 12_000
+FIT_BYTES = 32 << 20
+FIT_WINDOWS = 64
 STEPS = 320
 BATCH = 60
-WINDOW, STRIDE = 64, 56
+WINDOW, STRIDE = 64, 32
 BUCKETS = 1 << 15
 DIM, HIDDEN, GLANCE = 8, 8, 8
 _GRAMS = (4, 5)
@@ -172,6 +176,14 @@ def _texts(own: Lexicon, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return own.index(buffer, a, b), np.bincount(np.searchsorted(ends, a, side="right"), minlength=len(texts))
 
 
+def highest(net: Network, gates: np.ndarray, place: np.ndarray, text: np.ndarray, most: int) -> np.ndarray:
+    """Places of the windows with the ``most`` highest logits of each text, in order."""
+    logit = np.concatenate([net.forward(gates, place[at:at + 4096]) for at in range(0, len(place), 4096)])
+    order = np.lexsort((-logit, text))
+    first = np.searchsorted(text[order], text[order])  # where each text begins in that order
+    return np.sort(order[np.arange(len(order)) - first < most])
+
+
 def train(texts: list[bytes], labels: np.ndarray, least_steps: int = STEPS, seed: int = 7) -> Network:
     """Adam over batches of whole texts, every text as often as makes up the steps."""
     net, rng, rate = Network(seed), np.random.default_rng(seed), 0.01
@@ -188,7 +200,11 @@ def train(texts: list[bytes], labels: np.ndarray, least_steps: int = STEPS, seed
             place = np.where(place < 0, -1, np.append(found, -1)[place])
             features = word_features(own.words()) if len(own) else (np.zeros(0, np.int64), [])
             x, grams = net.inputs(features)
-            logit, kept = net.forward(net.gates(x), place, True)
+            gates = net.gates(x)
+            if (np.bincount(text) > FIT_WINDOWS).any():
+                those = highest(net, gates, place, text, FIT_WINDOWS)
+                place, text = place[those], text[those]
+            logit, kept = net.forward(gates, place, True)
             top = np.full(len(rows), -np.inf)
             np.maximum.at(top, text, logit)
             odds = np.exp(logit - top[text])
@@ -243,21 +259,24 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, training, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-        rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Network:
+        rows: int = FIT_ROWS, room: int = FIT_BYTES) -> Network:
     """Train on up to ``rows`` labelled texts of each class; ``training`` is a condition on ``doc_id``.
 
-    Labels that are null, and ids with labels of both classes, are not learned from. Without
+    Texts are taken in the order of a hash of their ids while they fit into ``room`` bytes together. Labels that are null, and ids with labels of both classes, are not learned from. Without
     labels the network is that of its random start.
     """
     known = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).filter("i IS NOT NULL AND y IS NOT NULL")
     known = known.groupBy("i").agg(F.max("y").alias("y"), F.min("y").alias("least")).filter("y = least").drop("least")
     known = known.withColumn(doc_id, F.col("i")).filter(training).select("i", "y")
-    # Twice as many ids as wanted, as some have no text or a long one; few enough to broadcast.
+    # Twice as many ids as wanted, as some have no text; few enough to broadcast.
     ids = [known.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(2 * rows) for y in (0, 1)]
-    texts = docs.select(F.col(doc_id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter(F.char_length("t") <= chars)
+    texts = docs.select(F.col(doc_id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     both = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "i").select("i", "t", "y")
-    # No more than twice ``rows`` texts come to the driver, however often a row is repeated.
-    drawn = [both.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i", "t").limit(rows) for y in (0, 1)]
+    both = both.withColumn("size", F.octet_length("t"))
+    # No more than twice ``rows`` texts and ``room`` bytes come to the driver, however often a row is repeated.
+    before = Window.partitionBy("y").orderBy(F.xxhash64("i"), "i", "t").rowsBetween(Window.unboundedPreceding, 0)
+    few = [both.filter((F.col("y") == y) & (F.col("size") <= room)).orderBy(F.xxhash64("i"), "i", "t").limit(rows) for y in (0, 1)]
+    drawn = [df.withColumn("sum", F.sum("size").over(before)).filter(F.col("sum") <= room).select("t", "y") for df in few]
     got = sorted((r.t.encode(), r.y) for r in drawn[0].unionByName(drawn[1]).collect())
     return train([t for t, _ in got], np.array([y for _, y in got], dtype=np.float64)) if got else train([], np.zeros(0))
 

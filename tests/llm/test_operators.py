@@ -167,6 +167,62 @@ def test_network_gradients_and_windows():
             assert (pair[0] - pair[1]) / 2e-5 == pytest.approx(by[at], rel=1e-3, abs=1e-8)
 
 
+def test_network_is_a_plain_recurrence():
+    """The same network, a word and a window at a time."""
+    net, own, h = toxicity.Network(3), lexicon.Lexicon(), toxicity.HIDDEN
+    found, counts = toxicity._texts(own, [b"one two three four five " * 30, b"a b", b""])
+    place, _ = toxicity.windows(counts)
+    place = np.where(place < 0, -1, np.append(found, -1)[place])
+    gates = net.gates(net.inputs(toxicity.word_features(own.words()))[0])
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for got, window in zip(net.forward(gates, place), place):
+        steps = len(window)
+        states = np.zeros((steps, 2 * h))
+        for way, order in ((0, range(steps)), (1, range(steps - 1, -1, -1))):
+            state = np.zeros(h)
+            for t in order:
+                x, hu = gates[way][window[t]], state @ net.p["u"][way]
+                z, r = sigmoid(x[:h] + hu[:h]), sigmoid(x[h:2 * h] + hu[h:2 * h])
+                new = np.tanh(x[2 * h:] + r * hu[2 * h:])
+                state = (1 - z) * new + z * state
+                states[t, way * h:(way + 1) * h] = state
+        scores = np.array([np.tanh(s @ net.p["wa"] + net.p["ba"]) @ net.p["va"] if w >= 0 else -np.inf for s, w in zip(states, window)])
+        if np.isinf(scores).all():
+            scores[:] = 0
+        weight = np.exp(scores - scores.max())
+        assert got == pytest.approx(float((weight / weight.sum()) @ states @ net.p["wo"] + net.p["bo"][0]), rel=1e-6, abs=1e-9)
+
+
+def test_windows_overlap_by_half_and_long_texts_are_learned_from(monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_WINDOWS", 3)
+    place, text = toxicity.windows(np.array([1000, 3]))
+    for start in range(1000 - 32):
+        assert any(start in set(w) and start + 31 in set(w) for w in place[text == 0]), start
+    rng, words = np.random.default_rng(8), [b"tree", b"water", b"stone", b"light", b"green", b"house", b"walk", b"seven"]
+    texts = []
+    for k in range(120):
+        text = [words[i] for i in rng.integers(0, 8, 300)]  # nine windows
+        if k % 2:
+            text[rng.integers(300)] = b"grumbo"
+        texts.append(b" ".join(text))
+    net = toxicity.train(texts, np.array([k % 2 for k in range(120)], float), least_steps=200)
+    plain = b" ".join(words * 60)
+    scores = toxicity.Scorer(net)([plain, plain + b" grumbo", plain[:300]])
+    assert scores[1] > 0.5 > max(scores[0], scores[2])
+
+
+def test_highest_windows_of_each_text():
+    net, own = toxicity.Network(4), lexicon.Lexicon()
+    found, counts = toxicity._texts(own, [b"a b c d e f g h i j k " * 90, b"x y", b"l m n o p q r s " * 70])
+    place, text = toxicity.windows(counts)
+    place = np.where(place < 0, -1, np.append(found, -1)[place])
+    gates = net.gates(net.inputs(toxicity.word_features(own.words()))[0])
+    logit, kept = net.forward(gates, place), toxicity.highest(net, gates, place, text, 5)
+    for k in range(3):
+        mine = [i for i in kept if text[i] == k]
+        assert sorted(logit[mine]) == sorted(np.sort(logit[text == k])[-5:])
+
+
 def test_toxicity_learns_and_keeps_clean_documents(spark, docs, none):
     rng = np.random.default_rng(5)
     plain = ["tree", "water", "stone", "light", "green", "house", "walk", "seven"]
