@@ -14,6 +14,17 @@ from ledgerloom.llm.common import ship, staged, table
 from ledgerloom.llm.queries import PIECE_BPE, vocabulary
 
 
+# A whole window of a benchmark item.
+SPAN_WORDS = 13
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """The documents with ``n_chars``, if they have it, counted anew."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network does not take for toxic."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -21,10 +32,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the chunks and passages of lines that an earlier document, or place, has."""
-    kept = linechunks.repeat_dedup(docs)
-    if "n_chars" in kept.columns:
-        kept = kept.withColumn("n_chars", F.char_length("text").cast(kept.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return _counted(linechunks.repeat_dedup(docs)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +41,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which under a twentieth lies in windows of benchmark items; others stay as they are."""
-    return suffix.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Documents of which under a twentieth lies in windows of benchmark items, without those passages.
+
+    A passage is a span of hit words of ``SPAN_WORDS`` or more. Texts without any stay as they are.
+    """
+    kept = suffix.decontaminate(docs, table(spark, sf_dir, "benchmark"), longest=SPAN_WORDS)
+    return _counted(kept).select(*docs.columns)
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
