@@ -174,7 +174,7 @@ _SPANS = T.ArrayType(T.ArrayType(T.IntegerType()))
 _FIELDS = {"n_words": T.LongType(), "spans": _SPANS, "items": T.ArrayType(T.StringType())}
 
 
-def _matched(docs: DataFrame, block, window: int, text: str, prefix: str) -> DataFrame:
+def _matched(docs: DataFrame, block, window: int, text: str, prefix: str, longest: int | None = None) -> DataFrame:
     automaton = docs.sparkSession.sparkContext.broadcast(Automaton(block, window))
     new = [T.StructField(prefix + n, t) for n, t in _FIELDS.items()]
     fields = [f for f in docs.schema.fields if f.name not in [x.name for x in new]]
@@ -185,6 +185,8 @@ def _matched(docs: DataFrame, block, window: int, text: str, prefix: str) -> Dat
             for part in slices(batch, text):
                 rows = [item_words(t) for t in octets(part.column(text))]
                 found = [own.matches(ws) for ws in rows]
+                if longest is not None:  # in the same worker, for a second one would hold its own memory
+                    part = _cut_batch(part, text, [spans for spans, _ in found], longest)
                 yield with_columns(part, **{
                     prefix + "n_words": pa.array(map(len, rows), pa.int64()),
                     prefix + "spans": pa.array(
@@ -208,10 +210,13 @@ def _merged(lists) -> list[tuple[int, int]]:
 
 def match_benchmark(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, prefix: str = "",
+    item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, prefix: str = "", longest: int | None = None,
 ) -> DataFrame:
     """All columns of ``docs`` with ``n_words``, ``spans`` of hit words and ``items`` found.
 
+    With ``longest``, texts come without their spans of so many words or more; counts and spans are of the
+    whole texts.
+
     Spans are [from, to) in word numbers, merged and ascending; item ids are strings, sorted.
     A null or empty text has no words and no spans; items without words have no windows; equal
     items are all found; an item without an id hits words but is not listed. No items: no spans.
@@ -220,7 +225,7 @@ def match_benchmark(
     blocks = _blocks(benchmark, item_id, item_text, block_words)
     block, following = next(blocks), next(blocks, None)
     if following is None:
-        return _matched(docs, block, window, text, prefix)
+        return _matched(docs, block, window, text, prefix, longest)
     # Spans of each block, by the row number of a staged copy; only documents with hits shuffle.
     count, spans, items = (prefix + n for n in _FIELDS)
     names = [c for c in docs.columns if c not in (count, spans, items)]
@@ -237,7 +242,16 @@ def match_benchmark(
     hits = hits.select("__row", F.udf(_merged, _SPANS, useArrow=True)("lists").alias(spans), items)
     counted = _matched(rows, [], window, text, prefix).drop(spans, items)
     none = [F.coalesce(c, F.array().cast(_FIELDS[n])).alias(c) for c, n in ((spans, "spans"), (items, "items"))]
-    return counted.join(hits, "__row", "left").select(*names, count, *none)
+    found = counted.join(hits, "__row", "left").select(*names, count, *none)
+    if longest is None:
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                yield _cut_batch(part, text, part.column(spans).to_pylist(), longest)
+
+    return found.mapInArrow(run, found.schema)
 
 
 def hit_words(prefix: str = "") -> Column:
@@ -276,6 +290,18 @@ def _cut(text: str | None, spans: list, longest: int) -> str | None:
     return "".join([*kept, text[at:]])
 
 
+def _cut_batch(part: pa.RecordBatch, text: str, spans: list[list], longest: int) -> pa.RecordBatch:
+    """The batch with its texts cut; only those with such a span are touched."""
+    rows = [k for k, own in enumerate(spans) if any(b - a >= longest for a, b in own)]
+    if not rows:
+        return part
+    column = part.column(text)
+    texts = column.to_pylist()
+    for k in rows:
+        texts[k] = _cut(texts[k], spans[k], longest)
+    return part.set_column(part.schema.get_field_index(text), text, pa.array(texts, column.type))
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: int = 20, longest: int | None = None,
 ) -> DataFrame:
@@ -285,14 +311,5 @@ def decontaminate(
     many words or more are cut out of the documents that stay; without it their texts stay
     whole. A document without words stays; so does every row of an id that occurs again.
     """
-    kept = match_benchmark(docs, benchmark, text, prefix="__").filter(~contaminated(coverage, "__"))
-    if longest is not None:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, text):
-                    at = part.schema.get_field_index(text)
-                    cut = [_cut(t, s, longest) for t, s in zip(part.column(text).to_pylist(), part.column("__spans").to_pylist())]
-                    yield part.set_column(at, text, pa.array(cut, part.column(text).type))
-
-        kept = kept.mapInArrow(run, kept.schema)
+    kept = match_benchmark(docs, benchmark, text, prefix="__", longest=longest).filter(~contaminated(coverage, "__"))
     return kept.select(*docs.columns)
