@@ -35,6 +35,7 @@ FIT_WINDOWS = 64
 STEPS = 320
 BATCH = 60
 WINDOW, STRIDE = 64, 32
+TOGETHER = 1024
 BUCKETS = 1 << 15
 DIM, HIDDEN, GLANCE = 8, 8, 8
 _GRAMS = (4, 5)
@@ -178,7 +179,7 @@ def _texts(own: Lexicon, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def highest(net: Network, gates: np.ndarray, place: np.ndarray, text: np.ndarray, most: int) -> np.ndarray:
     """Places of the windows with the ``most`` highest logits of each text, in order."""
-    logit = np.concatenate([net.forward(gates, place[at:at + 4096]) for at in range(0, len(place), 4096)])
+    logit = np.concatenate([net.forward(gates, place[at:at + TOGETHER]) for at in range(0, len(place), TOGETHER)])
     order = np.lexsort((-logit, text))
     first = np.searchsorted(text[order], text[order])  # where each text begins in that order
     return np.sort(order[np.arange(len(order)) - first < most])
@@ -253,8 +254,8 @@ class Scorer:
         place, text = windows(counts)
         place = np.where(place < 0, -1, np.append(found, -1)[place])
         best = np.full(len(texts), -np.inf)
-        for at in range(0, len(place), 4096):
-            np.maximum.at(best, text[at:at + 4096], self.net.forward(gates, place[at:at + 4096]).astype(np.float64))
+        for at in range(0, len(place), TOGETHER):
+            np.maximum.at(best, text[at:at + TOGETHER], self.net.forward(gates, place[at:at + TOGETHER]).astype(np.float64))
         return _sigmoid(best)
 
 
