@@ -30,8 +30,8 @@ from ledgerloom.llm.lexicon import Lexicon, _SEED, _powers, joined, word_places
 from ledgerloom.llm.suffix import _TABLE
 
 FIT_ROWS = 1200
-FIT_BYTES = 32 << 20
-FIT_WINDOWS = 64
+FIT_BYTES = 8 << 20
+FIT_WINDOWS = 16
 STEPS = 320
 BATCH = 60
 WINDOW, STRIDE = 64, 32
