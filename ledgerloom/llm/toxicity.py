@@ -39,7 +39,7 @@ TOGETHER = 1024
 BUCKETS = 1 << 15
 DIM, HIDDEN, GLANCE = 8, 8, 8
 _GRAMS = (4, 5)
-_ROOM = 200_000
+_ROOM = 40_000
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
