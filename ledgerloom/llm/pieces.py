@@ -24,7 +24,7 @@ from ledgerloom.llm.common import octets, slices
 from ledgerloom.llm.lexicon import Lexicon, flat
 
 SPACE = "▁"
-CACHE = 150_000
+CACHE = 300_000
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
