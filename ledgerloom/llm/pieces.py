@@ -24,7 +24,7 @@ from ledgerloom.llm.common import octets, slices
 from ledgerloom.llm.lexicon import Lexicon, flat
 
 SPACE = "▁"
-CACHE = 300_000
+CACHE = 600_000
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
@@ -161,14 +161,14 @@ class Pieces:
         return self.library.decode(ids)
 
 
-_HELD: dict[str, Pieces] = {}
+_HELD: dict[tuple[str, int], Pieces] = {}
 
 
-def pieces(path: str) -> Pieces:
-    """One vocabulary for a Python worker, so that tasks share its units."""
-    if path not in _HELD:
-        _HELD[path] = Pieces(path)
-    return _HELD[path]
+def pieces(path: str, room: int = CACHE) -> Pieces:
+    """One vocabulary for a Python worker, so that tasks share its units, ``room`` at most."""
+    if (path, room) not in _HELD:
+        _HELD[path, room] = Pieces(path, room)
+    return _HELD[path, room]
 
 
 def encode_pieces(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,7 +198,7 @@ def decode_pieces(encoded: DataFrame, model: str, ids: str = "ids", text: str =
     return rows.mapInArrow(run, f"doc_id {kind}, {text} string")
 
 
-def piece_digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def piece_digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", room: int = CACHE) -> DataFrame:
     """Encode, decode again, and return counts and digests, one row for every row of ``docs``.
 
     ``n_tokens`` counts all ids, ``ids_sha256`` is over the decimal ids joined by commas and
@@ -206,7 +206,7 @@ def piece_digests(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     ''. Equal rows give equal rows; an empty table gives none; other columns are not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sha = pieces(model), lambda b: hashlib.sha256(b).hexdigest()
+        own, sha = pieces(model, room), lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 counts, ids, texts = [], [], []
