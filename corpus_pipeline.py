@@ -14,6 +14,8 @@ from ledgerloom.llm.common import ship, staged, table
 from ledgerloom.llm.queries import PIECE_BPE, vocabulary
 
 
+# Units held by a worker, which has the memory of the stages before as well.
+HELD_UNITS = 150_000
 # A whole window of a benchmark item.
 SPAN_WORDS = 13
 
@@ -51,7 +53,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Counts and digests of each document's ids and of the text decoded from them."""
-    return pieces.piece_digests(docs, vocabulary(PIECE_BPE))
+    return pieces.piece_digests(docs, vocabulary(PIECE_BPE), room=HELD_UNITS)
 
 
 STAGES = [
