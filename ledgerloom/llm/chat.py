@@ -15,9 +15,9 @@ A node of the tree is a turn with all turns before it, named by a chained digest
 * ``paths``: the nodes of each conversation, by conversation and place.
 
 Conversations stream through tasks sorted by conversation and turn; none is held whole. The
-order of emission sorts conversations by the digests of the nodes they share with others, which
-puts equal beginnings next to each other at any depth; a node belongs to the first conversation
-that holds it. A first turn that a third of all conversations share is one row before it shuffles
+order of emission puts conversations with equal beginnings next to each other at any depth
+(``_keys``); a node belongs to the first conversation that holds it. A conversation's key has
+an entry for each heavy chain its path leaves, and its rows carry its rank alone. A first turn that a third of all conversations share is one row before it shuffles
 with others, and one row to join with.
 """
 
@@ -79,20 +79,22 @@ def _walk(tokenizer: str):
                     if (r["conv"],) != last:
                         last, place, node, position = (r["conv"],), 0, b"", 0
                     role, text = r["role"].encode(), r["text"].encode()
-                    node = hashlib.blake2b(b"%b%d %b%b" % (node, len(role), role, text), digest_size=16).digest()
+                    parent, node = node, hashlib.blake2b(b"%b%d %b%b" % (node, len(role), role, text), digest_size=16).digest()
                     mine = ids[3 * k:3 * k + 3]
-                    out.append({"conv": r["conv"], "place": place, "node": node, "position": position,
+                    out.append({"conv": r["conv"], "place": place, "parent": parent, "node": node, "position": position,
                                 "loss": r["role"] == LOSS_ROLE, "sizes": [len(x) for x in mine], "ids": np.concatenate(mine)})
                     place, position = place + 1, position + sum(map(len, mine))
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     schema = pa.schema([
-        ("conv", pa.int64()), ("place", pa.int64()), ("node", pa.binary()), ("position", pa.int64()),
+        ("conv", pa.int64()), ("place", pa.int64()), ("parent", pa.binary()), ("node", pa.binary()), ("position", pa.int64()),
         ("loss", pa.bool_()), ("sizes", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32()))])
     return run
 
 
-_WALKED = "conv long, place long, node binary, position long, loss boolean, sizes array<int>, ids array<int>"
+_DEEPEST = (1 << 63) - 1
+_WALKED = "conv long, place long, parent binary, node binary, position long, loss boolean, sizes array<int>, ids array<int>"
+_EMITTED = _WALKED.replace("parent binary, ", "")
 
 
 def _numbered():
@@ -137,6 +139,27 @@ def starts(nodes: DataFrame) -> DataFrame:
     return parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
 
 
+def _keys(walked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The shared nodes, and ``key`` of each conversation ``of``: by it, those under any node follow each other.
+
+    Of a node's shared children the one with most conversations is its heavy child; the others are
+    light, and a light child has at most half of its parent's conversations. A path is told by
+    where it leaves each chain of heavy children, deepest first, and by the light child it
+    leaves to, so a key has at most as many entries as the number of conversations has binary digits.
+    """
+    shared = walked.groupBy("node").agg(F.count("*").alias("n"), F.first("parent").alias("parent")).filter("n > 1")
+    shared = staged(shared, "chat-shared")
+    heavy = shared.groupBy("parent").agg(F.max(F.struct("n", "node"))["node"].alias("node")).select("node", F.lit(False).alias("light"))
+    marked = staged(shared.join(heavy, "node", "left").select("node", F.coalesce("light", F.lit(True)).alias("light")), "chat-light")
+    left = F.when(F.col("light"), F.struct("place", "node"))  # null where the path stays on its chain
+    keys = walked.select("conv", "place", "node").join(marked, "node", "left").groupBy("conv").agg(
+        F.count("light").alias("depth"), F.array_sort(F.collect_list(left)).alias("leaves"))
+    deepest = lambda place: F.lpad(F.hex(F.lit(_DEEPEST) - place), 16, "0")
+    keys = keys.select(F.col("conv").alias("of"), F.concat(
+        F.array_join(F.transform("leaves", lambda x: F.concat(deepest(x["place"]), F.hex(x["node"]))), ""), deepest(F.col("depth"))).alias("key"))
+    return marked, keys
+
+
 def write_chats(conversations: DataFrame, path: str, tokenizer: str) -> None:
     """Write ``nodes`` and ``paths`` of a table of ``conv_id``, ``turn``, ``role``, ``text``.
 
@@ -148,23 +171,15 @@ def write_chats(conversations: DataFrame, path: str, tokenizer: str) -> None:
         F.col("conv_id").cast("long").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"))
     walked = staged(_by_conversation(rows, "turn", "role", "text").mapInArrow(_walk(tokenizer), _WALKED), "chat-turns")
-    # Nodes of several conversations, and for each conversation the digests of those on its path.
-    shared = staged(walked.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node"), "chat-shared")
-    met = walked.select("conv", "place", "node").join(shared, "node")
-    keys = met.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("place", F.substring("node", 1, 8).alias("d")))).alias("p"))
-    keys = staged(keys.select("conv", F.expr("array_join(transform(p, x -> hex(x.d)), '')").alias("key")), "chat-keys")
-    # Of a shared node's rows the one first in order is emitted; the key says the same for all of a node's depth.
-    first = met.join(keys, met["conv"].eqNullSafe(keys["conv"])).groupBy("node").agg(
-        F.min(F.struct(keys["key"], F.col("place"), keys["conv"].alias("conv"))).alias("f"))
-    first = first.select("node", F.col("f.conv").alias("first_conv"), F.lit(True).alias("many"))
-    whole = walked.join(first, "node", "left").filter("many IS NULL OR conv <=> first_conv").drop("many", "first_conv")
-    keys = keys.withColumnRenamed("conv", "of")
-    ordered = whole.join(keys, whole["conv"].eqNullSafe(keys["of"]), "left").drop("of").withColumn(
-        "key", F.coalesce("key", F.lit("")))
-    order = ["key", "conv", "place"]
-    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order).select(
+    shared, keys = _keys(walked)
+    ranks = keys.repartitionByRange("key", "of").sortWithinPartitions("key", "of")
+    ranks = staged(ranks.select("of", F.monotonically_increasing_id().alias("rank")), "chat-ranks")
+    ranked = walked.join(ranks, walked["conv"].eqNullSafe(ranks["of"]), "left").drop("of")
+    first = ranked.select("node", "rank").join(shared.select("node"), "node").groupBy("node").agg(F.min("rank").alias("first"))
+    ordered = ranked.join(first, "node", "left").filter("first IS NULL OR rank = first")
+    ordered = ordered.repartitionByRange("rank", "place").sortWithinPartitions("rank", "place").select(
         "conv", "place", "node", "position", "loss", "sizes", "ids")
-    numbered = staged(ordered.mapInArrow(_numbered(), _WALKED + ", part int, inside long"), "chat-nodes")
+    numbered = staged(ordered.mapInArrow(_numbered(), _EMITTED + ", part int, inside long"), "chat-nodes")
     at = numbered.join(starts(numbered), "part").select(
         "node", F.col("conv").alias("owner"), (F.col("before") + F.col("inside")).alias("start"), F.size("ids").alias("size"))
     placed = walked.select("conv", "place", "node").join(at, "node").withColumn("own", F.col("conv").eqNullSafe(F.col("owner")))

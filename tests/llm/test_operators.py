@@ -407,6 +407,35 @@ def test_shared_turns_are_emitted_once_depth_first(spark, tmp_path):
             position += len(n.ids)
 
 
+def test_any_tree_is_emitted_depth_first_by_short_keys(spark, tmp_path):
+    turns = []
+    for i in range(60):  # one conversation leaves a long chain at each turn
+        turns += [(i, t, "user", f"turn {t}" if t < i else f"own {i}") for t in range(i + 1)]
+    draw = np.random.default_rng(3)
+    for i in range(100, 220):  # a random tree with whole repeats
+        turns += [(i, t, "user", "abc"[k]) for t, k in enumerate(draw.choice(3, draw.integers(1, 7), p=[0.6, 0.3, 0.1]))]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
+    chat.write_chats(rows, f"{tmp_path}/all", vocabulary(BYTE_BPE))
+    nodes = spark.read.parquet(f"{tmp_path}/all/nodes")
+    order = [bytes(n.node) for n in nodes.orderBy("part", "inside").collect()]
+    paths, parent = {}, {}
+    for r in spark.read.parquet(f"{tmp_path}/all/paths").orderBy("conv_id", "place").collect():
+        path = paths.setdefault(r.conv_id, [])
+        parent[bytes(r.node)] = path[-1] if path else None
+        path.append(bytes(r.node))
+    assert len({tuple(t[2:]) for t in turns}) <= len(order) == len(parent) and set(order) == set(parent)
+    stack = []
+    for node in order:
+        while stack and stack[-1] != parent[node]:
+            stack.pop()
+        assert (stack[-1] if stack else None) == parent[node]
+        stack.append(node)
+    walked = rows.selectExpr("conv_id AS conv", "turn", "role", "text")
+    walked = chat._by_conversation(walked, "turn").mapInArrow(chat._walk(vocabulary(BYTE_BPE)), chat._WALKED)
+    sizes = [(len(r.key) - 16) / 48 for r in chat._keys(walked)[1].collect()]
+    assert len(sizes) == 180 and max(sizes) <= np.log2(180)
+
+
 def test_adaptive_scan_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(2)
     vectors = rng.standard_normal((3000, 24)).astype(np.float32)
