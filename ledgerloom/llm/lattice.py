@@ -18,7 +18,7 @@ of T kinds (Witten and Bell). Without it, pieces are fitted to all tokens and sp
 Words are counted in blocks of texts (``BLOCK_BYTES``), so that a word moves once for each block
 that holds it and not once for each occurrence; a word as frequent as any is a row per block.
 A word's lattice is run where its counts are, once, and both return to the blocks, where the
-texts are scored. What the driver holds is one number per piece.
+texts are scored, a block to a task. What the driver holds is one number per piece.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from ledgerloom.llm.common import _LOWER, octets, slices, staged
 from ledgerloom.llm.lexicon import Lexicon, _SEED, _powers, joined, word_places
 
 BLOCK_BYTES = 16 << 20
+MOST_TASKS = 50_000
 ROUNDS = 2
 PRIOR = 0.5
 
@@ -156,6 +157,23 @@ def _blocks(block_bytes: int):
     return run
 
 
+def _dealt(both: DataFrame, rows: DataFrame) -> DataFrame:
+    """``both`` with the blocks of ``rows`` one to a task; beyond ``MOST_TASKS``, neighbours one after the other.
+
+    Blocks are numbered within each of the parts that made them, so part times the most blocks of
+    a part, and the number within, tell them apart.
+    """
+    within = F.col("block").bitwiseAND((1 << 32) - 1)
+    part = F.shiftright("block", 32)
+    most = rows.agg(F.max(part).alias("part"), F.max(within).alias("within")).first()
+    if most.part is None:
+        return both.coalesce(1)
+    parts, blocks = most.part + 1, most.within + 1
+    together = -(-parts * blocks // MOST_TASKS)
+    number = F.floor((part * blocks + within) / together).cast("int")
+    return both.repartitionById(-(-parts * blocks // together), number)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words of each block, with their number in its training texts."""
     own, block, counts = Lexicon(), None, np.zeros(0, np.int64)
@@ -321,7 +339,7 @@ def lattice_scores(
     none = {"doc_id": kind, "held_out": "boolean", "text": "string"}
     both = logged.select("block", F.lit(0).alias("kind"), "word", "c", "log", *[F.lit(None).cast(t).alias(n) for n, t in none.items()]).unionByName(
         rows.select("block", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("word"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("log"), *none))
-    both = both.repartition("block").sortWithinPartitions("block", "kind")
+    both = _dealt(both, rows).sortWithinPartitions("block", "kind")
     scores = both.mapInArrow(
         _scored((texts, end_log / np.log(10)), np.log10(tokens + distinct + 1)),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")

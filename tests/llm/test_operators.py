@@ -93,6 +93,45 @@ def test_lattice_equals_brute_force(spark, docs):
     assert {r.train_tokens for r in got} == {n}
 
 
+@pytest.mark.parametrize("most_tasks", [50_000, 3])
+def test_registered_lattice_equals_brute_force(spark, docs, monkeypatch, most_tasks):
+    monkeypatch.setattr(lattice, "MOST_TASKS", most_tasks)
+    names, first = lattice.public_pieces(vocabulary(PIECE_BPE))
+    texts = [(i, lower(t or "").encode().split()) for i, t in TEXTS if i != 5]
+    out = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts]
+    train = Counter(w for o, (_, words) in zip(out, texts) if not o for w in words)
+    ends = out.count(False)
+    n, v = sum(train.values()) + ends, len(train) + 1
+    weight = dict(zip(names, np.exp(first)))
+
+    def sums(word: bytes) -> tuple[list[float], list[float]]:
+        ahead, behind = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
+        for j in range(1, len(word) + 1):
+            ahead[j] = sum(ahead[i] * weight.get(word[i:j], 0.0) for i in range(j))
+        for i in range(len(word) - 1, -1, -1):
+            behind[i] = sum(weight.get(word[i:j], 0.0) * behind[j] for j in range(i + 1, len(word) + 1))
+        return ahead, behind
+
+    for _ in range(lattice.ROUNDS):  # pieces are fitted to distinct training words, each once
+        expected = dict.fromkeys(names, lattice.PRIOR)
+        for word in (b" " + w for w in train):
+            ahead, behind = sums(word)
+            for i in range(len(word)):
+                for j in range(i + 1, len(word) + 1):
+                    if word[i:j] in weight:
+                        expected[word[i:j]] += ahead[i] * weight[word[i:j]] * behind[j] / ahead[-1]
+        total = sum(expected.values())
+        weight = {p: e / total for p, e in expected.items()}
+    spelled = {w: np.log10(sums(b" " + w)[0][-1] * v / (n + v) + train[w] / (n + v)) for w in {w for _, words in texts for w in words}}
+    short = docs.filter("doc_id IS NULL OR doc_id <> 5")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    got = lattice.lattice_scores(short, names, first, held, block_bytes=256).collect()
+    want = [(i, len(words) + 1, sum(spelled[w] for w in words) + np.log10(ends / (n + v))) for i, words in texts]
+    key = lambda r: (str(r[0]), r[1], r[2])
+    for a, b in zip(sorted([(r.doc_id, r.n_tokens, r.score) for r in got], key=key), sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9)
+
+
 def test_lattice_fits_and_sums_to_at_most_one(spark, docs, none):
     names, logs = lattice.public_pieces(vocabulary(PIECE_BPE))
     got = {(r.doc_id, r.n_tokens): r for r in lattice.lattice_scores(docs, names, logs, F.lit(False)).collect()}
@@ -353,6 +392,10 @@ def test_contamination_equals_brute_force(spark, docs, none, block_words):
     got = suffix.match_benchmark(docs, items, block_words=block_words).select(
         "doc_id", "n_words", suffix.hit_words().alias("h"), F.array_join("items", ",").alias("i")).collect()
     same(got, want)
+    report = suffix.contamination_report(docs, items).collect()
+    same([(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in report], [
+        (i, n, hit, len(own.split(",")) if own else 0, hashlib.sha256(own.encode()).hexdigest(), hit > 0 and 20 * hit >= n)
+        for i, n, hit, own in want])
     assert suffix.match_benchmark(none, items).count() == 0
     assert suffix.match_benchmark(docs, items.limit(0)).filter(F.size("spans") > 0).count() == 0
 
@@ -579,6 +622,35 @@ def test_fingerprints_and_components(docs, none):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.filter("doc_id IN (1, 2, 3, 4, 11)").collect()) == [1, 3]
 
 
+def test_registered_components_equal_brute_force(spark):
+    draw = np.random.default_rng(5)
+    texts = [(i, t or "") for i, t in TEXTS if i is not None]
+    for k in range(12):  # chains of copies, each with a word of the one before changed
+        words = [f"w{x}" for x in draw.integers(0, 500, 300)]
+        for step in range(10):
+            texts.append((1000 + 20 * k + step, " ".join(words)))
+            words[draw.integers(0, 300)] = f"new{step}"
+    prints = {t: print_of(t) for _, t in texts}
+    group = {f: f for f in prints.values()}
+
+    def top(f):
+        while group[f] != f:
+            f = group[f]
+        return f
+
+    for a in group:
+        for b in group:
+            if (a ^ b).bit_count() <= 3:
+                group[top(a)] = top(b)
+    least = {}
+    for i, t in texts:
+        least[top(prints[t])] = min(i, least.get(top(prints[t]), i))
+    assert len(least) < len(group)  # some links are between different fingerprints
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = simhash.simhash_components(rows).select("doc_id", "fingerprint", "component_id").collect()
+    same(got, [(i, f"{prints[t]:016x}", least[top(prints[t])]) for i, t in texts])
+
+
 def test_masks_cover_every_pair_within_the_radius():
     rng = np.random.default_rng(1)
     masks = simhash.covering_masks((1 << 64) - 1, 3)
