@@ -22,10 +22,18 @@ def count_rows(df: DataFrame) -> DataFrame:
 
 
 def sum_lenient(df: DataFrame, column: str) -> DataFrame:
-    """Sum of the parseable values; 0 when the column is absent or nothing parses."""
+    """Sum of the parseable values; 0 when the column is absent or nothing parses.
+
+    Finite values of 1e26 and more, beyond exact money, are added up as doubles. The sum is null if
+    it does not fit DECIMAL(38,2).
+    """
     if column not in df.columns:
         return _unit(df).select(F.lit(0).cast("decimal(38,2)").alias("total"))
-    return df.agg(F.coalesce(total(as_money(df, column)), F.lit(0)).cast("decimal(38,2)").alias("total"))
+    money, value = as_money(df, column), as_double(df, column)
+    beyond = F.when(money.isNull() & (F.abs(value) < F.lit(float("inf"))), value)
+    sums = df.agg(F.coalesce(total(money), F.lit(0)).cast("decimal(38,2)").alias("exact"), F.sum(beyond).alias("beyond"))
+    both = F.try_add("exact", F.col("beyond").try_cast("decimal(38,2)"))
+    return sums.select(F.when(F.col("beyond").isNull(), F.col("exact")).otherwise(both).cast("decimal(38,2)").alias("total"))
 
 
 def overview_kpis(frames: dict[str, DataFrame]) -> DataFrame:

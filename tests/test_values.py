@@ -165,3 +165,21 @@ def test_large_amounts_stay_in_sums(spark):
     for cells, want in ((["12345678901234567890", "1"], "12345678901234567891.00"), (["1e16", "1e20", "-3"], "100009999999999999997.00")):
         df = spark.createDataFrame([(c,) for c in cells], "amount string")
         assert sum_lenient(df, "amount").first()[0] == Decimal(want)
+
+
+@pytest.mark.parametrize("cells,want", [
+    (["1e26", "2.50", "x", None, "-1_000"], "99999999999999999999999002.50"), (["1e300", "1"], None), (["1e400", "inf", "nan", "3"], "3.00"),
+    (["-1e30", "1e30", "4"], "4.00"), (["1" + "0" * 27], "1" + "0" * 27 + ".00"),
+])
+def test_sums_take_amounts_beyond_exact_money(spark, cells, want):
+    from ledgerloom.operators.aggregates import sum_lenient
+
+    got = sum_lenient(spark.createDataFrame([(c,) for c in cells], "v string"), "v").first()[0]
+    assert got is None if want is None else f"{got:f}" == want
+
+
+def test_sums_of_typed_doubles_leave_out_what_is_not_finite(spark):
+    from ledgerloom.operators.aggregates import sum_lenient
+
+    frame = spark.createDataFrame([(1e27,), (float("nan"),), (float("-inf"),), (0.25,), (None,)], "v double")
+    assert f"{sum_lenient(frame, 'v').first()[0]:f}" == "1" + "0" * 27 + ".25"
