@@ -316,6 +316,14 @@ def test_units_give_the_ids_of_whole_texts():
     assert got == byte_ids(texts)
 
 
+def test_units_are_encoded_alone_where_breaks_do_not_tell_them_apart():
+    own = dac.ByteEncoder(vocabulary(BYTE_BPE))
+    own.line = [(1 << 32) - 1]  # as in a vocabulary where a break is never a token of its own
+    texts = [t for _, t in TEXTS if t and len(t) < 1000]
+    got = own([t.encode() for t in texts])
+    assert [x.tolist() for x in got] == [e.ids for e in own.library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_codes_of_documents(docs, none):
     rows = sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0))
     got = dac.roundtrip(docs, vocabulary(BYTE_BPE)).orderBy("start").collect()
