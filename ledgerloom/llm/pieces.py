@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from math import inf
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from ledgerloom.llm.lexicon import Lexicon, flat
 
 SPACE = "▁"
 CACHE = 600_000
+# Letters of a unit up to which looking through its pairs beats a heap of them.
+SHORT = 32
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
@@ -40,6 +44,7 @@ class Pieces:
         special = (lib.is_control, lib.is_unknown, lib.is_byte)
         every = range(lib.get_piece_size())
         self.scores = {lib.id_to_piece(i): (-lib.get_score(i), i) for i in every if not any(f(i) for f in special)}
+        self.ranks = {p: rank for p, (rank, _) in self.scores.items()}
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if any(SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n") for p in self.scores):
             raise ValueError("pieces that cross words or lines are not provided for")
@@ -58,6 +63,30 @@ class Pieces:
 
     def agenda(self, unit: str) -> list[int]:
         """Ids of one unit, by merging in order of score."""
+        symbols = self._short(unit) if len(unit) <= SHORT else self._long(unit)
+        ids: list[int] = []
+        for s in symbols:
+            if s:
+                found = self.scores.get(s)
+                ids += [found[1]] if found else [self.bytes[b] for b in s.encode()]
+        return ids
+
+    def _short(self, unit: str) -> list[str]:
+        """Symbols of a unit of few letters: the agenda is a list by place, looked through for the best."""
+        known, symbols = self.ranks.get, list(unit)
+        waiting = [known(pair, inf) for pair in map(add, symbols, symbols[1:])]
+        while waiting and (best := min(waiting)) < inf:
+            k = waiting.index(best)
+            del waiting[k]
+            symbols[k] += symbols.pop(k + 1)
+            if k:
+                waiting[k - 1] = known(symbols[k - 1] + symbols[k], inf)
+            if k < len(waiting):
+                waiting[k] = known(symbols[k] + symbols[k + 1], inf)
+        return symbols
+
+    def _long(self, unit: str) -> list[str]:
+        """Symbols of a unit of any length, "" where one was merged: the agenda is a heap."""
         scores, symbols = self.scores, list(unit)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -81,12 +110,7 @@ class Pieces:
                 joined = symbols[p] + piece
                 if (found := scores.get(joined)) is not None:
                     heapq.heappush(waiting, (found[0], p, a, joined))
-        ids: list[int] = []
-        for s in symbols:
-            if s:
-                found = scores.get(s)
-                ids += [found[1]] if found else [self.bytes[b] for b in s.encode()]
-        return ids
+        return symbols
 
     def cuts(self, buffer: np.ndarray) -> np.ndarray:
         """Places in UTF-8 text between units.
@@ -137,7 +161,10 @@ class Pieces:
             return
         ends = np.cumsum([len(t) + 1 + bool(t) for t in texts], dtype=np.int64)
         bounds = np.concatenate(([0], ends))
-        starts = np.unique(np.concatenate((self.cuts(buffer), bounds[:-1])))
+        cut = np.zeros(len(buffer), bool)
+        cut[self.cuts(buffer)] = True
+        cut[bounds[:-1]] = True
+        starts = np.flatnonzero(cut)
         stops = np.append(starts[1:], len(buffer))
         own = np.zeros(len(buffer) + 1, bool)  # the line break after each text belongs to none
         own[ends] = True
