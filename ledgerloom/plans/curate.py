@@ -49,6 +49,17 @@ def read_inputs(spark: SparkSession, folder: str, staging: str | None = None) ->
     return inputs
 
 
+def transactions_once(inputs: dict[str, DataFrame], staging: str) -> dict[str, DataFrame]:
+    """The inputs with the transactions' columns written under ``staging`` and read back from there.
+
+    For transactions that are themselves a join: all three tables, and the look for heavy ids,
+    read them, and would shuffle that join's sides each time.
+    """
+    tx, path = inputs["fact_transactions"].select(*JOB_COLUMNS["fact_transactions"]), f"{staging.rstrip('/')}/fact_transactions"
+    tx.write.mode("overwrite").parquet(path)
+    return inputs | {"fact_transactions": tx.sparkSession.read.schema(tx.schema).parquet(path)}
+
+
 def typed(df: DataFrame, table: str) -> DataFrame:
     """Columns in declared order with declared types."""
     return df.select([F.col(c).cast(t).alias(c) for c, t in CURATED[table].items()])

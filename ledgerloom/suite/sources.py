@@ -304,14 +304,19 @@ def _stacked(frames: dict):
     ])
 
 
+def _curated(s: Star) -> dict:
+    """The three KPI tables; their transactions, a join of lines and orders, are joined once."""
+    return kpi.curated_frames(curate.transactions_once(s.frames(*JOB_COLUMNS), shared_folder(s.spark, "transactions")))
+
+
 @query("curate", sql=CURATED_SQL)
 def _(s: Star):
-    return _stacked(kpi.curated_frames(s.frames(*JOB_COLUMNS)))
+    return _stacked(_curated(s))
 
 
 @query("write_curated_csv", sql=CURATED_SQL)
 def _(s: Star):
-    frames = kpi.curated_frames(s.frames(*JOB_COLUMNS))
+    frames = _curated(s)
     paths = curate.write_curated_csv(frames, shared_folder(s.spark, "curated-csv"))
     return _stacked({n: scan_csv_job(s.spark, p) for n, p in paths.items()})
 
@@ -319,7 +324,7 @@ def _(s: Star):
 @query("load_curated", sql=CURATED_SQL)
 def _(s: Star):
     folder = shared_folder(s.spark, "curated")
-    frames = kpi.curated_frames(s.frames(*JOB_COLUMNS))
+    frames = _curated(s)
     # A run before this one, which the second replaces as a whole.
     curate.load_curated({n: f.limit(0) for n, f in frames.items()}, folder)
     curate.load_curated(frames, folder)

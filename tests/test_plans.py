@@ -70,3 +70,18 @@ def test_dashboard_of_empty_tables_shows_placeholders(spark):
     assert {(r.label, r.value) for r in charts if r.key != "entity_counts"} == {("—", 0.0)}
     assert [(r.ord, r.value) for r in sorted(charts, key=lambda r: r.ord) if r.key == "entity_counts"] == [
         (i, 0.0) for i in range(1, 6)]
+
+
+@pytest.mark.parametrize("name", ["curate", "write_curated_csv", "load_curated"])
+def test_curated_tables_share_one_join_of_the_transactions(spark, name, monkeypatch):
+    """All that the three tables read of the transactions is what was joined and written once."""
+    from ledgerloom.suite import sources
+
+    seen, frames_of = [], kpi.curated_frames
+    monkeypatch.setattr(sources.kpi, "curated_frames", lambda inputs: seen.append(frames_of(inputs)) or seen[-1])
+    QUERIES[name].build(spark, DATA)
+    (frames,) = seen
+    assert all("l_orderkey" not in plan(df) and "lineitem" not in plan(df) for df in frames.values())
+    direct = frames_of(Star(spark, DATA).frames())
+    for table, df in frames.items():
+        assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, direct[table].collect()), key=str)
